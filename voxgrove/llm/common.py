@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,24 @@ BATCH_ROWS = 1000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this subpackage to the executors, once for each application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    here = Path(__file__).resolve().parent
+    name = f"{tempfile.mkdtemp(prefix='voxgrove-')}/voxgrove_llm.zip"
+    with zipfile.ZipFile(name, "w") as z:
+        z.writestr("voxgrove/__init__.py", "")
+        for f in sorted(here.glob("*.py")):
+            z.write(f, f"voxgrove/llm/{f.name}")
+    sc.addPyFile(name)
+    _SHIPPED.add(sc.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the given folder, through Spark's reader only."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -31,6 +51,7 @@ def scratch_dir(spark: SparkSession) -> str:
     Only a plain local master may fall back to a temporary folder; on a cluster a
     missing setting is an error, since executors would not see each other's files.
     """
+    ship(spark)
     base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if not base:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
@@ -49,7 +70,7 @@ def delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Cut lineage with a table in the shared folder; after a loss of executors it is reread.
 
     The folder stays until ``release``, or ``cleanup`` of the session's folder: a lazy
@@ -57,7 +78,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/voxgrove-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
@@ -80,6 +101,7 @@ def partitions(spark: SparkSession) -> int:
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with small batches, unless the session asks for still smaller ones."""
+    ship(df.sparkSession)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
         df.sparkSession.conf.set(key, str(BATCH_ROWS))

@@ -105,15 +105,16 @@ def local_search(bins: list[list[int]], room: list[int], sizes: list[int], capac
     for k, frm in enumerate(order):
         if used <= least:
             break
-        # bins after this one are fuller; the roomiest of them are tried first
-        for to in order[k + 1 : k + 1 + LOOK]:
-            while bins[frm] and room[to] and room[to] <= room[frm] and step(bins, room, sizes, frm, to):
-                pass
-            if not bins[frm]:
-                used -= 1
-                break
-        else:
+        # bins after this one are fuller; the roomiest of them are tried, again while any step is left
+        moved = True
+        while moved and bins[frm]:
+            moved = False
+            for to in order[k + 1 : k + 1 + LOOK]:
+                while bins[frm] and 0 < room[to] <= room[frm] and step(bins, room, sizes, frm, to):
+                    moved = True
+        if bins[frm]:
             break
+        used -= 1
 
 
 def pack_group(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, pack, partitions, scratch_dir, unpack
+from .common import map_batches, pack, partitions, scratch_dir, ship, unpack
 from .library import encoder
 
 BLOCK_IDS = 1 << 20
@@ -177,6 +177,7 @@ def write_tokens(docs: DataFrame, path: str | None = None, vocabulary: str | Non
 def placed_blocks(spark: SparkSession, path: str) -> DataFrame:
     """The blocks with ``base``, the ids of all shards before; what is collected is one number
     for each shard, and a shard is a partition of the writing."""
+    ship(spark)
     blocks = spark.read.schema(BLOCKS).parquet(path)
     sums = sorted(blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect())
     before = list(itertools.accumulate((r["n"] for r in sums), initial=0))
