@@ -5,19 +5,29 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from .bpe import MAX_CHUNKS, chunks
+from .bpe import chunks
 
-#: Characters of text that are cut into chunks at a time; words that the library gets as one text.
-SLICE, JOIN = 1 << 22, 400
+#: Words of one generation that a worker keeps.
+MAX_CHUNKS = 600_000
+
+#: Words that the library gets as one text.
+JOIN = 400
+#: Texts that are not cut at single white space: it meets, or stands at an end, or a NUL is there.
+_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+ODD = rf"{_SPACE}{_SPACE}|\A{_SPACE}|{_SPACE}\z|\x00"
+NUL, EMPTY = pa.scalar("\0", pa.large_string()), pa.scalar("", pa.large_string())
 #: Letters, then ASCII marks other than an apostrophe: two matches of a word-wise pattern.
 MARKED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)").fullmatch
 
 
 class LibraryEncoder:
-    """``ids(texts)``: what encode(text, add_special_tokens=False) gives, as packed arrays.
+    """``column(texts)``: what encode(text, add_special_tokens=False) gives, as packed arrays.
 
     A text is cut at lone spaces and newlines, where no token of a word-wise tokenizer
     reaches across; the library encodes the chunks that are not yet known, words many at a
@@ -54,53 +64,79 @@ class LibraryEncoder:
             at = (cuts * size).tolist()
             known.update({w: raw[i:j] for w, i, j in zip(group, at, at[1:], strict=False)})
 
-    def learn(self, parts: set[str]) -> None:
-        """Make sure that all ``parts`` of chunks() are in ``known``."""
+    def learn(self, parts: list[str]) -> list[bytes]:
+        """The packed ids of each of ``parts``; a NUL before a part says that it stands as it is,
+        with nothing before it. Words with marks after them are put together, not kept."""
         known, old = self.known, self.old
-        words, others, marked = set(), [], []
-        for p in parts - known.keys():
-            if (got := old.get(p)) is not None:
-                known[p] = got
-            elif p.isalpha():
-                words.add(p)
-            elif m := MARKED(p):
-                marked.append((p, *m.groups()))
-            else:
-                others.append(p)
-        for _, w, _ in marked:
+        words, others, marked = set(), [], {}
+
+        def need(w):
             if w not in known:
                 if (got := old.get(w)) is not None:
                     known[w] = got
                 else:
                     words.add(w)
+
+        for p in parts:
+            if p in known:
+                continue
+            if p.isalpha():
+                need(p)
+            elif m := MARKED(p):
+                marked[p] = w, _ = m.groups()
+                need(w)
+            elif (got := old.get(p)) is not None:
+                known[p] = got
+            else:
+                others.append(p)
         self.learn_words(list(words))
-        if fresh := list({m for _, _, m in marked} - self.marks.keys()):
+        if fresh := list({m for _, m in marked.values()} - self.marks.keys()):
             self.marks.update(zip(fresh, self.plain(fresh), strict=True))
-        for p, w, m in marked:
-            known[p] = known[w] + self.marks[m]
-        known.update(zip(others, self.plain([p if p[:1] == "\n" else " " + p for p in others]), strict=True))
-
-    def ids(self, texts: list[str | None]) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
-        i = 0
-        while i < len(texts):
-            cut, size = [], 0
-            while i < len(texts) and size < SLICE:
-                cut.append(chunks(texts[i] or ""))
-                size += len(texts[i] or "")
-                i += 1
-            if len(self.known) > MAX_CHUNKS:
-                self.old, self.known = self.known, {}
-            if len(self.marks) > MAX_CHUNKS:
-                self.marks = {}
-            self.learn({p for _, rest in cut for p in rest})
-            heads = self.plain([first for first, _ in cut])
-            get = self.known.__getitem__
-            out += [np.frombuffer(head + b"".join(map(get, rest)), self.width) for head, (_, rest) in zip(heads, cut, strict=True)]
-            if len(self.known) > 2 * MAX_CHUNKS:  # a slice of long or odd chunks
-                self.known = {}
+        known.update(zip(others, self.plain([p[1:] if p[:1] == "\0" else p if p[:1] == "\n" else " " + p for p in others]), strict=True))
+        marks = self.marks
+        whole = {p: known[w] + marks[m] for p, (w, m) in marked.items()}
+        return [known[p] if p in known else whole[p] for p in parts]
+
+    def forget(self) -> None:
+        if len(self.known) > MAX_CHUNKS:
+            self.old, self.known = self.known, {}
+        if len(self.marks) > MAX_CHUNKS:
+            self.marks = {}
+
+    def column(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text of an Arrow column; null is empty."""
+        if not len(texts):
+            return []
+        self.forget()
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
+        even = pc.if_else(pa.array(odd), EMPTY, texts)
+        parts = pc.split_pattern(pc.binary_join_element_wise(NUL, pc.replace_substring(even, "\n", " \n"), EMPTY), " ")
+        coded = parts.flatten().dictionary_encode()
+        distinct, place = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        raw = self.learn(distinct)
+        flat = np.frombuffer(b"".join(raw), self.width)
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // np.dtype(self.width).itemsize
+        starts = np.cumsum(sizes) - sizes
+        n = sizes[place]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat(starts[place] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        cuts = np.r_[0, ends][parts.offsets.to_numpy() - parts.offsets[0].as_py()]
+        out = [ids[i:j] for i, j in pairwise(cuts.tolist())]
+        for i in np.flatnonzero(odd):
+            out[i] = self.one(texts[i].as_py())
         return out
 
+    def one(self, text: str) -> np.ndarray:
+        """A text in which white space meets, or stands at an end."""
+        self.forget()
+        first, rest = chunks(text)
+        # chunks that begin with NUL would be taken for marked ones
+        plain = [p for p in rest if p[:1] != "\0"]
+        raw = dict(zip(plain, self.learn(plain), strict=True))
+        raw |= {p: self.plain([" " + p])[0] for p in set(rest) - raw.keys()}
+        return np.frombuffer(self.plain([first])[0] + b"".join(map(raw.__getitem__, rest)), self.width)
+
 
 @lru_cache(2)
 def encoder(path: str) -> LibraryEncoder:

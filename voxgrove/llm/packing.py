@@ -154,10 +154,10 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, end_id: int =
             yield doc_id, k, start, stop - start, zlib.crc32(raw[4 * start : 4 * stop])
 
     def run(batches):
-        encode, number = encoder(vocabulary).ids, TaskContext.get().partitionId() << 40
+        encode, number = encoder(vocabulary).column, TaskContext.get().partitionId() << 40
         rows: list[tuple] = []
         for b in batches:
-            for d, ids in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist()), strict=True):
+            for d, ids in zip(b.column(0).to_pylist(), encode(b.column(1)), strict=True):
                 rows += cut(d, ids)
             if len(rows) >= GROUP:
                 out, number = placed(rows, number, capacity)

@@ -47,7 +47,10 @@ def compress(ids: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     for _ in range(ROUNDS):
         if len(seq) < 2:
             break
-        keys = seq[:-1] << 32 | seq[1:]
+        # pairs as one number, half as wide while the symbols allow it
+        bits, kind = (16, np.uint32) if nxt <= 1 << 16 else (32, np.uint64)
+        narrow = seq.astype(kind)
+        keys = narrow[:-1] << kind(bits) | narrow[1:]
         s = np.sort(keys)
         first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
         count = np.diff(np.r_[first, len(s)])
@@ -57,9 +60,10 @@ def compress(ids: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         if not len(often):
             break
         pairs = np.sort(s[first[often]])
+        lefts, rights = (pairs >> kind(bits)).astype(np.int64), (pairs & kind((1 << bits) - 1)).astype(np.int64)
         left, right = np.zeros(nxt, bool), np.zeros(nxt, bool)
-        left[pairs >> 32] = True
-        right[pairs & 0xFFFFFFFF] = True
+        left[lefts] = True
+        right[rights] = True
         at = np.flatnonzero(left[seq[:-1]] & right[seq[1:]])
         where = np.searchsorted(pairs, keys[at])
         hit = pairs[np.minimum(where, len(pairs) - 1)] == keys[at]
@@ -71,8 +75,10 @@ def compress(ids: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         if len(at) < GAIN * len(seq):
             break
         seq[at] = nxt + where
-        seq = np.delete(seq, at + 1)
-        rounds.append(np.stack([pairs >> 32, pairs & 0xFFFFFFFF]))
+        stay = np.ones(len(seq), bool)
+        stay[at + 1] = False
+        seq = seq[stay]
+        rounds.append(np.stack([lefts, rights]))
         nxt += len(pairs)
     return seq, rounds
 
@@ -146,7 +152,7 @@ def write_tokens(docs: DataFrame, path: str | None = None, vocabulary: str | Non
     path = path or f"{scratch_dir(spark)}/voxgrove-{spark.sparkContext.applicationId}/tokens-{uuid.uuid4().hex}"
 
     def run(batches):
-        encode, shard = encoder(vocabulary).ids, TaskContext.get().partitionId()
+        encode, shard = encoder(vocabulary).column, TaskContext.get().partitionId()
         block = start = held = 0
         names, sizes, kept = [], [], []
 
@@ -158,7 +164,7 @@ def write_tokens(docs: DataFrame, path: str | None = None, vocabulary: str | Non
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["shard", "block", "start", "n_tokens", "payload"])
 
         for b in batches:
-            for d, ids in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist()), strict=True):
+            for d, ids in zip(b.column(0).to_pylist(), encode(b.column(1)), strict=True):
                 if held and held + len(ids) >= BLOCK_IDS:
                     yield flush()
                 names.append(d)
