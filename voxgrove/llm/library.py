@@ -42,6 +42,8 @@ class LibraryEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.width = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
+        #: whether white space is dropped and case folded
+        self.spaceless = self.library.encode(" AB\nc").ids == [i for w in ("ab", "c") for i in self.library.encode(w, add_special_tokens=False).ids]
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
@@ -66,36 +68,45 @@ class LibraryEncoder:
 
     def learn(self, parts: list[str]) -> list[bytes]:
         """The packed ids of each of ``parts``; a NUL before a part says that it stands as it is,
-        with nothing before it. Words with marks after them are put together, not kept."""
+        with nothing before it. Words with marks after them are put together, not kept; where
+        the tokenizer drops white space and case, so do the words that are kept."""
         known, old = self.known, self.old
-        words, others, marked = set(), [], {}
-
-        def need(w):
-            if w not in known:
-                if (got := old.get(w)) is not None:
-                    known[w] = got
-                else:
-                    words.add(w)
-
+        words, others = set(), []
+        keys: list[str] = []
+        ends: dict[int, str] = {}
         for p in parts:
-            if p in known:
-                continue
-            if p.isalpha():
-                need(p)
-            elif m := MARKED(p):
-                marked[p] = w, _ = m.groups()
-                need(w)
-            elif (got := old.get(p)) is not None:
-                known[p] = got
-            else:
-                others.append(p)
+            if self.spaceless:
+                if p[0] in "\0\n":
+                    p = p[1:]
+                if p.isascii():
+                    p = p.lower()
+            if p not in known:
+                if p.isalpha():
+                    w = p
+                elif m := MARKED(p):
+                    w, ends[len(keys)] = m.groups()
+                else:
+                    w = None
+                    if (got := old.get(p)) is not None:
+                        known[p] = got
+                    else:
+                        others.append(p)
+                if w is not None:
+                    p = w
+                    if p not in known:
+                        if (got := old.get(p)) is not None:
+                            known[p] = got
+                        else:
+                            words.add(p)
+            keys.append(p)
         self.learn_words(list(words))
-        if fresh := list({m for _, m in marked.values()} - self.marks.keys()):
+        if fresh := list(set(ends.values()) - self.marks.keys()):
             self.marks.update(zip(fresh, self.plain(fresh), strict=True))
         known.update(zip(others, self.plain([p[1:] if p[:1] == "\0" else p if p[:1] == "\n" else " " + p for p in others]), strict=True))
-        marks = self.marks
-        whole = {p: known[w] + marks[m] for p, (w, m) in marked.items()}
-        return [known[p] if p in known else whole[p] for p in parts]
+        out = [known[k] for k in keys]
+        for i, m in ends.items():
+            out[i] += self.marks[m]
+        return out
 
     def forget(self) -> None:
         if len(self.known) > MAX_CHUNKS:
@@ -131,6 +142,7 @@ class LibraryEncoder:
         """A text in which white space meets, or stands at an end."""
         self.forget()
         first, rest = chunks(text)
+        rest = [p for p in rest if p]
         # chunks that begin with NUL would be taken for marked ones
         plain = [p for p in rest if p[:1] != "\0"]
         raw = dict(zip(plain, self.learn(plain), strict=True))
@@ -138,6 +150,20 @@ class LibraryEncoder:
         return np.frombuffer(self.plain([first])[0] + b"".join(map(raw.__getitem__, rest)), self.width)
 
 
+def by_size(batches, size: int = 1 << 23):
+    """(first column, texts) of Arrow batches, together while the texts have few bytes."""
+    ids, texts, held = [], [], 0
+    for b in batches:
+        ids.append(b.column(0))
+        texts.append(b.column(1))
+        held += b.column(1).nbytes
+        if held >= size:
+            yield pa.concat_arrays(ids), pa.concat_arrays([t.cast(pa.large_string()) for t in texts])
+            ids, texts, held = [], [], 0
+    if ids:
+        yield pa.concat_arrays(ids), pa.concat_arrays([t.cast(pa.large_string()) for t in texts])
+
+
 @lru_cache(2)
 def encoder(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)

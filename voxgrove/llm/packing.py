@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, saved
-from .library import encoder
+from .library import by_size, encoder
 
 CAPACITY = 1024
 #: Pieces that are packed together at most; fill under which a bin's pieces get a second chance.
@@ -156,8 +156,8 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, end_id: int =
     def run(batches):
         encode, number = encoder(vocabulary).column, TaskContext.get().partitionId() << 40
         rows: list[tuple] = []
-        for b in batches:
-            for d, ids in zip(b.column(0).to_pylist(), encode(b.column(1)), strict=True):
+        for own, texts in by_size(batches):
+            for d, ids in zip(own.to_pylist(), encode(texts), strict=True):
                 rows += cut(d, ids)
             if len(rows) >= GROUP:
                 out, number = placed(rows, number, capacity)

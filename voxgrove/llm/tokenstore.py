@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_batches, pack, partitions, scratch_dir, ship, unpack
-from .library import encoder
+from .library import by_size, encoder
 
 BLOCK_IDS = 1 << 20
 #: Rounds of replacing, pairs replaced in a round, least count of such a pair, least gain of a round.
@@ -61,13 +61,15 @@ def compress(ids: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
             break
         pairs = np.sort(s[first[often]])
         lefts, rights = (pairs >> kind(bits)).astype(np.int64), (pairs & kind((1 << bits) - 1)).astype(np.int64)
-        left, right = np.zeros(nxt, bool), np.zeros(nxt, bool)
-        left[lefts] = True
-        right[rights] = True
-        at = np.flatnonzero(left[seq[:-1]] & right[seq[1:]])
-        where = np.searchsorted(pairs, keys[at])
-        hit = pairs[np.minimum(where, len(pairs) - 1)] == keys[at]
-        at, where = at[hit], where[hit]
+        # a small table of (left symbol, right symbol) says which pair stands at a place
+        ls, rs = np.unique(lefts), np.unique(rights)
+        row, col = np.zeros(nxt, np.int32), np.zeros(nxt, np.int32)
+        row[ls], col[rs] = np.arange(1, len(ls) + 1), np.arange(1, len(rs) + 1)
+        which = np.full((len(ls) + 1) * (len(rs) + 1), -1, np.int32)
+        which[row[lefts] * (len(rs) + 1) + col[rights]] = np.arange(len(pairs))
+        where = which[row[seq[:-1]] * np.int32(len(rs) + 1) + col[seq[1:]]]
+        at = np.flatnonzero(where >= 0)
+        where = where[at]
         # of places in a row, every other one from the first on
         begins = np.flatnonzero(np.r_[True, np.diff(at) != 1])
         take = (np.arange(len(at)) - np.repeat(begins, np.diff(np.r_[begins, len(at)]))) % 2 == 0
@@ -163,8 +165,8 @@ def write_tokens(docs: DataFrame, path: str | None = None, vocabulary: str | Non
             block, start, held, names, sizes, kept = block + 1, start + len(ids), 0, [], [], []
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["shard", "block", "start", "n_tokens", "payload"])
 
-        for b in batches:
-            for d, ids in zip(b.column(0).to_pylist(), encode(b.column(1)), strict=True):
+        for own, texts in by_size(batches):
+            for d, ids in zip(own.to_pylist(), encode(texts), strict=True):
                 if held and held + len(ids) >= BLOCK_IDS:
                     yield flush()
                 names.append(d)
