@@ -1,9 +1,179 @@
-"""The registered queries of the tracing engine."""
+"""The registered queries of the tracing engine, and DuckDB SQL for them.
+
+All run over the proxy volume of the given tables, at thresholds that give one large component
+(235) or many small ones (250).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.costs import cost_table, mean_edge_cost, voxel_cost
+from ..operators import distance, queue, skeleton, stencil, tracing, voxels
+from ..sources.swc import swc_lines
+from ..sources.volume import proxy_volume
+from . import trace as tr
+
+T_ONE, T_MANY = 235, 250
+
+
+def _fg(spark: SparkSession, d: str, t: int = T_ONE) -> DataFrame:
+    return voxels.global_threshold(proxy_volume(spark, d), t)
+
+
+def _edges(spark, d, t=T_ONE):
+    return stencil.edges26(_fg(spark, d, t)).select("image_id", "src", "dst", "w")
+
+
+def _probe_seeds(spark, d):
+    return _fg(spark, d).where("idx % 97 = 0").select("image_id", F.col("idx").alias("seed_id"), "idx")
+
+
+def _skeleton(spark, d, threshold=T_ONE, min_nodes=3):
+    return tr.trace(proxy_volume(spark, d), threshold=threshold, min_nodes=min_nodes)
+
+
+def _chains(spark, d):
+    fg = _fg(spark, d)
+    edges, labels, forest = tr.marched(fg)
+    mst = tracing.spanning_forest(tracing.merge_candidates(edges, labels))
+    return skeleton.chains(skeleton.reroot(forest, mst, skeleton.segment_components(labels, mst)), fg)
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    return _skeleton(spark, d, 200)
 
 
 def queries():
-    return {}
+    """Name to function of (spark, sf_dir)."""
+    vol = proxy_volume
+    lab = lambda s, d: tracing.fast_marching(_edges(s, d), tracing.poisson_seeds(_fg(s, d)))
+    return {
+        "proxy_volume": lambda s, d: vol(s, d).select("idx", "x", "y", "z", "v"),
+        "global_threshold": lambda s, d: _fg(s, d).select("idx", "v"),
+        "slice_profile": lambda s, d: voxels.slice_profile(_fg(s, d, 200)).select("z", "n", "total"),
+        "auto_threshold": lambda s, d: voxels.auto_threshold(vol(s, d)).select("idx", "v"),
+        "local_threshold": lambda s, d: stencil.local_threshold(_fg(s, d)).select("idx", "v"),
+        "compact_index": lambda s, d: voxels.compact_index(_fg(s, d), 1024).select("idx", "cid"),
+        "compact_lookup": lambda s, d: voxels.compact_lookup(voxels.compact_index(_fg(s, d)), s.range(0, 5000, 7).select(F.lit("proxy").alias("image_id"), F.col("id").alias("cid"))).select("cid", "idx"),
+        "neighbors6": lambda s, d: stencil.neighbours(_fg(s, d), stencil.OFFSETS6).select("src", "dst"),
+        "neighbors26": lambda s, d: stencil.edges26(_fg(s, d)).select("src", "dst", "dir", "step"),
+        "neighbors_ball": lambda s, d: stencil.neighbours(_fg(s, d, T_MANY), stencil.ball(3)).select("src", "dst", "d2"),
+        "voxel_cost": lambda s, d: _fg(s, d).select("idx", F.round(voxel_cost(F.col("v")), 6).alias("cost")),
+        "mean_edge_cost": lambda s, d: stencil.edges26(_fg(s, d, T_MANY)).select("src", "dst", F.round(mean_edge_cost(F.col("step") / 1000, F.col("a"), F.col("b")), 6).alias("cost")),
+        "edge_cost": lambda s, d: _edges(s, d).select("src", "dst", "w"),
+        "parent_decode": lambda s, d: stencil.decode_parents(vol(s, d).where("x > 0 AND x < 47 AND y > 0 AND y < 47 AND z > 0 AND z < 6").withColumn("dir", (F.col("idx") % 26).cast("int"))).select("idx", "parent_idx"),
+        "prefix_sum": lambda s, d: voxels.prefix_sum(_fg(s, d), F.col("v").cast("long"), ["image_id"], "idx", True, 1024).select("idx", "scan"),
+        "transform_scan": lambda s, d: voxels.prefix_sum(vol(s, d), (F.col("v") >= T_ONE).cast("long"), ["image_id"], "idx", False, 1024).select("idx", "scan"),
+        "reduce_stats": lambda s, d: voxels.reduce_stats(vol(s, d)).select("n", "total", "least", "most"),
+        "extrema": lambda s, d: voxels.extrema(vol(s, d)).select("low_idx", "high_idx"),
+        "replace_if": lambda s, d: voxels.replace_if(vol(s, d), "v", F.col("v") < T_ONE, 0).select("idx", "v"),
+        "remove_if": lambda s, d: voxels.remove_if(vol(s, d), F.col("v") < T_ONE).select("idx", "v"),
+        "copy_if": lambda s, d: voxels.copy_if(vol(s, d), F.col("v") % 2 == 0).select("idx", "v"),
+        "fill": lambda s, d: voxels.fill(_fg(s, d), "state", 0).select("idx", "state"),
+        "sequence": lambda s, d: voxels.sequence(s, 1000),
+        "scatter": lambda s, d: voxels.scatter(vol(s, d), _fg(s, d).select("idx", (F.col("v") * 2).alias("w")), ["idx"], "v", "w").select("idx", "v"),
+        "queue_least": lambda s, d: queue.least(vol(s, d).select("z", "idx", "v"), ["z"], "v", "idx").select("z", "idx", "v"),
+        "components": lambda s, d: tracing.voxel_components(_edges(s, d, T_MANY), _fg(s, d, T_MANY)).select("idx", "comp"),
+        "gwdt": lambda s, d: distance.grey_weighted(_fg(s, d, 200)).select("idx", "gwdt"),
+        "radius_direct": lambda s, d: distance.radius_by_ball(_fg(s, d, 150)).select("idx", "radius"),
+        "radius_fm": lambda s, d: distance.radius_by_steps(_fg(s, d, 150)).select("idx", "radius"),
+        "poisson_seeds": lambda s, d: tracing.poisson_seeds(_fg(s, d)).select("seed_id"),
+        "geodesic": lambda s, d: tracing.fast_marching(_edges(s, d), _probe_seeds(s, d)).select("idx", "dist"),
+        "seed_label": lambda s, d: tracing.fast_marching(_edges(s, d), _probe_seeds(s, d)).select("idx", "dist", "seed_id"),
+        "parent_forest": lambda s, d: tracing.parent_forest(_edges(s, d), tracing.fast_marching(_edges(s, d), _probe_seeds(s, d))).select("idx", "parent_idx"),
+        "child_counts": lambda s, d: tracing.child_counts(tracing.parent_forest(_edges(s, d), tracing.fast_marching(_edges(s, d), _probe_seeds(s, d)))).select("idx", "children"),
+        "leaves": lambda s, d: skeleton.leaves(tracing.parent_forest(_edges(s, d), tracing.fast_marching(_edges(s, d), _probe_seeds(s, d)))).select("idx"),
+        "merge_candidates": lambda s, d: tracing.merge_candidates(_edges(s, d), tracing.fast_marching(_edges(s, d), _probe_seeds(s, d))).select("s", "t", "cost", "a", "b"),
+        "mst_edges": lambda s, d: tracing.spanning_forest(tracing.merge_candidates(_edges(s, d), lab(s, d))).select("s", "t", "cost", "a", "b"),
+        "chains": lambda s, d: _chains(s, d).select("idx", "chain_id", "pos", "after"),
+        "swc": lambda s, d: swc_lines(_skeleton(s, d)).select("id", "line"),
+    }
+
+
+def _o(offsets):
+    return "(VALUES " + ", ".join(f"({i}, {a}, {b}, {c}, {a * a + b * b + c * c})" for i, (a, b, c) in enumerate(offsets)) + ") o(dir, dx, dy, dz, d2)"
+
+
+VOX = "vox AS (SELECT (z * 48 + y) * 48 + x AS idx, * FROM (SELECT CAST(l_partkey % 48 AS INT) x, CAST(l_orderkey % 48 AS INT) y, CAST(l_linenumber - 1 AS INT) z, CAST(max(l_quantity * 5) AS INT) v FROM lineitem GROUP BY 1, 2, 3))"
+
+
+def _sql(t=T_ONE, offsets=None):
+    out = f"{VOX}, fg AS (SELECT * FROM vox WHERE v >= {t})"
+    if offsets:
+        out += f", nb AS (SELECT a.idx AS src, b.idx AS dst, dir, d2, a.v AS a, b.v AS b FROM fg a CROSS JOIN {_o(offsets)} JOIN fg b ON b.x = a.x + dx AND b.y = a.y + dy AND b.z = a.z + dz)"
+    return out
+
+
+STEP = "CASE d2 WHEN 1 THEN 1000 WHEN 2 THEN 1414 ELSE 1732 END"
+GI = "CAST([" + ", ".join(map(str, cost_table())) + "] AS BIGINT[])"
+EDGES = f", edges AS (SELECT src, dst, CAST(({STEP}) * ({GI}[a + 1] + {GI}[b + 1]) AS BIGINT) AS w FROM nb)"
+LABEL = "WITH RECURSIVE " + _sql(T_ONE, stencil.OFFSETS26) + EDGES + """,
+lab(id, val) USING KEY (id) AS (
+  SELECT idx, {'d': CAST(0 AS BIGINT), 's': idx} FROM fg WHERE idx % 97 = 0
+  UNION
+  SELECT e.dst, min({'d': l.val.d + e.w, 's': l.val.s}) FROM lab l JOIN edges e ON e.src = l.id LEFT JOIN recurring.lab r ON r.id = e.dst
+  GROUP BY e.dst, r.val HAVING r.val IS NULL OR min({'d': l.val.d + e.w, 's': l.val.s}) < r.val)"""
+FOREST = LABEL + """,
+best AS (SELECT e.dst AS idx, min({'d': l.val.d + e.w, 's': l.val.s, 'u': e.src}) AS b FROM edges e JOIN lab l ON l.id = e.src GROUP BY e.dst),
+forest AS (SELECT l.id AS idx, CASE WHEN l.val.d > 0 THEN b.b.u END AS parent_idx FROM lab l LEFT JOIN best b ON b.idx = l.id)"""
+
+
+def _relax(start, weight, t, name, kind="BIGINT"):
+    return "WITH RECURSIVE " + _sql(t, stencil.OFFSETS26) + f""",
+six AS (SELECT a.idx, count(b.idx) AS n FROM fg a CROSS JOIN {_o(stencil.OFFSETS6)} LEFT JOIN fg b ON b.x = a.x + dx AND b.y = a.y + dy AND b.z = a.z + dz GROUP BY a.idx),
+r(id, val) USING KEY (id) AS (
+  SELECT idx, CAST(0 AS {kind}) FROM six WHERE n < 6
+  UNION
+  SELECT nb.dst, min(l.val + CAST({weight} AS {kind})) FROM r l JOIN nb ON nb.src = l.id LEFT JOIN recurring.r o ON o.id = nb.dst
+  GROUP BY nb.dst, o.val HAVING o.val IS NULL OR min(l.val + CAST({weight} AS {kind})) < o.val)
+SELECT CAST(id AS BIGINT) AS idx, val AS {name} FROM r"""
 
 
 def oracle_sql():
-    return {}
+    """DuckDB SQL by query name. Chains and skeletons have none: they are tested by invariants."""
+    w = "WITH " + _sql()
+    n26 = "WITH " + _sql(T_ONE, stencil.OFFSETS26)
+    big = "CAST(idx AS BIGINT) AS idx"
+    balls = " ".join(f"WHEN 1000 * ({len(stencil.ball(r))} - n{r}) > {len(stencil.ball(r)) + 1} THEN {r - 1}" for r in (1, 2, 3))
+    counts = ", ".join(f"count(*) FILTER (WHERE b.idx IS NOT NULL AND ceil(sqrt(d2)) <= {r}) AS n{r}" for r in (1, 2, 3))
+    par = ", ".join(f"[{', '.join(str(o[k]) for o in stencil.OFFSETS26)}] AS d{k}" for k in range(3))
+    return {
+        "proxy_volume": f"WITH {VOX} SELECT {big}, x, y, z, v FROM vox",
+        "global_threshold": f"{w} SELECT {big}, v FROM fg",
+        "slice_profile": f"WITH {_sql(200)} SELECT z, count(*) AS n, CAST(sum(v) AS BIGINT) AS total FROM fg GROUP BY z",
+        "auto_threshold": f"WITH {VOX}, t AS (SELECT floor(avg(v) + 0.5 * greatest(stddev_pop(v), 10)) AS t FROM vox) SELECT {big}, v FROM vox, t WHERE v >= t",
+        "local_threshold": f"WITH {_sql(T_ONE, stencil.cube(2))}, c AS (SELECT src, count(*) AS n, count(*) FILTER (WHERE b > a) AS m FROM nb GROUP BY src) SELECT {big}, v FROM fg LEFT JOIN c ON src = idx WHERE 20 * coalesce(m, 0) < coalesce(n, 0) + 1",
+        "compact_index": f"{w} SELECT {big}, row_number() OVER (ORDER BY idx) - 1 AS cid FROM fg",
+        "compact_lookup": f"{w}, c AS (SELECT idx, row_number() OVER (ORDER BY idx) - 1 AS cid FROM fg) SELECT cid, {big} FROM c WHERE cid % 7 = 0 AND cid < 5000",
+        "neighbors6": f"WITH {_sql(T_ONE, stencil.OFFSETS6)} SELECT CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst FROM nb",
+        "neighbors26": f"{n26} SELECT CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst, dir, CAST({STEP} AS BIGINT) AS step FROM nb",
+        "neighbors_ball": f"WITH {_sql(T_MANY, stencil.ball(3))} SELECT CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst, d2 FROM nb",
+        "voxel_cost": f"{w} SELECT {big}, round(exp(10.0 * (1 - v / 255.0::DOUBLE) * (1 - v / 255.0::DOUBLE)), 6) AS cost FROM fg",
+        "mean_edge_cost": f"WITH {_sql(T_MANY, stencil.OFFSETS26)} SELECT CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst, round(({STEP}) / 1000.0::DOUBLE * (exp(10.0 * (1 - a / 255.0::DOUBLE) * (1 - a / 255.0::DOUBLE)) + exp(10.0 * (1 - b / 255.0::DOUBLE) * (1 - b / 255.0::DOUBLE))) / 2, 6) AS cost FROM nb",
+        "edge_cost": f"{n26}{EDGES} SELECT CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst, w FROM edges",
+        "parent_decode": f"WITH {VOX}, o AS (SELECT {par}) SELECT {big}, CAST(((z + d2[idx % 26 + 1]) * 48 + y + d1[idx % 26 + 1]) * 48 + x + d0[idx % 26 + 1] AS BIGINT) AS parent_idx FROM vox, o WHERE x > 0 AND x < 47 AND y > 0 AND y < 47 AND z > 0 AND z < 6",
+        "prefix_sum": f"{w} SELECT {big}, CAST(sum(v) OVER (ORDER BY idx) AS BIGINT) AS scan FROM fg",
+        "transform_scan": f"WITH {VOX} SELECT {big}, CAST(coalesce(sum(CAST(v >= {T_ONE} AS INT)) OVER (ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS scan FROM vox",
+        "reduce_stats": f"WITH {VOX} SELECT count(*) AS n, CAST(sum(v) AS BIGINT) AS total, min(v) AS least, max(v) AS most FROM vox",
+        "extrema": f"WITH {VOX} SELECT CAST((SELECT idx FROM vox ORDER BY v, idx LIMIT 1) AS BIGINT) AS low_idx, CAST((SELECT idx FROM vox ORDER BY v DESC, idx LIMIT 1) AS BIGINT) AS high_idx",
+        "replace_if": f"WITH {VOX} SELECT {big}, CASE WHEN v < {T_ONE} THEN 0 ELSE v END AS v FROM vox",
+        "remove_if": f"{w} SELECT {big}, v FROM fg",
+        "copy_if": f"WITH {VOX} SELECT {big}, v FROM vox WHERE v % 2 = 0",
+        "fill": f"{w} SELECT {big}, 0 AS state FROM fg",
+        "sequence": "SELECT i FROM range(1000) t(i)",
+        "scatter": f"WITH {VOX} SELECT {big}, CASE WHEN v >= {T_ONE} THEN v * 2 ELSE v END AS v FROM vox",
+        "queue_least": f"WITH {VOX} SELECT z, {big}, v FROM vox QUALIFY row_number() OVER (PARTITION BY z ORDER BY v, idx) = 1",
+        "components": "WITH RECURSIVE " + _sql(T_MANY, stencil.OFFSETS26) + ", c(id, comp) USING KEY (id) AS (SELECT idx, idx FROM fg UNION SELECT nb.dst, min(l.comp) FROM c l JOIN nb ON nb.src = l.id JOIN recurring.c o ON o.id = nb.dst GROUP BY nb.dst, o.comp HAVING min(l.comp) < o.comp) SELECT CAST(id AS BIGINT) AS idx, CAST(comp AS BIGINT) AS comp FROM c",
+        "gwdt": _relax("", f"({STEP}) * b", 200, "gwdt"),
+        "radius_fm": _relax("", "1", 150, "radius", "INTEGER"),
+        "radius_direct": f"WITH {_sql(150)}, c AS (SELECT a.idx, {counts} FROM fg a CROSS JOIN {_o(stencil.ball(3))} LEFT JOIN fg b ON b.x = a.x + dx AND b.y = a.y + dy AND b.z = a.z + dz GROUP BY a.idx) SELECT {big}, CASE {balls} ELSE 3 END AS radius FROM c",
+        "poisson_seeds": "WITH RECURSIVE " + _sql(T_ONE, stencil.OFFSETS26) + ", pr AS (SELECT src, dst FROM nb WHERE ((CAST(src AS BIGINT) * 2654435761) % 4294967296, src) < ((CAST(dst AS BIGINT) * 2654435761) % 4294967296, dst)), s(id, st) USING KEY (id) AS (SELECT idx, CASE WHEN idx IN (SELECT dst FROM pr) THEN 0 ELSE 1 END FROM fg UNION SELECT p.dst, CASE WHEN bool_or(a.st = 1) THEN 1 + 1 ELSE 1 END FROM pr p JOIN recurring.s a ON a.id = p.src JOIN recurring.s b ON b.id = p.dst WHERE b.st = 0 GROUP BY p.dst HAVING bool_or(a.st = 1) OR bool_and(a.st = 2)) SELECT CAST(id AS BIGINT) AS seed_id FROM s WHERE st = 1",
+        "geodesic": LABEL + " SELECT CAST(id AS BIGINT) AS idx, val.d AS dist FROM lab",
+        "seed_label": LABEL + " SELECT CAST(id AS BIGINT) AS idx, val.d AS dist, CAST(val.s AS BIGINT) AS seed_id FROM lab",
+        "parent_forest": FOREST + " SELECT CAST(idx AS BIGINT) AS idx, CAST(parent_idx AS BIGINT) AS parent_idx FROM forest",
+        "child_counts": FOREST + " SELECT CAST(f.idx AS BIGINT) AS idx, count(c.idx) AS children FROM forest f LEFT JOIN forest c ON c.parent_idx = f.idx GROUP BY f.idx",
+        "leaves": FOREST + " SELECT CAST(idx AS BIGINT) AS idx FROM forest WHERE idx NOT IN (SELECT parent_idx FROM forest WHERE parent_idx IS NOT NULL)",
+        "merge_candidates": LABEL + ", m AS (SELECT a.val.s AS s, b.val.s AS t, min({'c': a.val.d + e.w + b.val.d, 'a': e.src, 'b': e.dst}) AS e FROM edges e JOIN lab a ON a.id = e.src JOIN lab b ON b.id = e.dst WHERE a.val.s < b.val.s GROUP BY 1, 2) SELECT CAST(s AS BIGINT) AS s, CAST(t AS BIGINT) AS t, e.c AS cost, CAST(e.a AS BIGINT) AS a, CAST(e.b AS BIGINT) AS b FROM m",
+    }
