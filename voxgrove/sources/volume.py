@@ -53,6 +53,8 @@ def read_tiff(spark: SparkSession, path: str) -> DataFrame:
     if not path.lower().endswith((".tif", ".tiff")):
         reader = reader.option("pathGlobFilter", "*.{tif,tiff,TIF,TIFF}")
 
+    kinds = [pa.string(), pa.int64(), *[pa.int32()] * 7]
+
     def run(batches):
         for b in batches:
             for name, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -63,7 +65,7 @@ def read_tiff(spark: SparkSession, path: str) -> DataFrame:
                     n, (h, w) = len(x), p.shape
                     idx = (np.int64(z) * h + y) * w + x
                     cols = [[name.rsplit("/", 1)[-1]] * n, idx, x.astype(np.int32), y.astype(np.int32), np.full(n, z, np.int32), p[y, x].astype(np.int32), *(np.full(n, k, np.int32) for k in (w, h, len(pages)))]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [c.split()[0] for c in VOXELS.split(", ")])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [c.split()[0] for c in VOXELS.split(", ")])
 
     # a stack is decoded whole by one task, so that its depth is known
     return reader.load(path).select("path", "content").mapInArrow(run, VOXELS)

@@ -12,7 +12,7 @@ from ..sources.volume import read_tiff
 def watch(spark: SparkSession, folder: str, out: str, checkpoint: str, threshold: int = -1, local: bool = False, **options):
     """Start the query. Each batch writes a folder of its own, so that a batch run again after a
     failure replaces what it wrote."""
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.{tif,tiff}").load(folder).select("path")
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.{tif,tiff}").load(folder).select("path")
 
     def one(batch, number: int) -> None:
         paths = [r["path"] for r in batch.collect()]  # names of new files only
