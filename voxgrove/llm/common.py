@@ -143,8 +143,9 @@ def components(pairs: DataFrame, name: str, rounds: int = 100) -> DataFrame:
     """(id, component_id) of every id in ``pairs(a, b)``: the smallest id reachable.
 
     Alternating large-star and small-star rounds; each is a group minimum joined back
-    on its key, so no neighbour list is ever gathered, and a hot hub is an ordinary
-    skewed join. Each round is a scratch table. Null or equal ends are ignored.
+    on its key, so no neighbour list is ever gathered. The minima are scratch tables, so
+    that both sides of the join have exchanges of their own and a hot hub's rows can be
+    split. Each round is a scratch table. Null or equal ends are ignored.
     """
     spark = pairs.sparkSession
     sums = lambda d: tuple(d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head())
@@ -154,15 +155,16 @@ def components(pairs: DataFrame, name: str, rounds: int = 100) -> DataFrame:
         if not old[0]:
             break
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = saved(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), name)
         large = both.where("b > a").join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = saved(large, name)
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        release(low)
+        low = saved(large.groupBy("a").agg(F.min("b").alias("m")), name)
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         new = saved(small.distinct(), name)
         now = sums(new)
-        release(large)
-        release(e)
+        for x in (large, low, e):
+            release(x)
         e = new
         if now == old:
             break
