@@ -224,7 +224,7 @@ def test_stream_of_stacks(spark, tmp_path):
     assert read_swc(spark, str(tmp_path / "out/batch=0/image=a.tif_trace.swc")).count() == 5
 
 
-SQL_NAMES = ["slice_profile", "auto_threshold", "local_threshold", "compact_index", "edge_cost", "parent_decode", "prefix_sum", "extrema", "components", "poisson_seeds", "seed_label", "gwdt", "radius_direct"]
+SQL_NAMES = ["slice_profile", "auto_threshold", "local_threshold", "compact_index", "edge_cost", "parent_decode", "prefix_sum", "extrema", "components", "poisson_seeds", "seed_label", "gwdt", "radius_direct", "mst_edges", "segments", "merged_tree", "chains", "pruned_chains", "valid_leaf_count", "swc"]
 
 
 @pytest.mark.parametrize("name", SQL_NAMES)
@@ -236,5 +236,5 @@ def test_queries_equal_sql(spark, name):
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{d}/lineitem.parquet')")
     df = catalog.queries()[name](spark, d)
     cols = sorted(df.columns)
-    want = sorted(map(tuple, con.execute(f"SELECT {', '.join(cols)} FROM ({catalog.oracle_sql()[name]})").fetchall()))
-    assert sorted(map(tuple, df.select(cols).collect())) == want
+    want = sorted(map(tuple, con.execute(f"SELECT {', '.join(cols)} FROM ({catalog.oracle_sql()[name]})").fetchall()), key=repr)
+    assert sorted(map(tuple, df.select(cols).collect()), key=repr) == want

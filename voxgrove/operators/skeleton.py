@@ -102,6 +102,11 @@ def prune(rows: DataFrame, min_nodes: int = 32) -> DataFrame:
     return rows.join(kept, ["image_id", "chain_id"], "left_semi")
 
 
+def valid_leaf_count(rows: DataFrame) -> DataFrame:
+    """(image_id, n): leaves that remain, one for each chain."""
+    return rows.where("pos = 0").groupBy("image_id").agg(F.count("*").alias("n"))
+
+
 def number(rows: DataFrame, voxels: DataFrame, radii: DataFrame) -> DataFrame:
     """SWC rows (image_id, id, type, x, y, z, r, parent): chain by chain in order of component and
     leaf, ids from 1, the parent of a node the next one in its chain; null at a root. Type is

@@ -14,6 +14,7 @@ from ..operators import distance, queue, skeleton, stencil, tracing, voxels
 from ..sources.swc import swc_lines
 from ..sources.volume import proxy_volume
 from . import trace as tr
+from .scratch import written
 
 T_ONE, T_MANY = 235, 250
 
@@ -34,11 +35,21 @@ def _skeleton(spark, d, threshold=T_ONE, min_nodes=3):
     return tr.trace(proxy_volume(spark, d), threshold=threshold, min_nodes=min_nodes)
 
 
-def _chains(spark, d):
+def _segments(spark, d):
+    """(foreground, forest, spanning forest, segments) at the one threshold."""
     fg = _fg(spark, d)
     edges, labels, forest = tr.marched(fg)
-    mst = tracing.spanning_forest(tracing.merge_candidates(edges, labels))
-    return skeleton.chains(skeleton.reroot(forest, mst, skeleton.segment_components(labels, mst)), fg)
+    mst = written(tracing.spanning_forest(tracing.merge_candidates(edges, labels)), "mst")
+    return fg, forest, mst, skeleton.segment_components(labels, mst)
+
+
+def _tree(spark, d):
+    return skeleton.reroot(*_segments(spark, d)[1:])
+
+
+def _chains(spark, d):
+    fg, *parts = _segments(spark, d)
+    return skeleton.chains(skeleton.reroot(*parts), fg)
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
@@ -87,6 +98,10 @@ def queries():
         "leaves": lambda s, d: skeleton.leaves(tracing.parent_forest(_edges(s, d), tracing.fast_marching(_edges(s, d), _probe_seeds(s, d)))).select("idx"),
         "merge_candidates": lambda s, d: tracing.merge_candidates(_edges(s, d), tracing.fast_marching(_edges(s, d), _probe_seeds(s, d))).select("s", "t", "cost", "a", "b"),
         "mst_edges": lambda s, d: tracing.spanning_forest(tracing.merge_candidates(_edges(s, d), lab(s, d))).select("s", "t", "cost", "a", "b"),
+        "segments": lambda s, d: _segments(s, d)[3].select("seed_id", "comp"),
+        "merged_tree": lambda s, d: _tree(s, d).select("idx", "parent_idx", "comp"),
+        "pruned_chains": lambda s, d: skeleton.prune(_chains(s, d), 3).select("idx", "chain_id"),
+        "valid_leaf_count": lambda s, d: skeleton.valid_leaf_count(skeleton.prune(_chains(s, d), 3)).select("n"),
         "chains": lambda s, d: _chains(s, d).select("idx", "chain_id", "pos", "after"),
         "swc": lambda s, d: swc_lines(_skeleton(s, d)).select("id", "line"),
     }
@@ -109,15 +124,68 @@ def _sql(t=T_ONE, offsets=None):
 STEP = "CASE d2 WHEN 1 THEN 1000 WHEN 2 THEN 1414 ELSE 1732 END"
 GI = "CAST([" + ", ".join(map(str, cost_table())) + "] AS BIGINT[])"
 EDGES = f", edges AS (SELECT src, dst, CAST(({STEP}) * ({GI}[a + 1] + {GI}[b + 1]) AS BIGINT) AS w FROM nb)"
-LABEL = "WITH RECURSIVE " + _sql(T_ONE, stencil.OFFSETS26) + EDGES + """,
+SEEDS = """,
+pr AS (SELECT src, dst FROM nb WHERE ((CAST(src AS BIGINT) * 2654435761) % 4294967296, src) < ((CAST(dst AS BIGINT) * 2654435761) % 4294967296, dst)),
+s(id, st) USING KEY (id) AS (
+  SELECT idx, CASE WHEN idx IN (SELECT dst FROM pr) THEN 0 ELSE 1 END FROM fg
+  UNION
+  SELECT p.dst, CASE WHEN bool_or(a.st = 1) THEN 1 + 1 ELSE 1 END FROM pr p JOIN recurring.s a ON a.id = p.src JOIN recurring.s b ON b.id = p.dst
+  WHERE b.st = 0 GROUP BY p.dst HAVING bool_or(a.st = 1) OR bool_and(a.st = 2)),
+seeds AS (SELECT id AS idx FROM s WHERE st = 1)"""
+MARCH = """,
 lab(id, val) USING KEY (id) AS (
-  SELECT idx, {'d': CAST(0 AS BIGINT), 's': idx} FROM fg WHERE idx % 97 = 0
+  SELECT idx, {'d': CAST(0 AS BIGINT), 's': idx} FROM seeds
   UNION
   SELECT e.dst, min({'d': l.val.d + e.w, 's': l.val.s}) FROM lab l JOIN edges e ON e.src = l.id LEFT JOIN recurring.lab r ON r.id = e.dst
   GROUP BY e.dst, r.val HAVING r.val IS NULL OR min({'d': l.val.d + e.w, 's': l.val.s}) < r.val)"""
-FOREST = LABEL + """,
+PARENTS = """,
 best AS (SELECT e.dst AS idx, min({'d': l.val.d + e.w, 's': l.val.s, 'u': e.src}) AS b FROM edges e JOIN lab l ON l.id = e.src GROUP BY e.dst),
 forest AS (SELECT l.id AS idx, CASE WHEN l.val.d > 0 THEN b.b.u END AS parent_idx FROM lab l LEFT JOIN best b ON b.idx = l.id)"""
+CANDIDATES = """,
+m AS (SELECT a.val.s AS s, b.val.s AS t, min({'c': a.val.d + e.w + b.val.d, 'a': e.src, 'b': e.dst}) AS e
+  FROM edges e JOIN lab a ON a.id = e.src JOIN lab b ON b.id = e.dst WHERE a.val.s < b.val.s GROUP BY 1, 2)"""
+# Kruskal: candidates in order, one list of the seeds' labels handed from row to row
+KRUSKAL = """,
+num AS (SELECT idx, row_number() OVER (ORDER BY idx) AS k FROM seeds),
+rk AS (SELECT s, t, e.c AS cost, e.a AS a, e.b AS b, row_number() OVER (ORDER BY e.c, e.a, e.b) AS r, i.k AS si, j.k AS ti FROM m JOIN num i ON i.idx = s JOIN num j ON j.idx = t),
+kr(r, comp, took) AS (
+  SELECT CAST(0 AS BIGINT), (SELECT list(k ORDER BY k) FROM num), false
+  UNION ALL
+  SELECT rk.r, CASE WHEN comp[si] = comp[ti] THEN comp ELSE list_transform(comp, lambda x: CASE WHEN x = greatest(comp[si], comp[ti]) THEN least(comp[si], comp[ti]) ELSE x END) END, comp[si] <> comp[ti]
+  FROM kr JOIN rk ON rk.r = kr.r + 1),
+mst AS (SELECT rk.* FROM rk JOIN kr USING (r) WHERE took),
+seg AS (SELECT n.idx AS seed_id, o.idx AS comp FROM (SELECT comp FROM kr ORDER BY r DESC LIMIT 1) f, num n JOIN num o ON o.k = f.comp[n.k])"""
+TREE = """,
+one AS (SELECT idx AS u, parent_idx AS v FROM forest WHERE parent_idx IS NOT NULL UNION SELECT a, b FROM mst),
+arcs AS (SELECT o.u, o.v, CASE abs(p.x - q.x) + abs(p.y - q.y) + abs(p.z - q.z) WHEN 1 THEN 1000 WHEN 2 THEN 1414 ELSE 1732 END AS step
+  FROM (SELECT u, v FROM one UNION SELECT v, u FROM one) o JOIN fg p ON p.idx = o.u JOIN fg q ON q.idx = o.v),
+tree(idx, parent_idx, comp, depth) AS (
+  SELECT DISTINCT comp, CAST(NULL AS INTEGER), comp, CAST(0 AS BIGINT) FROM seg
+  UNION ALL
+  SELECT a.v, t.idx, t.comp, t.depth + a.step FROM tree t JOIN arcs a ON a.u = t.idx WHERE a.v IS DISTINCT FROM t.parent_idx)"""
+CHAINS = """,
+anc(idx, up) AS (SELECT idx, parent_idx FROM tree WHERE parent_idx IS NOT NULL UNION ALL SELECT a.idx, t.parent_idx FROM anc a JOIN tree t ON t.idx = a.up WHERE t.parent_idx IS NOT NULL),
+far AS (SELECT t.idx, t.parent_idx, greatest(t.depth, coalesce(f.most, 0)) AS far FROM tree t LEFT JOIN (SELECT a.up, max(u.depth) AS most FROM anc a JOIN tree u ON u.idx = a.idx GROUP BY a.up) f ON f.up = t.idx),
+nxt AS (SELECT idx, -p.l AS down FROM (SELECT parent_idx AS idx, max({'f': far, 'l': -idx}) AS p FROM far WHERE parent_idx IS NOT NULL GROUP BY parent_idx)),
+ch(idx, chain_id, pos) AS (
+  SELECT idx, idx, 0 FROM tree WHERE idx NOT IN (SELECT idx FROM nxt)
+  UNION ALL
+  SELECT n.idx, c.chain_id, c.pos + 1 FROM ch c JOIN nxt n ON n.down = c.idx),
+chains AS (SELECT c.idx, c.chain_id, c.pos, t.parent_idx, t.comp, CASE WHEN n.down IS NULL THEN t.parent_idx END AS after FROM ch c JOIN tree t ON t.idx = c.idx LEFT JOIN nxt n ON n.down = c.idx),
+sizes AS (SELECT chain_id, min(comp) AS comp, count(*) AS n, max(after) AS after FROM chains GROUP BY chain_id),
+kept(chain_id, comp, n) AS (
+  SELECT chain_id, comp, n FROM sizes WHERE after IS NULL AND n >= 3
+  UNION ALL
+  SELECT s.chain_id, s.comp, s.n FROM kept k JOIN chains c ON c.chain_id = k.chain_id JOIN sizes s ON s.after = c.idx WHERE s.n >= 3)"""
+NUMBERS = """,
+base AS (SELECT chain_id, coalesce(sum(n) OVER (ORDER BY comp, chain_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base, dense_rank() OVER (ORDER BY comp) - 1 AS rank FROM kept),
+ids AS (SELECT c.idx, c.parent_idx, CAST(b.base + c.pos + 1 AS INTEGER) AS id, 2 + b.rank % 11 AS kind FROM chains c JOIN base b ON b.chain_id = c.chain_id)"""
+PROBES = ", seeds AS (SELECT idx FROM fg WHERE idx % 97 = 0)"
+START = "WITH RECURSIVE " + _sql(T_ONE, stencil.OFFSETS26) + EDGES
+LABEL = START + PROBES + MARCH
+FOREST = LABEL + PARENTS
+MERGED = START + SEEDS + MARCH + CANDIDATES + KRUSKAL
+SKELETON = MERGED + PARENTS + TREE + CHAINS
 
 
 def _relax(start, weight, t, name, kind="BIGINT"):
@@ -132,7 +200,7 @@ SELECT CAST(id AS BIGINT) AS idx, val AS {name} FROM r"""
 
 
 def oracle_sql():
-    """DuckDB SQL by query name. Chains and skeletons have none: they are tested by invariants."""
+    """DuckDB SQL by query name."""
     w = "WITH " + _sql()
     n26 = "WITH " + _sql(T_ONE, stencil.OFFSETS26)
     big = "CAST(idx AS BIGINT) AS idx"
@@ -169,11 +237,18 @@ def oracle_sql():
         "gwdt": _relax("", f"({STEP}) * b", 200, "gwdt"),
         "radius_fm": _relax("", "1", 150, "radius", "INTEGER"),
         "radius_direct": f"WITH {_sql(150)}, c AS (SELECT a.idx, {counts} FROM fg a CROSS JOIN {_o(stencil.ball(3))} LEFT JOIN fg b ON b.x = a.x + dx AND b.y = a.y + dy AND b.z = a.z + dz GROUP BY a.idx) SELECT {big}, CASE {balls} ELSE 3 END AS radius FROM c",
-        "poisson_seeds": "WITH RECURSIVE " + _sql(T_ONE, stencil.OFFSETS26) + ", pr AS (SELECT src, dst FROM nb WHERE ((CAST(src AS BIGINT) * 2654435761) % 4294967296, src) < ((CAST(dst AS BIGINT) * 2654435761) % 4294967296, dst)), s(id, st) USING KEY (id) AS (SELECT idx, CASE WHEN idx IN (SELECT dst FROM pr) THEN 0 ELSE 1 END FROM fg UNION SELECT p.dst, CASE WHEN bool_or(a.st = 1) THEN 1 + 1 ELSE 1 END FROM pr p JOIN recurring.s a ON a.id = p.src JOIN recurring.s b ON b.id = p.dst WHERE b.st = 0 GROUP BY p.dst HAVING bool_or(a.st = 1) OR bool_and(a.st = 2)) SELECT CAST(id AS BIGINT) AS seed_id FROM s WHERE st = 1",
+        "poisson_seeds": "WITH RECURSIVE " + _sql(T_ONE, stencil.OFFSETS26) + SEEDS + " SELECT CAST(idx AS BIGINT) AS seed_id FROM seeds",
         "geodesic": LABEL + " SELECT CAST(id AS BIGINT) AS idx, val.d AS dist FROM lab",
         "seed_label": LABEL + " SELECT CAST(id AS BIGINT) AS idx, val.d AS dist, CAST(val.s AS BIGINT) AS seed_id FROM lab",
         "parent_forest": FOREST + " SELECT CAST(idx AS BIGINT) AS idx, CAST(parent_idx AS BIGINT) AS parent_idx FROM forest",
         "child_counts": FOREST + " SELECT CAST(f.idx AS BIGINT) AS idx, count(c.idx) AS children FROM forest f LEFT JOIN forest c ON c.parent_idx = f.idx GROUP BY f.idx",
         "leaves": FOREST + " SELECT CAST(idx AS BIGINT) AS idx FROM forest WHERE idx NOT IN (SELECT parent_idx FROM forest WHERE parent_idx IS NOT NULL)",
-        "merge_candidates": LABEL + ", m AS (SELECT a.val.s AS s, b.val.s AS t, min({'c': a.val.d + e.w + b.val.d, 'a': e.src, 'b': e.dst}) AS e FROM edges e JOIN lab a ON a.id = e.src JOIN lab b ON b.id = e.dst WHERE a.val.s < b.val.s GROUP BY 1, 2) SELECT CAST(s AS BIGINT) AS s, CAST(t AS BIGINT) AS t, e.c AS cost, CAST(e.a AS BIGINT) AS a, CAST(e.b AS BIGINT) AS b FROM m",
+        "merge_candidates": LABEL + CANDIDATES + " SELECT CAST(s AS BIGINT) AS s, CAST(t AS BIGINT) AS t, e.c AS cost, CAST(e.a AS BIGINT) AS a, CAST(e.b AS BIGINT) AS b FROM m",
+        "mst_edges": MERGED + " SELECT CAST(s AS BIGINT) AS s, CAST(t AS BIGINT) AS t, cost, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b FROM mst",
+        "segments": MERGED + " SELECT CAST(seed_id AS BIGINT) AS seed_id, CAST(comp AS BIGINT) AS comp FROM seg",
+        "merged_tree": MERGED + PARENTS + TREE + " SELECT CAST(idx AS BIGINT) AS idx, CAST(parent_idx AS BIGINT) AS parent_idx, CAST(comp AS BIGINT) AS comp FROM tree",
+        "chains": SKELETON + " SELECT CAST(idx AS BIGINT) AS idx, CAST(chain_id AS BIGINT) AS chain_id, pos, CAST(after AS BIGINT) AS after FROM chains",
+        "pruned_chains": SKELETON + " SELECT CAST(idx AS BIGINT) AS idx, CAST(chain_id AS BIGINT) AS chain_id FROM chains WHERE chain_id IN (SELECT chain_id FROM kept)",
+        "valid_leaf_count": SKELETON + " SELECT count(*) AS n FROM kept",
+        "swc": SKELETON + NUMBERS + f", c AS (SELECT a.idx, {counts} FROM fg a CROSS JOIN {_o(stencil.ball(3))} LEFT JOIN fg b ON b.x = a.x + dx AND b.y = a.y + dy AND b.z = a.z + dz GROUP BY a.idx) SELECT i.id, concat_ws(' ', i.id, i.kind, g.x, g.y, g.z, CASE {balls} ELSE 3 END, coalesce(p.id, -1)) AS line FROM ids i JOIN fg g ON g.idx = i.idx JOIN c ON c.idx = i.idx LEFT JOIN ids p ON p.idx = i.parent_idx",
     }
