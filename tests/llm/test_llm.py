@@ -98,6 +98,31 @@ def test_nn_descent(spark):
     assert nndescent.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_nn_descent_saturated_lists(spark):
+    """Dense clusters joined by links that no list of twelve has room for, and more noisy copies than a leaf."""
+    r = np.random.RandomState(4)
+    unit = lambda x: x / np.linalg.norm(x)
+    rows = []
+    for g in range(6):
+        q = np.linalg.qr(r.standard_normal((32, 2)))[0].T
+        for side in (q[0], 0.93 * q[0] + (1 - 0.93**2) ** 0.5 * q[1]):
+            rows += [unit(side + 0.015 * r.standard_normal(32)) for _ in range(20)]
+    hot = unit(r.standard_normal(32))
+    rows += [hot + 1e-6 * r.standard_normal(32) for _ in range(900)]
+    rows += list(r.standard_normal((300, 32)))
+    x = np.array(rows, np.float32)
+    y = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    hit = y @ y.T >= 0.9
+    np.fill_diagonal(hit, False)
+    comp = np.arange(len(x))
+    while (low := np.minimum(comp, np.where(hit, comp[None, :], len(x)).min(1))).tolist() != comp.tolist():
+        comp = low
+    assert all(hit[40 * g : 40 * g + 20, 40 * g + 20 : 40 * g + 40].any() for g in range(6))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = by_id(nndescent.near_duplicates(df), "vec_id")
+    assert [(got[i]["n_links"], got[i]["component_id"]) for i in range(len(x))] == list(zip(hit.sum(1).tolist(), comp.tolist(), strict=True))
+
+
 def test_nn_descent_null_id(spark):
     df = spark.createDataFrame([(None, [1.0, 0.0]), (7, [1.0, 0.0])], "vec_id long, embedding array<float>")
     assert {(r["vec_id"], r["n_links"]) for r in nndescent.near_duplicates(df).collect()} == {(None, 0), (7, 0)}

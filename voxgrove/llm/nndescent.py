@@ -8,9 +8,9 @@ when few entries change. A bounded sample of vectors is then compared with all,
 while their links are found too seldom, further hyperplanes and rounds follow.
 
 Links are list entries of cosine >= ``threshold`` in double precision. A list all of whose entries
-are links is saturated, and so may lack some: the lists of all vectors of a component of three
-or more are enlarged to the whole component, compared in pairs of blocks, of which
-only counts are kept.
+are links is saturated, and so may lack some: its vector is compared with all others in blocks,
+of which the pairs of components that a link joins are kept. All vectors of a component
+of three or more are then compared in pairs of blocks, of which only counts are kept.
 
 Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do
 vectors of different lengths. Repeated rows are copies and link. A null vec_id has a row of its
@@ -34,6 +34,8 @@ K, TABLES, LEAF, ROUNDS, CHANGE = 12, 10, 96, 4, 0.02
 AUDIT, RECALL, MORE, AGAIN = 200, 0.98, 8, 2
 #: Rows of a block of the exact comparison, and members of one local join.
 BLOCK, JOIN = 2048, 96
+#: Rows of the other side where some vectors are compared with all.
+WIDE = 8192
 LISTS = "id long, nbr array<long>, sim array<double>, fresh boolean"
 
 
@@ -219,34 +221,65 @@ def refine(lists: DataFrame, vectors: DataFrame, n: int, k: int, rounds: int) ->
     return lists
 
 
-def audit(lists: DataFrame, vectors: DataFrame, threshold: float, size: int = AUDIT) -> float:
-    """Share of the links of a sample of vectors, found by comparing them with all, that
-    their lists hold; of saturated lists, the entries there are room for."""
-    few = vectors.orderBy(F.xxhash64("id"), "id").limit(size).select("id", "vec").collect()
-    if not few:
-        return 1.0
-    ids = np.array([r["id"] for r in few])
-    by_size: dict[int, list[int]] = {}
-    for i, r in enumerate(few):
-        by_size.setdefault(len(r["vec"]), []).append(i)
-    query = {s: (ids[at], np.frombuffer(b"".join(bytes(few[i]["vec"]) for i in at), "<f4").reshape(len(at), -1).astype(np.float64)) for s, at in by_size.items()}
-    query = {s: (i, x / np.sqrt((x * x).sum(1, keepdims=True))) for s, (i, x) in query.items()}
+def sample_links(vectors: DataFrame, threshold: float, size: int = AUDIT) -> DataFrame:
+    """(id, n, links) of a sample of vectors, by comparing them with all."""
+    few = vectors.orderBy(F.xxhash64("id"), "id").limit(size)
+    same = lambda d: d.select("id", F.lit(0).alias("comp"), "n", "vec")
+    return saved(against(same(few), same(vectors), threshold).where("other is null").drop("other"), "nn-audit")
 
-    def run(batches):
-        for b in batches:
-            raw, own = b.column(1).to_pylist(), b.column(0).to_numpy()
-            for s, (i, x) in query.items():
-                at = np.array([j for j, r in enumerate(raw) if len(r) == s], int)
-                if not len(at):
-                    continue
-                y = np.frombuffer(b"".join(raw[j] for j in at), "<f4").reshape(len(at), -1).astype(np.float64)
-                hit = (x @ (y / np.sqrt((y * y).sum(1, keepdims=True))).T >= threshold) & (i[:, None] != own[at][None, :])
-                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(hit.sum(1).astype(np.int64))], ["id", "n"])
 
-    true = {r["id"]: r["n"] for r in map_batches(vectors.select("id", "vec"), run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()}
-    got = {r["id"]: (r["n"], r["k"]) for r in lists.where(F.col("id").isin(ids.tolist())).select("id", F.size(F.filter("sim", lambda s: s >= threshold)).alias("n"), F.size("sim").alias("k")).collect()}
-    want = sum(min(n, got.get(i, (0, n))[1]) for i, n in true.items())
-    return sum(got.get(i, (0, 0))[0] for i in true) / want if want else 1.0
+def audit(lists: DataFrame, true: DataFrame, threshold: float) -> float:
+    """Share of the true links of the sample that lists hold; of saturated lists, the entries there
+    are room for."""
+    got = lists.select("id", F.size(F.filter("sim", lambda s: s >= threshold)).alias("got"), F.size("sim").alias("k"))
+    both = true.join(got, "id", "left").select(F.coalesce("got", F.lit(0)).alias("got"), F.least("n", F.coalesce("k", "n")).alias("want"))
+    return share(both)
+
+
+def share(both: DataFrame) -> float:
+    got, want = both.agg(F.sum(F.least("got", "want")), F.sum("want")).head()
+    return got / want if want else 1.0
+
+
+def against(few: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+    """(id, other, n, links) of ``few`` against all of ``vectors``, both (id, comp, n, vec), in pairs of
+    blocks: with ``other`` null the vectors each id of ``few`` links with, and these with their
+    copies; else two ``comp`` that a link joins."""
+    f, n, most = few.count(), vectors.count(), partitions(vectors.sparkSession)
+    down = max(1, math.ceil(f / BLOCK))
+    over = max(1, math.ceil(n / WIDE), min(math.ceil(n / 256), math.ceil(most / down)))
+
+    def dealt(df, side, own, blocks, others):
+        rows = df.select("id", "comp", "n", "vec", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b")).select("*", F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias("o"))
+        key = F.col("b") * over + F.col("o") if own else F.col("o") * over + F.col("b")
+        return rows.select(key.cast("long").alias("key"), F.lit(side).alias("side"), "id", "comp", "vec", "n")
+
+    def run(batches):
+        for _, rows in _groups(batches, 1 << 30, 6):
+            for size in {len(r[4]) for r in rows if not r[1]}:
+                sides = []
+                for side in (0, 1):
+                    own = [r for r in rows if r[1] == side and len(r[4]) == size]
+                    x = np.frombuffer(b"".join(r[4] for r in own), "<f4").reshape(len(own), size // 4).astype(np.float64)
+                    sides.append((*(np.array([r[i] for r in own], np.int64) for i in (2, 3, 5)), x / np.sqrt((x * x).sum(1, keepdims=True))))
+                (ids, comp, _, x), (others, groups, copies, y) = sides
+                total, links, joined = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64), set()
+                for i in range(0, len(others), BLOCK):
+                    hit = x @ y[i : i + BLOCK].T >= threshold
+                    hit[ids[:, None] == others[None, i : i + BLOCK]] = False
+                    total += hit.sum(1)
+                    links += hit @ copies[i : i + BLOCK]
+                    a, b = np.nonzero(hit & (comp[:, None] != groups[None, i : i + BLOCK]))
+                    joined |= set(zip(comp[a].tolist(), groups[i : i + BLOCK][b].tolist(), strict=True))
+                pairs = sorted(joined)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids.tolist() + [a for a, _ in pairs], pa.int64()), pa.array([None] * len(ids) + [b for _, b in pairs], pa.int64()), *(pa.array(t.tolist() + [0] * len(pairs), pa.int64()) for t in (total, links))],
+                    ["id", "other", "n", "links"],
+                )
+
+    both = dealt(few, 0, True, down, over).unionByName(dealt(vectors, 1, False, over, down))
+    found = both.repartition(most, "key").sortWithinPartitions("key", "side", "id").mapInArrow(run, "id long, other long, n long, links long")
+    return found.groupBy("id", "other").agg(F.sum("n").alias("n"), F.sum("links").alias("links"))
 
 
 def count_links(members: DataFrame, threshold: float) -> DataFrame:
@@ -280,16 +313,24 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.9, k: int = K) -
     n = vectors.count()
     lists = saved(merge(leaves(vectors, n, 0, TABLES, k), k), "nn-lists")
     lists = refine(lists, vectors, n, k, ROUNDS)
-    recall = audit(lists, vectors, threshold)
+    true = sample_links(vectors, threshold)
+    recall = audit(lists, true, threshold)
     for again in range(AGAIN):
         if recall >= RECALL:
             break
         more = leaves(vectors, n, TABLES + again * MORE, MORE, k)
         lists = refine(saved(merge(lists.withColumn("fresh", F.lit(False)).unionByName(more), k), "nn-lists"), vectors, n, k, ROUNDS)
-        recall = audit(lists, vectors, threshold)
+        recall = audit(lists, true, threshold)
     links = lists.select("id", F.explode(F.arrays_zip("nbr", "sim")).alias("x")).where(F.col("x.sim") >= threshold)
     links = saved(links.select(F.least("id", "x.nbr").alias("a"), F.greatest("id", "x.nbr").alias("b")).distinct(), "nn-links")
     comp = saved(components(links, "nn-components"), "nn-components")
+    # links that full lists have no room for, of vectors without a list too
+    held = lists.select("id", F.exists("sim", lambda s: s < threshold).alias("whole"))
+    known = saved(vectors.join(comp, "id", "left").join(held, "id", "left").select("id", F.coalesce("component_id", "id").alias("comp"), "n", "vec", F.coalesce("whole", F.lit(False)).alias("whole")), "nn-known")
+    out = saved(against(known.where("not whole"), known, threshold).where("other is not null").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), "nn-out")
+    if out.head(1):
+        links = links.unionByName(out).distinct()
+        comp = saved(components(links, "nn-components"), "nn-components")
     sizes = comp.groupBy("component_id").count()
     large = comp.join(sizes.where("count > 2"), "component_id").select(F.col("component_id").alias("comp"), "id")
     exact = saved(count_links(large.join(vectors, "id").select("comp", "id", "n", "vec"), threshold), "nn-exact")
@@ -297,6 +338,9 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.9, k: int = K) -
     ends = links.select(F.col("a").alias("id"), F.col("b").alias("o")).unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("o")))
     pairs = ends.join(large.select("id"), "id", "left_anti").join(vectors.select(F.col("id").alias("o"), "n"), "o").groupBy("id").agg(F.sum("n").alias("links"))
     found = exact.unionByName(pairs)
+    found = saved(found, "nn-found")
+    # of the result, however many links a vector has
+    recall = share(true.join(found.withColumnRenamed("links", "got"), "id", "left").select(F.coalesce("got", F.lit(0)).alias("got"), F.col("links").alias("want")))
     per_class = saved(vectors.join(found, "id", "left").join(comp, "id", "left").select("id", "vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id")), "nn-classes")
     # rows find their class by their own bytes
     own = classless(embeddings)
