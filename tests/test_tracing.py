@@ -166,6 +166,22 @@ def test_radius_and_distance(spark):
     assert {r["idx"]: r["gwdt"] for r in distance.grey_weighted(fg).collect()}[mid] == 300_000
 
 
+def test_radius_beyond_the_first_round(spark):
+    a = np.full((13, 14, 15), 100, np.uint8)
+    a[2, 3, 11] = 0
+    got = {r["idx"]: r["radius"] for r in distance.radius_by_ball(from_dense(spark, "a", a)).collect()}
+    for z, y, x in np.argwhere(a > 0):
+        r = 0
+        while True:
+            b = stencil.ball(r + 1)
+            full = sum(0 <= z + k < 13 and 0 <= y + j < 14 and 0 <= x + i < 15 and a[z + k, y + j, x + i] > 0 for i, j, k in b)
+            if 1000 * (len(b) - full) > len(b) + 1:
+                break
+            r += 1
+        assert got[(z * 14 + y) * 15 + x] == r
+    assert max(got.values()) == 6 and len(got) == 13 * 14 * 15 - 1
+
+
 def test_scan_scatter_queue(spark):
     rows = spark.createDataFrame([("a", i, i % 3) for i in range(10)], "g string, i long, v long")
     got = [r["scan"] for r in voxels.prefix_sum(rows, F.col("v"), ["g"], "i", False, 4).orderBy("i").collect()]
