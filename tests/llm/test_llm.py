@@ -123,6 +123,22 @@ def test_nn_descent_saturated_lists(spark):
     assert [(got[i]["n_links"], got[i]["component_id"]) for i in range(len(x))] == list(zip(hit.sum(1).tolist(), comp.tolist(), strict=True))
 
 
+def test_nn_descent_few_links_in_small_leaves(spark, monkeypatch):
+    """Links too few for a small sample, which small leaves often part."""
+    assert nndescent.table_count(1_000_000, 0.9) > 30 and nndescent.table_count(5_000_000, 0.9) > nndescent.table_count(1_000_000, 0.9)
+    for name, value in (("LEAF", 4), ("TABLES", 1), ("AUDIT", 4)):
+        monkeypatch.setattr(nndescent, name, value)
+    r = np.random.RandomState(6)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    a = unit(r.standard_normal((60, 64)))
+    b = r.standard_normal((60, 64))
+    b = unit(b - (a * b).sum(1, keepdims=True) * a)
+    x = np.concatenate([a, 0.905 * a + (1 - 0.905**2) ** 0.5 * b, unit(r.standard_normal((2000, 64)))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = by_id(nndescent.near_duplicates(df), "vec_id")
+    assert {i: (g["n_links"], g["component_id"]) for i, g in got.items()} == {i: (int(i < 120), i % 60 if i < 120 else i) for i in range(len(x))}
+
+
 def test_nn_descent_null_id(spark):
     df = spark.createDataFrame([(None, [1.0, 0.0]), (7, [1.0, 0.0])], "vec_id long, embedding array<float>")
     assert {(r["vec_id"], r["n_links"]) for r in nndescent.near_duplicates(df).collect()} == {(None, 0), (7, 0)}

@@ -4,8 +4,10 @@ Equal vectors are one class with a count. Random hyperplanes deal the classes in
 in which each keeps its ``k`` nearest as a first neighbour list. Each round joins every list
 and its reverse with the vectors, compares the neighbours of one vector with each other, and
 merges what is found into their lists; only vectors with a new neighbour take part. Rounds end
-when few entries change. A bounded sample of vectors is then compared with all, in blocks, and
-while their links are found too seldom, further hyperplanes and rounds follow.
+when few entries change. A twentieth of the vectors, or more until their links are many enough
+to tell, is then compared with all, in blocks, and while their links are found too seldom, further
+hyperplanes and rounds follow. Where these would cost as much as an exact comparison of all, and
+where the audit had to take all vectors, that comparison takes their place.
 
 Links are list entries of cosine >= ``threshold`` in double precision. A list all of whose entries
 are links is saturated, and so may lack some: its vector is compared with all others in blocks,
@@ -30,8 +32,9 @@ from .common import components, map_batches, partitions, release, saved
 
 #: Neighbours kept, tables of hyperplanes, rows of a leaf, rounds, share of changes that ends them.
 K, TABLES, LEAF, ROUNDS, CHANGE = 12, 10, 96, 4, 0.02
-#: Vectors of the audit at most, link recall it asks for, tables added when it finds less, times.
-AUDIT, RECALL, MORE, AGAIN = 200, 0.98, 8, 2
+#: Vectors of the audit at least, one of how many, links it has at least, link recall it asks for,
+#: tables added when it finds less.
+AUDIT, PART, SEEN, RECALL, MORE = 200, 20, 200, 0.98, 8
 #: Rows of a block of the exact comparison, and members of one local join.
 BLOCK, JOIN = 2048, 96
 #: Rows of the other side where some vectors are compared with all.
@@ -105,10 +108,20 @@ def _lists(out, limit: int = 1 << 15):
         yield batch()
 
 
+def bits_of(n: int) -> int:
+    return max(0, math.ceil(math.log2(max(n, 1) / LEAF)))
+
+
+def table_count(n: int, threshold: float) -> int:
+    """Tables in which all but 1 - RECALL of the pairs at the threshold share a leaf at least once."""
+    one = (1 - math.acos(min(1.0, max(-1.0, threshold))) / math.pi) ** bits_of(n)
+    return TABLES if one == 1 else max(TABLES, math.ceil(math.log(1 - RECALL) / math.log(1 - one)))
+
+
 def leaves(vectors: DataFrame, n: int, first: int, tables: int, k: int) -> DataFrame:
     """Neighbour lists from leaves of hyperplane signs. A leaf with too many rows is split by
     further signs; what is still too large is taken in chunks."""
-    bits = max(0, math.ceil(math.log2(max(n, 1) / LEAF)))
+    bits = bits_of(n)
 
     def deal(batches):
         planes: dict[int, np.ndarray] = {}
@@ -125,7 +138,7 @@ def leaves(vectors: DataFrame, n: int, first: int, tables: int, k: int) -> DataF
                     sign = (x @ p > 0).astype(np.int64)
                     code = sign[:, :bits] @ (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros(len(x), np.int64)
                     more = sign[:, bits:] @ (1 << np.arange(12, dtype=np.int64))
-                    key = (code << 20 | t << 12 | size // 4 % 4096).astype(np.int64)
+                    key = (code << 32 | t << 12 | size // 4 % 4096).astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(more), ids, vec], ["key", "more", "id", "vec"])
 
     def near(batches):
@@ -221,11 +234,17 @@ def refine(lists: DataFrame, vectors: DataFrame, n: int, k: int, rounds: int) ->
     return lists
 
 
-def sample_links(vectors: DataFrame, threshold: float, size: int = AUDIT) -> DataFrame:
-    """(id, n, links) of a sample of vectors, by comparing them with all."""
-    few = vectors.orderBy(F.xxhash64("id"), "id").limit(size)
+def sample_links(vectors: DataFrame, n: int, threshold: float) -> tuple[DataFrame, bool]:
+    """(id, n, links) of a sample of the ``n`` vectors, by comparing them with all; whether it is all."""
     same = lambda d: d.select("id", F.lit(0).alias("comp"), "n", "vec")
-    return saved(against(same(few), same(vectors), threshold).where("other is null").drop("other"), "nn-audit")
+    part = min(PART, n // AUDIT)
+    while True:
+        few = vectors.where(F.pmod(F.xxhash64("id"), F.lit(max(part, 1))) == 0)
+        true = saved(against(same(few), same(vectors), threshold).where("other is null").drop("other"), "nn-audit")
+        if part <= 1 or (true.agg(F.sum("n")).head()[0] or 0) >= SEEN:
+            return true, part <= 1
+        release(true)
+        part //= 4
 
 
 def audit(lists: DataFrame, true: DataFrame, threshold: float) -> float:
@@ -311,22 +330,23 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.9, k: int = K) -
     """(vec_id, n_links, component_id, kept, audit_recall)."""
     vectors = saved(classes_of(embeddings), "nn-vectors")
     n = vectors.count()
-    lists = saved(merge(leaves(vectors, n, 0, TABLES, k), k), "nn-lists")
+    tables = table_count(n, threshold)
+    lists = saved(merge(leaves(vectors, n, 0, tables, k), k), "nn-lists")
     lists = refine(lists, vectors, n, k, ROUNDS)
-    true = sample_links(vectors, threshold)
-    recall = audit(lists, true, threshold)
-    for again in range(AGAIN):
-        if recall >= RECALL:
+    true, every = sample_links(vectors, n, threshold)
+    while not every and audit(lists, true, threshold) < RECALL:
+        if 4 * LEAF * tables >= n:
+            every = True
             break
-        more = leaves(vectors, n, TABLES + again * MORE, MORE, k)
+        more = leaves(vectors, n, tables, MORE, k)
         lists = refine(saved(merge(lists.withColumn("fresh", F.lit(False)).unionByName(more), k), "nn-lists"), vectors, n, k, ROUNDS)
-        recall = audit(lists, true, threshold)
+        tables += MORE
     links = lists.select("id", F.explode(F.arrays_zip("nbr", "sim")).alias("x")).where(F.col("x.sim") >= threshold)
     links = saved(links.select(F.least("id", "x.nbr").alias("a"), F.greatest("id", "x.nbr").alias("b")).distinct(), "nn-links")
     comp = saved(components(links, "nn-components"), "nn-components")
     # links that full lists have no room for, of vectors without a list too
     held = lists.select("id", F.exists("sim", lambda s: s < threshold).alias("whole"))
-    known = saved(vectors.join(comp, "id", "left").join(held, "id", "left").select("id", F.coalesce("component_id", "id").alias("comp"), "n", "vec", F.coalesce("whole", F.lit(False)).alias("whole")), "nn-known")
+    known = saved(vectors.join(comp, "id", "left").join(held, "id", "left").select("id", F.coalesce("component_id", "id").alias("comp"), "n", "vec", (F.coalesce("whole", F.lit(False)) & F.lit(not every)).alias("whole")), "nn-known")
     out = saved(against(known.where("not whole"), known, threshold).where("other is not null").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), "nn-out")
     if out.head(1):
         links = links.unionByName(out).distinct()
