@@ -15,7 +15,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 from voxgrove.llm import bpe, entry, katz, linededup, nndescent, packing, pii, quality, simhash, tokenstore, urlfilter
-from voxgrove.llm.common import components, pack, unpack
+from voxgrove.llm.common import NO_ID, components, pack, spread, unpack
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h long, fp string, line string, _gone int"
@@ -43,6 +43,32 @@ def docs(spark, texts):
     return spark.createDataFrame(rows, SCHEMA).repartition(5).cache()
 
 
+#: rows that share a doc_id, have none, or are equal
+def _odd_rows(texts):
+    some = [t for t in texts if t][:14]
+    rows = [(i, t) for i, t in enumerate(some)]
+    rows += [(3, some[9] + "\nand a line of its own for this row"), (3, "quite other words that no row has but this one\n" + some[2]), (3, None), (4, some[4]), (4, some[4])]
+    rows += [(None, some[0]), (None, some[5] + " more"), (None, "first of all lines in a row that has no number\n" + some[7]), (None, None), (None, None), (None, some[0])]
+    rows += [(40, "first of all lines in a row that has one number\nx"), (41, "x"), (42, "x y"), (42, "x z"), (43, "nine words are in this line and one differs"), (44, "nine words are in this line and two differ"), (45, "four words stay here"), (46, "four words go here"), (47, "four words stay right here")]
+    return rows + [(7, some[7])]
+
+
+@pytest.fixture(scope="module")
+def odd_rows(texts):
+    return _odd_rows(texts)
+
+
+@pytest.fixture(scope="module")
+def odd_docs(spark, odd_rows):
+    return spark.createDataFrame([(i, t, "en", "s", None, 1, "z", "q", 2) for i, t in odd_rows], SCHEMA).repartition(3).cache()
+
+
+def row_order(row):
+    """Rows without a number come first; of rows with one number, the least hash of the text."""
+    h = xxhash.xxh64_intdigest((row[1] or "").encode(), 42) if row[1] is not None else 42
+    return NO_ID if row[0] is None else row[0], h - (1 << 64) if h >> 63 else h
+
+
 @pytest.fixture(scope="module")
 def none(spark):
     return spark.createDataFrame([], SCHEMA)
@@ -353,29 +379,96 @@ def test_katz_held_out_beats_unigrams(spark):
 
 
 # 7 ---------------------------------------------------------------------------
-def _fingerprint(t):
+def _fingerprint(t, n=3):
     w = (t or "").encode().lower().split()
-    s = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([b" ".join(w)] if w else [])
+    s = [b" ".join(w[i : i + n]) for i in range(len(w) - n + 1)] or ([b" ".join(w)] if w else [])
     h = [xxhash.xxh64_intdigest(x, 42) for x in s]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def test_simhash(docs, texts, none):
-    fp = {i: _fingerprint(t) for i, t in enumerate(texts)}
+def _groups(fps, bound=3):
+    """The places of each group, by place."""
+    comp = {}
+    for i in range(len(fps)):
+        todo = [i] if i not in comp else []
+        while todo:
+            x = todo.pop()
+            if x not in comp:
+                comp[x] = i
+                todo += [j for j in range(len(fps)) if (fps[x] ^ fps[j]).bit_count() <= bound]
+    return {i: [j for j in comp if comp[j] == comp[i]] for i in comp}
+
+
+def _wide(t, n, many):
+    w = (t or "").encode().lower().split()
+    s = [b" ".join(w[i : i + n]) for i in range(len(w) - n + 1)] or ([b" ".join(w)] if w else [])
+    h, out = [xxhash.xxh64_intdigest(x, 42) for x in s], 0
+    for k in range(many):
+        out |= sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) << 64 * k
+        h = [int(spread(np.array([(x + k + 1) % (1 << 64)], np.uint64))[0]) for x in h]
+    return out
+
+
+def _first_ones(rows, similarity=0.8):
+    """The first row of each group of similar documents, all pairs that share a block compared."""
+    many, width, bound = simhash.share_plan(len(rows), similarity)
+    fp = [_wide(t, 5, many) for _, t in rows]
+    cuts = [64 * k + width * i for k in range(many) for i in range(64 // width)]
+    low = (1 << width) - 1
+    meet = lambda a, b: (a ^ b).bit_count() <= bound and any((a ^ b) >> c & low == 0 for c in cuts)
     comp = {}
-    for i in fp:
+    for i in range(len(fp)):
         todo = [i] if i not in comp else []
         while todo:
             x = todo.pop()
             if x not in comp:
                 comp[x] = i
-                todo += [j for j in fp if (fp[x] ^ fp[j]).bit_count() <= 3]
-    got = by_id(simhash.near_duplicates(docs))
-    assert {i: (g["fp"] & (1 << 64) - 1, g["component_id"]) for i, g in got.items()} == {i: (fp[i], comp[i]) for i in fp}
-    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == sorted(set(comp.values()))
+                todo += [j for j in range(len(fp)) if j not in comp and meet(fp[x], fp[j])]
+    return [min((rows[j] for j in comp if comp[j] == i), key=row_order) for i in sorted(set(comp.values()))]
+
+
+def test_similar_documents_are_found_and_others_left(spark):
+    """Recall by similarity, of texts with words replaced."""
+    r = random.Random(11)
+    base = [[f"w{r.randrange(5000)}" for _ in range(300)] for _ in range(240)]
+    rows = []
+    for i, w in enumerate(base):
+        rows.append((2 * i, " ".join(w)))
+        for at in r.sample(range(300), 3 if i < 120 else 40):
+            w = [*w[:at], "changed", *w[at + 1 :]]
+        rows.append((2 * i + 1, " ".join(w)))
+    left = {x["doc_id"] for x in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(2 * i + 1 not in left for i in range(120)) >= 114  # similarity about 0.9
+    assert all(i in left for i in range(240, 480)) and all(2 * i in left for i in range(240))  # about 0.4
+
+
+@pytest.mark.parametrize("crowd", [256, 3])
+def test_simhash(docs, odd_docs, texts, odd_rows, none, crowd, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    for df, rows in ((docs, list(enumerate(texts))), (odd_docs, odd_rows)):
+        fp = [_fingerprint(t) for _, t in rows]
+        group = _groups(fp)
+        low = lambda i: min((rows[j][0] for j in group[i] if rows[j][0] is not None), default=None)  # noqa: B023, E731
+        want = collections.Counter((d, fp[i], low(i)) for i, (d, _) in enumerate(rows))
+        assert collections.Counter((r["doc_id"], r["fp"] & (1 << 64) - 1, r["component_id"]) for r in simhash.near_duplicates(df).collect()) == want
+        assert collections.Counter((r["doc_id"], r["text"]) for r in simhash.keep_one(df).collect()) == collections.Counter(_first_ones(rows))
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(docs).columns == docs.columns
 
 
+def test_crowded_groups_are_joined_by_forests(spark):
+    r = random.Random(3)
+    base = r.getrandbits(64)
+    x = sorted({base ^ sum(1 << b for b in r.sample(range(20), r.randint(0, 4))) for _ in range(300)})
+    s = [v - (1 << 64) if v >> 63 else v for v in x]
+    pairs = simhash.near_pairs(spark.createDataFrame([(v,) for v in s], "fp long"), 3, 5, 40).collect()
+    assert all((p["a"] ^ p["b"]).bit_count() <= 3 for p in pairs)
+    got = {r["id"]: r["component_id"] for r in components(spark.createDataFrame(pairs), "t").collect()}
+    groups = _groups([v & (1 << 64) - 1 for v in s])
+    for i, g in groups.items():
+        assert got.get(s[i], s[i]) == min(s[j] for j in g)
+    assert len(pairs) < len(s) * 20
+
+
 @pytest.mark.parametrize("blocks", [4, 5, 6, 7])
 def test_pigeonhole_loses_nothing(spark, blocks):
     r = random.Random(blocks)
@@ -396,34 +489,42 @@ def _distance(a, b):
     return row[-1]
 
 
-def _dropped(texts):
-    lines = [(i, k, x.encode().lower().split()) for i, t in enumerate(texts) if t is not None for k, x in enumerate(t.split("\n"))]
-    lines = [x for x in lines if len(x[2]) >= linededup.MIN_WORDS]
-    seen, out = {}, collections.defaultdict(list)
-    for i, k, w in lines:
-        near = tuple(w) in seen or len(w) >= linededup.NEAR_WORDS and any(len(v) >= linededup.NEAR_WORDS and abs(len(v) - len(w)) < 2 and _distance(v, w) < 2 for v in seen)
-        if near:
-            out[i].append(k)
-        seen[tuple(w)] = 1
+def _dropped(rows, near=linededup.NEAR_WORDS):
+    """Lines that go, by row key, of (doc_id, text)."""
+    lines = [(row_order((i, t)), k, x.encode().lower().split()) for i, t in rows if t is not None for k, x in enumerate(t.split("\n"))]
+    seen, out = {}, collections.defaultdict(set)
+    for key, k, w in sorted(x for x in lines if x[2]):
+        same = tuple(w) in seen and seen[tuple(w)] != (key, k)
+        if same or any(max(len(v), len(w)) >= near and abs(len(v) - len(w)) < 2 and v != tuple(w) and _distance(v, w) < 2 for v in seen):
+            out[key].add(k)
+        seen.setdefault(tuple(w), (key, k))
     return out
 
 
-def test_line_dedup(spark, docs, texts, none):
+def _left(rows):
+    """What line dedup leaves of the rows."""
+    gone = _dropped(rows)
+    out = []
+    for i, t in rows:
+        keep = None if t is None else [x for k, x in enumerate(t.split("\n")) if k not in gone[row_order((i, t))]]
+        if keep is None or keep:
+            out.append((i, keep if keep is None else "\n".join(keep)))
+    return out
+
+
+def test_line_dedup(spark, docs, odd_docs, texts, odd_rows, none):
     r = random.Random(8)
     some = []
     for _ in range(60):
-        w = [r.choice("abc") for _ in range(r.randint(9, 13))]
+        w = [r.choice("abc") for _ in range(r.randint(3, 13))]
         some.append(" ".join(w) + "\n" + " ".join(w[:4] + w[5:]) + "\n" + " ".join(w[:2] + ["z"] + w[2:]) + "\nfine line here %d" % r.randint(0, 9))
-    for rows, df in ((texts, docs), (some, spark.createDataFrame(list(enumerate(some)), "doc_id long, text string"))):
+    few = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
+    for rows, df in ((list(enumerate(texts)), docs), (list(enumerate(some)), few), (odd_rows, odd_docs)):
         want = _dropped(rows)
-        got = by_id(linededup.report(df))
-        assert {i: g["dropped"] for i, g in got.items()} == {i: ",".join(map(str, want.get(i, []))) for i in range(len(rows))}
-    left = by_id(linededup.drop_lines(docs))
-    want = _dropped(texts)
-    for i, t in enumerate(texts):
-        if t is not None:
-            keep = [x for k, x in enumerate(t.split("\n")) if k not in want.get(i, [])]
-            assert (left[i]["text"] if i in left else None) == ("\n".join(keep) if keep else None)
+        got = collections.Counter((g["doc_id"], g["n_lines"], g["n_dropped"], g["dropped"]) for g in linededup.report(df).collect())
+        lines = lambda t: len(t.split("\n")) if t is not None else 0
+        assert got == collections.Counter((i, lines(t), len(want[row_order((i, t))]), ",".join(map(str, sorted(want[row_order((i, t))])))) for i, t in rows)
+        assert collections.Counter((g["doc_id"], g["text"]) for g in linededup.drop_lines(df).collect()) == collections.Counter(_left(rows))
     assert linededup.report(none).count() == 0 and linededup.drop_lines(none).columns == none.columns
 
 
@@ -510,34 +611,38 @@ def test_local_search_empties_bins():
 
 
 # pipeline --------------------------------------------------------------------
-def test_pipeline(spark, docs, texts, tmp_path):
+def test_pipeline(spark, docs, odd_docs, texts, odd_rows, tmp_path):
+    """Every piece of the result: ids, place and order, by row."""
     import corpus_pipeline
 
-    docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
-    now = {i: t for i, t in enumerate(texts)}
-    kept = {r["doc_id"] for r in quality.judge(docs).collect() if r["kept"]}
-    now = {i: t for i, t in now.items() if i in kept}
-    order = sorted(now)
-    gone = _dropped([now[i] for i in order])
-    now = {i: "\n".join(x for k, x in enumerate(now[i].split("\n")) if k not in gone.get(j, [])) for j, i in enumerate(order) if len(gone.get(j, [])) < len(now[i].split("\n"))}
-    fp = {i: _fingerprint(t) for i, t in now.items()}
-    left, comp = [], {}
-    for i in sorted(fp):
-        if i not in comp:
-            left.append(i)
-            todo = [i]
-            while todo:
-                x = todo.pop()
-                if x not in comp:
-                    comp[x] = i
-                    todo += [j for j in fp if (fp[x] ^ fp[j]).bit_count() <= 3]
     own = Tokenizer.from_file(packing.default_vocabulary())
     own.encode_special_tokens = True
-    want = {i: len(own.encode(pii.masked(now[i]), add_special_tokens=False).ids) + 1 for i in left}
-    got = collections.Counter()
-    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
-        got[r["doc_id"]] += r["length"]
-    assert left and got == want
+    long = "\n".join(f"line {k} of a text that is long enough to stay with us number {k * k} and {k + 7} the end of it" for k in range(9))
+    more = [(3, long), (3, long.replace("us", "you").replace("text", "page")), (None, long.replace("stay", "rest").replace("end", "rest")), (3, long)]
+    for name, df, rows in (("a", docs, list(enumerate(texts))), ("b", odd_docs.unionByName(spark.createDataFrame([(*r, "en", "s", None, 1, "z", "q", 2) for r in more], SCHEMA)), odd_rows + more)):
+        sf = tmp_path / name
+        df.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(sf / "documents.parquet"))
+        good = collections.Counter((r["doc_id"], r["text"]) for r in quality.keep_good(df).collect())
+        now = _left(list(good.elements()))
+        now = _first_ones(now)
+        want = collections.Counter()
+        for i, t in now:
+            ids = [*own.encode(pii.masked(t), add_special_tokens=False).ids, 2]
+            head = len(ids) % 1024 or 1024
+            for k, a in enumerate([0, *range(head, len(ids), 1024)]):
+                part = ids[a : head if k == 0 else a + 1024]
+                want[i, k, a, len(part), zlib.crc32(np.array(part, "<u4").tobytes())] += 1
+        got = corpus_pipeline.run(spark, str(sf)).collect()
+        assert want and collections.Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+        bins = collections.defaultdict(list)
+        for r in got:
+            bins[r["sequence_id"]].append((r["offset"], r["length"]))
+        for b in bins.values():
+            at = 0
+            for o, n in sorted(b):
+                assert o == at
+                at += n
+            assert at <= 1024
 
 
 def test_entry_names():

@@ -70,6 +70,10 @@ def delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Scratch tables of this process that are not known to be deleted, in order of making.
+_MADE: list[str] = []
+
+
 def saved(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Cut lineage with a table in the shared folder; after a loss of executors it is reread.
 
@@ -78,12 +82,26 @@ def saved(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/voxgrove-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
     df.write.parquet(path, partitionBy=by)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
 
 
+def made() -> int:
+    """A mark for ``release_since``."""
+    return len(_MADE)
+
+
+def release_since(spark: SparkSession, mark: int, keep: DataFrame) -> None:
+    """Delete the scratch tables made since the mark, but for ``keep``, which is a table itself."""
+    for path in _MADE[mark:]:
+        if path != keep._scratch:
+            delete(spark, path)
+    _MADE[mark:] = [keep._scratch]
+
+
 def cleanup(spark: SparkSession) -> None:
     """Delete all scratch tables of this session; call it when its results are written."""
     delete(spark, f"{scratch_dir(spark)}/voxgrove-{spark.sparkContext.applicationId}")
@@ -95,6 +113,16 @@ def release(df: DataFrame) -> None:
         delete(df.sparkSession, df._scratch)
 
 
+#: doc_id of rows that have none, in keys and in the order of rows: before all others.
+NO_ID = -(1 << 63)
+
+
+def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
+    """Columns ``d`` and ``row``, never null, that tell rows apart: the doc_id, and a hash of the
+    text. Only rows that agree in both have the same key."""
+    return [F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64(F.col(text).cast("string")).alias("row")]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -145,15 +173,18 @@ def components(pairs: DataFrame, name: str, rounds: int = 100) -> DataFrame:
     Alternating large-star and small-star rounds; each is a group minimum joined back
     on its key, so no neighbour list is ever gathered. The minima are scratch tables, so
     that both sides of the join have exchanges of their own and a hot hub's rows can be
-    split. Each round is a scratch table. Null or equal ends are ignored.
+    split. Each round is a scratch table. Null or equal ends are ignored. Rounds that run out
+    raise an error.
     """
     spark = pairs.sparkSession
     sums = lambda d: tuple(d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head())
     e = saved(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     old = sums(e)
-    for _ in range(rounds):
+    for turn in range(rounds + 1):
         if not old[0]:
             break
+        if turn == rounds:
+            raise RuntimeError(f"components of {name} are not complete after {rounds} rounds")
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = saved(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), name)
         large = both.where("b > a").join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()

@@ -1,20 +1,23 @@
 """Line deduplication by a deletion-neighbourhood join over words.
 
-Lines are compared as A-Z lower-cased words. Lines with at least ``MIN_WORDS`` words go if an
-earlier line, by (doc_id, line number), has the same words; lines with at least ``NEAR_WORDS``
-also go if an earlier one is one word inserted, deleted or replaced away. Each distinct line
-emits itself and every variant with one word deleted, as hashes. Two lines are one edit
-apart iff they share a variant deleted at the same place, or one is a variant of the other; so a
-group of equal variants needs only its earliest member, not its pairs, and no group is ever
-gathered. The edit distance of each line to its witness is then verified on the words.
+Lines are compared as A-Z lower-cased words. A line goes if an earlier line has the same words,
+or is one word inserted, deleted or replaced away where that is at most a fifth of the longer
+line (``near_words`` 5: a similarity of 0.8). Lines come in order of doc_id, then of a hash of
+the text where several rows have one doc_id, then of their number; rows without doc_id
+come first. Each distinct line emits itself and every variant with one word deleted, as hashes. Two
+lines are one edit apart iff they share a variant deleted at the same place, or one is a variant
+of the other; so a group of equal variants needs only its earliest member, not its pairs, and no
+group is ever gathered. The edit distance of each line to its witness is then verified on
+the words.
 
 Only lines that may have a partner emit variants: two lines one edit apart share the first or
 the last half of their words, counted by the shorter one, so lines alone under all
 their halves are left out, without loss.
 
-Null texts have no lines. Lines without the needed words stay. Repeated rows (same doc_id
-and text) are later copies of themselves only by line number, not by row: both keep or lose
-the same lines. Columns of other names are left alone. An empty table gives none.
+Rows are told apart by doc_id and text, so rows that share a doc_id, or have none, lose their own
+lines only. Rows equal in both have the same lines and keep or lose the same ones. Null
+texts have no lines; lines without words stay. Columns of other names are left alone. An empty
+table gives none.
 """
 
 from __future__ import annotations
@@ -25,9 +28,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, release, saved, words_of
+from .common import let, map_batches, release, row_key, saved, words_of
 
-MIN_WORDS, NEAR_WORDS = 3, 10
+#: Words from which a line may be one edit from another: one edit is then a fifth of it at most.
+NEAR_WORDS = 5
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -40,11 +44,11 @@ def _digest(words: list[bytes], seed: int = 0) -> int:
     return _signed(xxhash.xxh3_64_intdigest(b" ".join(words), seed))
 
 
-def halves(words: list[bytes]) -> list[int]:
+def halves(words: list[bytes], near_words: int = NEAR_WORDS) -> list[int]:
     """Hashes of the first and last half, as counted by a line of this length and by one
-    shorter by a word."""
+    shorter by a word; none for a line that is too short to be near another."""
     n, out = len(words), []
-    for short in (n, n - 1):
+    for short in (n, n - 1) if n >= near_words else (n,) if n == near_words - 1 > 0 else ():
         h = short // 2
         out += [_digest(words[:h], 2 * short + 1), _digest(words[n - (short - h) :], 2 * short + 2)]
     return out
@@ -74,41 +78,48 @@ def one_edit(a: list[bytes], b: list[bytes]) -> bool:
     return a[i + (len(a) == len(b)) :] == b[i + 1 :]
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, h, g, keys): lines with enough words, two hashes of their words, and the
-    hashes of halves of those that near copies are sought of."""
+def lines_of(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
+    """(d, row, line, h, g, keys): lines with words, two hashes of their words, and the hashes of
+    halves of those that near copies are sought of."""
+    names = ["d", "row", "line", "h", "g", "keys"]
 
     def run(batches):
         for b in batches:
-            ids, nos, hs, gs, keys, at = [], [], [], [], [], [0]
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for k, line in enumerate((t or "").split("\n")):
+            ids, rows, nos, hs, gs, keys, at = [], [], [], [], [], [], [0]
+            for d, r, t in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                for k, line in enumerate(t.split("\n")):
                     w = words_of(line)
-                    if len(w) < MIN_WORDS:
+                    if not w:
                         continue
                     ids.append(d)
+                    rows.append(r)
                     nos.append(k)
                     hs.append(_digest(w))
                     gs.append(_digest(w, 1 << 40))
-                    if len(w) >= NEAR_WORDS:
-                        keys += halves(w)
+                    keys += halves(w, near_words)
                     at.append(len(keys))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nos, pa.int32()), pa.array(hs, pa.int64()), pa.array(gs, pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(keys, pa.int64()))], ["doc_id", "line", "h", "g", "keys"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32() if c is nos else pa.int64()) for c in (ids, rows, nos, hs, gs)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(keys, pa.int64()))], names)
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, line int, h long, g long, keys array<long>")
+    rows = docs.where("text IS NOT NULL").select(*row_key(), F.col("text").cast("string"))
+    return map_batches(rows, run, "d long, row long, line int, h long, g long, keys array<long>")
 
 
-def _variants(batches):
-    """(v, pos, h, g, at) of candidate lines."""
-    for b in batches:
-        h, g, doc, no = (b.column(i).to_pylist() for i in range(4))
-        out = []
-        for i, text in enumerate(b.column(4).to_pylist()):
-            v = neighbourhood(words_of(text))
-            out.append((v, np.arange(-1, len(v) - 1), *(np.full(len(v), x) for x in (h[i], g[i], doc[i], no[i]))))
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 6
-        for s in range(0, max(1, len(cols[0])), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(c[s : s + (1 << 16)].astype(np.int64)) for c in cols], ["v", "pos", "h", "g", "doc_id", "line"])
+def _variants(near_words):
+    """(v, pos, h, g, place) of candidate lines; the shortest stand for themselves only."""
+
+    def run(batches):
+        for b in batches:
+            own = [b.column(i).to_pylist() for i in range(5)]
+            out = []
+            for i, text in enumerate(b.column(5).to_pylist()):
+                w = words_of(text)
+                v = neighbourhood(w) if len(w) >= near_words else neighbourhood(w)[:1]
+                out.append((v, np.arange(-1, len(v) - 1), *(np.full(len(v), x[i]) for x in own)))
+            cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 7
+            for s in range(0, max(1, len(cols[0])), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(c[s : s + (1 << 16)].astype(np.int64)) for c in cols], ["v", "pos", *PLACE])
+
+    return run
 
 
 def _verified(batches):
@@ -117,19 +128,24 @@ def _verified(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["h", "g"]).filter(pa.array(ok, pa.bool_()))
 
 
-def near_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
+#: A distinct line's hashes, and where it is found first.
+PLACE = ["h", "g", "d", "row", "line"]
+
+
+def near_classes(docs: DataFrame, classes: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     """(h, g) of the distinct lines that are one edit from an earlier line."""
     keyed = classes.select("h", "g", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key")
     found = keyed.join(shared, "key", "left_semi").select("h", "g").distinct()
-    where = classes.select("h", "g", "doc_id", "line").join(found, ["h", "g"], "left_semi")
-    places = where.groupBy("doc_id").agg(F.collect_list(F.struct("h", "g", "line")).alias("places"))
-    text = docs.select(F.col("doc_id").cast("long"), F.split(F.col("text").cast("string"), "\n", -1).alias("lines"))
-    cand = text.join(places, "doc_id").select("doc_id", "lines", F.explode("places").alias("p")).select("p.h", "p.g", "doc_id", "p.line", F.get("lines", F.col("p.line")).alias("words"))
-    cand = saved(cand.where("words IS NOT NULL").dropDuplicates(["h", "g"]), "lines-candidates")
-    v = saved(map_batches(cand.select("h", "g", "doc_id", "line", "words"), _variants, "v long, pos long, h long, g long, doc_id long, line long"), "lines-variants")
-    me = F.struct("doc_id", "line", "h", "g").alias("me")
-    cut, whole = v.where("pos >= 0").select("v", "pos", me), v.where("pos < 0").select("v", F.struct("doc_id", "line", "h", "g").alias("whole"))
+    where = classes.select(PLACE).join(found, ["h", "g"], "left_semi")
+    places = where.groupBy("d", "row").agg(F.collect_list(F.struct("h", "g", "line")).alias("places"))
+    text = docs.where("text IS NOT NULL").select(*row_key(), F.col("text").cast("string").alias("text"))
+    cand = text.join(places, ["d", "row"]).select("d", "row", let(F.split("text", "\n", -1), lambda x: F.transform("places", lambda p: F.struct(p["h"].alias("h"), p["g"].alias("g"), p["line"].alias("line"), F.get(x, p["line"]).alias("words")))).alias("p"))
+    cand = cand.select("d", "row", F.explode("p").alias("p")).select("p.h", "p.g", "d", "row", "p.line", "p.words")
+    cand = saved(cand.dropDuplicates(["h", "g"]), "lines-candidates")
+    v = saved(map_batches(cand.select(*PLACE, "words"), _variants(near_words), "v long, pos long, " + ", ".join(f"{c} long" for c in PLACE)), "lines-variants")
+    at = F.struct("d", "row", "line", "h", "g")
+    cut, whole = v.where("pos >= 0").select("v", "pos", at.alias("me")), v.where("pos < 0").select("v", at.alias("whole"))
     first = cut.groupBy("v", "pos").agg(F.min("me").alias("first"), F.max("me").alias("last")).where("first <> last").drop("last")
     a = cut.join(first, ["v", "pos"]).where("me > first").select("me", F.col("first").alias("to"))
     # of the lines that have this one as a variant, the earliest; and those that come after it
@@ -144,40 +160,43 @@ def near_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return out
 
 
-def dropped_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line) of every line that goes."""
-    lines = saved(lines_of(docs.where("text IS NOT NULL")), "lines")
-    first = F.min(F.struct("doc_id", "line"))
-    classes = saved(lines.groupBy("h", "g").agg(first.alias("first"), F.max(F.struct("doc_id", "line")).alias("last"), F.first("keys").alias("keys")).select("h", "g", "first.doc_id", "first.line", (F.col("last") != F.col("first")).alias("again"), "keys"), "lines-classes")
-    near = near_classes(docs, classes)
+def dropped_lines(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
+    """(d, row, line) of every line that goes, by the keys of its row."""
+    lines = saved(lines_of(docs, near_words), "lines")
+    place = F.struct("d", "row", "line")
+    classes = lines.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.first("keys").alias("keys"))
+    classes = saved(classes.select("h", "g", "first.d", "first.row", "first.line", (F.col("last") != F.col("first")).alias("again"), "keys"), "lines-classes")
+    near = near_classes(docs, classes, near_words)
     # only classes that lose a line are joined back
-    gone = classes.select("h", "g", "doc_id", "line", "again").join(near.withColumn("near", F.lit(True)), ["h", "g"], "left").where("again OR near").select("h", "g", F.struct("doc_id", "line").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
-    out = saved(lines.select("h", "g", "doc_id", "line").join(gone, ["h", "g"]).where(F.col("near") | (F.struct("doc_id", "line") != F.col("first"))).select("doc_id", "line").distinct(), "lines-dropped")
+    gone = classes.select(*PLACE, "again").join(near.withColumn("near", F.lit(True)), ["h", "g"], "left").where("again OR near").select("h", "g", place.alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
+    out = saved(lines.select(PLACE).join(gone, ["h", "g"]).where(F.col("near") | (place != F.col("first"))).select("d", "row", "line").distinct(), "lines-dropped")
     release(lines)
     release(classes)
     release(near)
     return out
 
 
-def _by_document(docs: DataFrame) -> DataFrame:
-    """(doc_id, gone): the sorted numbers of each document's dropped lines."""
-    return dropped_lines(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list("line")).alias("gone"))
+def _by_row(docs: DataFrame, near_words: int) -> DataFrame:
+    """(d, row, gone): the sorted numbers of each row's dropped lines."""
+    return dropped_lines(docs, near_words).groupBy("d", "row").agg(F.array_sort(F.collect_list("line")).alias("gone"))
 
 
-def report(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_lines, n_dropped, dropped): dropped line numbers from 0, comma-joined."""
-    plain = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.size(F.split(F.col("text").cast("string"), "\n", -1)), F.lit(0)).cast("long").alias("n_lines"))
+def report(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
+    """(doc_id, n_lines, n_dropped, dropped), one row for each: dropped line numbers from 0,
+    comma-joined."""
+    plain = docs.select(F.col("doc_id").cast("long"), *row_key(), F.coalesce(F.size(F.split(F.col("text").cast("string"), "\n", -1)), F.lit(0)).cast("long").alias("n_lines"))
     none = F.array().cast("array<int>")
-    return plain.join(_by_document(docs), "doc_id", "left").select("doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), F.concat_ws(",", F.coalesce("gone", none).cast("array<string>")).alias("dropped"))
+    rows = plain.join(_by_row(docs, near_words), ["d", "row"], "left")
+    return rows.select("doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), F.concat_ws(",", F.coalesce("gone", none).cast("array<string>")).alias("dropped"))
 
 
-def drop_lines(docs: DataFrame) -> DataFrame:
+def drop_lines(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     """``docs`` without those lines; a document that loses all its lines goes."""
-    gone = _by_document(docs).select("doc_id", "gone")
-    rows = docs.select(F.struct("*").alias("d")).join(gone, F.col("d.doc_id") == F.col("doc_id"), "left")
-    lines = F.split("d.text", "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
+    gone = _by_row(docs, near_words)
+    rows = docs.select(F.struct("*").alias("_doc"), *row_key()).join(gone, ["d", "row"], "left")
+    lines = F.split("_doc.text", "\n", -1)
+    kept = let(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("gone")), lambda i: F.get(x, i)), "\n"))
     rows = rows.where(F.col("gone").isNull() | (F.size(lines) > F.size("gone")))
-    text = F.when(F.col("gone").isNull(), F.col("d.text")).otherwise(kept)
+    text = F.when(F.col("gone").isNull(), F.col("_doc.text")).otherwise(kept)
     new = {"text": text, "n_chars": F.char_length(text).cast("long")}
-    return rows.select(*(new.get(c, F.col(f"d.`{c}`")).alias(c) for c in docs.columns))
+    return rows.select(*(new.get(c, F.col(f"_doc.`{c}`")).alias(c) for c in docs.columns))
