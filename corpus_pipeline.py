@@ -1,15 +1,20 @@
 """The corpus pipeline: quality rules, line dedup, SimHash near-dedup, PII, packing.
 
 Each stage is (name, function of (spark, docs, sf_dir)) on all that the stage before kept; its
-result is written as Parquet in the shared folder and read again as the next one's documents. A
-near-duplicate stage keeps one document of each group; PII is masked in the text; the last stage
-returns the packing's rows. Null texts go with the quality rules. An empty table gives none.
+result is written as Parquet in the shared folder and read again as the next one's documents; the
+tables a stage made on its way are then deleted, the result of the stage before included. The
+near-duplicate stage keeps one document of each group, by five-word shingles and a similarity
+of 0.8; PII is masked in the text; the last stage returns the packing's rows.
+
+Rows are told apart by doc_id and text, so rows that share a doc_id, or have none, are documents of
+their own; of equal rows one stays. Null texts go with the quality rules. Extra columns pass
+through. An empty table gives none.
 """
 
 from __future__ import annotations
 
 from voxgrove.llm import linededup, packing, pii, quality, simhash
-from voxgrove.llm.common import saved, table
+from voxgrove.llm.common import made, release_since, saved, table
 
 
 def quality_rules(spark, docs, sf_dir):
@@ -44,7 +49,8 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs, mark = table(spark, sf_dir, "documents"), made()
     for name, stage in STAGES:
         docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release_since(spark, mark, docs)
     return docs
