@@ -14,6 +14,9 @@ Decoding. ``Utf8Decoder`` takes ids one by one or in runs and emits text as soon
 characters are complete; its state is the bytes of one unfinished character. Ill-formed
 bytes become U+FFFD like bytes.decode(errors="replace").
 
+The cutting of texts into chunks that are remembered holds for the default pattern; with any
+other, every text is matched as a whole.
+
 A null text is empty: no ids, empty digests. Rows repeat as they are; other columns are
 ignored; an empty table gives an empty result.
 """
@@ -286,6 +289,8 @@ class Codec:
         for t, i in self.ranks.items():
             self.vocabulary[i] = t
         self.cache = ChunkCache(self.encode_chunk, "<u4")
+        # texts are cut into chunks, and words taken for one match, by what is known of one pattern
+        self.cuts = pattern == default_pattern()
 
     def encode_chunk(self, text: str) -> list[int]:
         encode, body = self.machine.encode, text[1:]
@@ -298,7 +303,9 @@ class Codec:
         return [i for w in words for i in encode(w.encode("utf-8", "replace"))]
 
     def encode(self, text: str | None) -> np.ndarray:
-        return self.cache.ids(text or "")
+        if self.cuts:
+            return self.cache.ids(text or "")
+        return np.array([i for w in self.split(text or "") for i in self.machine.encode(w.encode("utf-8", "replace"))], "<u4")
 
     def decode(self, ids) -> tuple[bytes, str]:
         d, raw, text = Utf8Decoder(self.vocabulary), [], []
@@ -353,8 +360,9 @@ def digests(docs: DataFrame, ranks_path: str | None = None, pattern: str | None
             rows = []
             for t in b.column(1).to_pylist():
                 ids = c.encode(t)
-                raw, _ = c.decode(ids)
-                rows.append((len(ids), sha(ids.tobytes()).hexdigest(), sha(raw).hexdigest()))
+                # what the streaming decoder gives back, not the tokens' bytes
+                _, text = c.decode(ids)
+                rows.append((len(ids), sha(ids.tobytes()).hexdigest(), sha(text.encode()).hexdigest()))
             n, x, y = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(x, pa.string()), pa.array(y, pa.string())], names)
 

@@ -1,23 +1,31 @@
-"""Katz backoff language model of words, order two, over tables that grow with the corpus.
+"""Katz backoff language model of words, order three, over tables that grow with the corpus.
 
-Unigrams. Training counts of every word and of the end token, by XXH64 of the word.
+Unigrams. Training counts of every word and of the end token, by XXH64 of the word, are a table.
 Good-Turing discounts of counts up to ``K`` leave mass for unknown words, so that the unigram
-distribution over the vocabulary and one unknown word sums to one.
-
-Bigrams. Every text is a start mark, its words, an end. Occurrences travel once, packed, to
-buckets of their context; a context with more than half a bucket's tokens is split by its next
-word. A bucket counts its bigrams, and writes three tables, partitioned by kind: the n-gram counts;
-for each context what its backoff weight needs, with the occurrences that wait for it; and sums
-for each document. When all are written, the bigram counts of counts give the discounts, and
-each context its weight: (1 - sum of seen P(w|h)) / (1 - sum of seen P(w)), so that the
-distribution after every context sums to one. A context none of whose counts is discounted
-gets one more in its total, or nothing would be left for unseen words.
-
-A token's log10 probability is then log10 d(r) r / C(h) if its bigram was seen r times in
-training, else log10 weight(h) + log10 P(w); a context never seen has weight one.
-
-Word counts are looked up in a broadcast of the vocabulary while it has at most
-``BROADCAST_WORDS`` words (12 bytes each), else by a join on the word.
+distribution over the vocabulary and one unknown word sums to one. Words counted often, ``TOP``
+of them at most whatever the corpus, are broadcast and have short ids; all others are their hashes,
+and their counts are joined where they are needed.
+
+Higher orders. Every text is start marks, its words, an end. What a flush of texts has of one
+n-gram travels once, with its training count and the documents it stands in, to the bucket of
+the word before its last. So all contexts that end in that word are in one bucket, and with
+them what they back off to. A word with more than half a bucket's tokens is split by the word before
+it; its bigram counts alone are then partial, and are added up and given back by joins. A bucket
+adds up its n-grams, then goes through its flushes again, one at a time, and writes tables,
+partitioned by kind: the n-gram counts; sums for each document; and what waits: contexts
+whose backoff weight is asked for, and words and bigrams whose counts are. When all are written,
+the counts of counts of each order give its discounts, and each context its weight: (1 - sum of
+seen P(w|h)) / (1 - sum of seen P(w|shorter h)), so that the distribution after every context
+sums to one. A context none of whose counts is discounted gets one more in its total, or nothing
+would be left for unseen words.
+
+A token's log10 probability is log10 d(r) r / C(h) if its n-gram was seen r times in training, else
+log10 weight(h) and the same for the n-gram less its first word; a context never seen has weight
+one. ``score`` learns and scores in one pass. ``train`` leaves a folder of tables, and ``score_with``
+reads those to score any texts.
+
+A whole context of order - 1 words is not split: its documents stay packed, a few bytes for each, and
+its distinct n-grams must fit in a task.
 
 Null texts are empty: one end token. Rows without doc_id train. Repeated rows count each.
 Other columns are ignored. An empty table gives none; a corpus without training documents
@@ -27,42 +35,72 @@ gives every token the unknown word's mass, which is then all of it.
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, pack, partitions, release, saved, spread, unpack, words_of
-
-K = 5
-BROADCAST_WORDS = 12_000_000
-#: Tokens that are handled at once, in a map task and in a bucket.
-FLUSH, BUCKET = 1_500_000, 1_000_000
+from .common import map_batches, pack, release, saved, scratch_dir, spread, unpack, words_of
+
+ORDER = 3
+#: Counts that are discounted; counts of counts that the discounts are fitted to.
+K, FIT = 5, 40
+#: Words that are broadcast at most, 16 bytes each; the steps of an octave that counts are cut into.
+TOP, STEPS = 1 << 20, 16
+#: Tokens that are handled at once in a map task, tokens of a bucket, and buckets of one task.
+FLUSH, BUCKET, TOGETHER = 2_000_000, 1_000_000, 4
+#: Distinct n-grams that a bucket holds before it adds up equal ones.
+MERGE = 2_000_000
 END = b"\n"  # no word has it
-UNKNOWN, START, FIRST = 0, 1, 2
-DOCS, PART, CONTEXT, NGRAM = 0, 1, 2, 3
+#: Ids: the start mark, the first of the broadcast words; hashes lie above.
+START, FIRST, HASHED = 1, 2, 1 << 32
+DOCS, PART, WAIT, MODEL, ITEM, DONE = range(6)
+WORD, PAIR = 0, 1  # what an item asks the count of
+ROWS = "kind int, key long, payload binary, what int, idx int, v long, w long, n long"
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def key_of(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, 42)
+    h = xxhash.xxh64_intdigest(word, 42)
+    return h if h >= HASHED else h | 1 << 63
+
+
+def turing(n: dict[int, int], k: int = K) -> list[float]:
+    """r*/r for r = 1..k by simple Good-Turing from counts of counts up to ``FIT``.
+
+    Counts of counts are spread over the gaps beside them and fitted by a line in logarithms, whose
+    slope is held under -1.1 (-2 where there are fewer than two points). From r = 1 on the raw
+    (r + 1) n[r + 1] / n[r] is taken while it differs from the line's by more than 1.65 standard
+    deviations; what would not lower a count is taken from the line."""
+    rs = [r for r in range(1, FIT + 1) if n.get(r, 0)]
+    slope = -2.0
+    if len(rs) > 1:
+        gaps = zip(rs, [0, *rs[:-1]], [*rs[1:], 2 * rs[-1] - rs[-2]], strict=True)
+        y = np.log([n[r] / (0.5 * (after - before)) for r, before, after in gaps])
+        slope = min(-1.1, float(np.polyfit(np.log(rs), y, 1)[0]))
+    out, raw = [], True
+    for r in range(1, k + 1):
+        line = (r + 1) * ((r + 1) / r) ** slope
+        star, a, b = line, n.get(r, 0), n.get(r + 1, 0)
+        raw = raw and a > 0 and b > 0
+        if raw:
+            x = (r + 1) * b / a
+            raw = abs(x - line) > 1.65 * math.sqrt((r + 1) ** 2 * b / a**2 * (1 + b / a))
+            star = x if raw and x < r else line
+        out.append(star / r)
+    return out
 
 
 def discounts(n: dict[int, int], k: int = K) -> np.ndarray:
-    """d[r] for r = 0..k, by Katz from counts of counts; where those give none in (0, 1), absolute
-    discounting with n1 / (n1 + 2 n2)."""
-    n1, n2 = n.get(1, 0), n.get(2, 0)
-    if all(n.get(r, 0) for r in range(1, k + 2)):
-        common = (k + 1) * n[k + 1] / n1
-        if common < 1:
-            d = [((r + 1) * n[r + 1] / (r * n[r]) - common) / (1 - common) for r in range(1, k + 1)]
-            if all(0 < x < 1 for x in d):
-                return np.array([1.0, *d])
-    much = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-    return np.array([1.0, *((r - much) / r for r in range(1, k + 1))])
+    """d[r] for r = 0..k, by Katz: of each r*/r the share that is common to all up to k goes, so that
+    counts above k stay as they are. All lie in (0, 1)."""
+    ratio = turing(n, k)
+    common = math.prod(ratio)
+    return np.array([1.0, *((x - common) / (1 - common) for x in ratio)])
 
 
 class Unigrams:
@@ -113,31 +151,58 @@ def count_words(docs: DataFrame) -> DataFrame:
     return map_batches(docs.where(~F.col("held_out")).select("text"), run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-class Lookup:
-    """The vocabulary as two sorted arrays; a word's id is its place."""
+class Words:
+    """The broadcast words: hashes in order, and counts. The id of one is its place."""
 
     def __init__(self, raw: tuple[bytes, bytes]):
-        self.h, self.n = np.frombuffer(raw[0], np.int64), np.frombuffer(raw[1], np.uint32)
+        self.h, self.n = np.frombuffer(raw[0], np.uint64), np.frombuffer(raw[1], np.int64)
 
-    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        h = np.fromiter(map(key_of, words), np.uint64, len(words)).view(np.int64)
+    def ids(self, words: list[bytes]) -> np.ndarray:
+        h = np.fromiter(map(key_of, words), np.uint64, len(words))
         if not len(self.h):
-            return np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+            return h
         at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
-        known = self.h[at] == h
-        return np.where(known, at + FIRST, UNKNOWN), np.where(known, self.n[at], 0).astype(np.int64)
+        return np.where(self.h[at] == h, at.astype(np.uint64) + np.uint64(FIRST), h)
 
+    def counts(self, ids: np.ndarray) -> np.ndarray:
+        """Training counts; -1 where they are not broadcast."""
+        own = (ids >= FIRST) & (ids < HASHED)
+        out = np.full(len(ids), -1, np.int64)
+        out[own] = self.n[(ids[own] - np.uint64(FIRST)).astype(np.int64)]
+        return out
 
-def by_broadcast(batches, look):
-    """Flushes of (doc_ids, held_out, sizes, ids, counts) of tokens, from texts."""
-    vocabulary: dict[bytes, int] = {}
-    doc_ids, outs, sizes, tokens, seen = [], [], [], [], 0
+    def hashes(self, ids: np.ndarray) -> np.ndarray:
+        own = (ids >= FIRST) & (ids < HASHED)
+        out = ids.copy()
+        out[own] = self.h[(ids[own] - np.uint64(FIRST)).astype(np.int64)]
+        return out
 
-    def flush():
-        ids, counts = look(list(vocabulary))
-        t = np.concatenate(tokens)
-        return doc_ids, np.array(outs, bool), np.array(sizes), ids[t], counts[t]
 
+class Plan:
+    """What every task knows: the words, the unigrams, the order, the buckets."""
+
+    def __init__(self, words, uni: Unigrams, types: int, starts: int, order: int, buckets: int, bucket: int):
+        self.held, self.uni, self.types, self.order, self.buckets, self.bucket = words, uni, types, order, buckets, bucket
+        self.starts = starts
+
+    def words(self) -> Words:
+        return Words(self.held.value)
+
+    def slots(self, counts: np.ndarray) -> np.ndarray:
+        """Into how many buckets a word is split."""
+        return np.maximum(1, -(-2 * counts // self.bucket))
+
+
+def mix(a: np.ndarray, b) -> np.ndarray:
+    """One hash of two numbers."""
+    with np.errstate(over="ignore"):
+        return spread(a * np.uint64(0x9E3779B97F4A7C15) + b + np.uint64(0x632BE59BD9B4E019))
+
+
+def flushes(batches, words: Words):
+    """(doc_ids, held_out, sizes, tokens, ids): tokens number the distinct words that ids name."""
+    vocabulary: dict[bytes, int] = {}
+    doc_ids, outs, sizes, tokens, seen = [], [], [], [], 0
     for b in batches:
         for d, text, out in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
             w = words_of(text)
@@ -148,44 +213,10 @@ def by_broadcast(batches, look):
             sizes.append(len(w))
             seen += len(w)
             if seen > FLUSH:
-                yield flush()
+                yield doc_ids, np.array(outs, bool), np.array(sizes), np.concatenate(tokens), words.ids(list(vocabulary))
                 vocabulary, doc_ids, outs, sizes, tokens, seen = {}, [], [], [], [], 0
     if doc_ids:
-        yield flush()
-
-
-def by_join(batches):
-    """The same from documents whose words have been joined with the vocabulary."""
-    doc_ids, outs, sizes, ids, counts = [], [], [], [], []
-    for b in batches:
-        for d, out, i, n in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-            doc_ids.append(d)
-            outs.append(out)
-            sizes.append(len(i))
-            ids.append(np.array(i, np.int64))
-            counts.append(np.array(n, np.int64))
-        if sum(sizes) > FLUSH:
-            yield doc_ids, np.array(outs, bool), np.array(sizes), np.concatenate(ids), np.concatenate(counts)
-            doc_ids, outs, sizes, ids, counts = [], [], [], [], []
-    if doc_ids:
-        yield doc_ids, np.array(outs, bool), np.array(sizes), np.concatenate(ids), np.concatenate(counts)
-
-
-def joined(docs: DataFrame, unigrams: DataFrame) -> DataFrame:
-    """(doc_id, held_out, ids, counts): each document's tokens looked up by a join on the word."""
-    az = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    rows = saved(docs.select("doc_id", "held_out", "text", F.monotonically_increasing_id().alias("row")), "katz-rows")
-    words = F.filter(F.split(F.translate(F.coalesce("text", F.lit("")), az, az.lower()), r"[\x20\x09-\x0D]+", -1), lambda x: x != "")
-    tokens = rows.select("row", F.posexplode(F.concat(words, F.array(F.lit("\n")))).alias("pos", "w")).select("row", "pos", F.xxhash64("w").alias("h"))
-    found = tokens.join(unigrams, "h", "left").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", F.when(F.col("n").isNotNull(), F.col("h")).otherwise(UNKNOWN).alias("h"), F.coalesce("n", F.lit(0)).alias("n")))).alias("t"))
-    return rows.drop("text").join(found, "row").select("doc_id", "held_out", F.col("t.h").alias("ids"), F.col("t.n").alias("counts"))
-
-
-def pair_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Order by (a, b)."""
-    if len(a) and 0 <= a.min() and a.max() < 1 << 31 and 0 <= b.min() and b.max() < 1 << 31:
-        return np.argsort(a << 32 | b)
-    return np.lexsort((b, a))
+        yield doc_ids, np.array(outs, bool), np.array(sizes), np.concatenate(tokens), words.ids(list(vocabulary))
 
 
 def bundle(*arrays: np.ndarray) -> bytes:
@@ -202,184 +233,453 @@ def unbundle(b: bytes) -> list[np.ndarray]:
     return out
 
 
-def rows_of(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+def rows_of(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows (kind, key, payload)."""
     kinds, keys, payloads = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(keys, pa.int64()), pa.array(payloads, pa.binary())], ["kind", "key", "payload"])
+    n = len(rows)
+    return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(keys, pa.int64()), pa.array(payloads, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.int64())] * 3], [c.split()[0] for c in ROWS.split(", ")])
+
 
+def items_of(bucket: int, what: int, idx: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Rows that ask for a count, idx >= 0, or add to one, n > 0."""
+    k = len(idx)
+    whole = lambda x, kind: pa.array(np.full(k, x, kind))
+    return pa.RecordBatch.from_arrays([whole(ITEM, np.int32), whole(bucket, np.int64), pa.nulls(k, pa.binary()), whole(what, np.int32), pa.array(idx.astype(np.int32)), pa.array(v.view(np.int64)), pa.array(w.view(np.int64)), pa.array(n.astype(np.int64))], [c.split()[0] for c in ROWS.split(", ")])
 
-def slots(c1: np.ndarray) -> np.ndarray:
-    """Into how many buckets a context with that count is split."""
-    return np.maximum(1, -(-2 * c1 // BUCKET))
 
+def gaps(a: np.ndarray) -> np.ndarray:
+    return np.diff(a, prepend=a.dtype.type(0))
 
-def dispatch(flushes, uni: Unigrams, n_types: int, n_end: int, buckets: int):
-    """Rows (kind, key, payload): a flush's documents, and its occurrences by bucket."""
-    uid = TaskContext.get().partitionId() << 20
-    base = math.log10(uni.total + 0.5 * (n_types + 1))
-    for doc_ids, out, sizes, ids, counts in flushes:
+
+def dispatch(batches, plan: Plan, learn: bool):
+    """Rows of a flush's documents, and of its n-grams by bucket."""
+    words, uid = plan.words(), TaskContext.get().partitionId() << 20
+    one = np.uint64(1)
+    for doc_ids, out, sizes, tokens, ids in flushes(batches, words):
+        counts = words.counts(ids)
         ends = np.cumsum(sizes)
-        starts = ends - sizes
-        doc = np.repeat(np.arange(len(sizes)), sizes)
-        t1, c1 = np.r_[START, ids[:-1]], np.r_[n_end, counts[:-1]]
-        t1[starts], c1[starts] = START, n_end
-        # an unknown context, or a start mark that no training document has, says nothing
-        ship = c1 > 0
-        direct = np.bincount(doc[~ship], np.log10(uni.p(counts[~ship])), len(sizes))
-        score = np.bincount(doc, np.log10(counts + 0.5) - base, len(sizes))
-        known = np.bincount(doc[counts > 0], minlength=len(sizes))
+        doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        place = np.arange(len(tokens)) - np.repeat(ends - sizes, sizes)
+        often = counts[tokens] >= 0
+        base = np.bincount(doc[often], np.log10(counts[tokens][often] + 0.5), len(sizes))
+        known = np.bincount(doc[often], minlength=len(sizes))
         none = np.array([d is None for d in doc_ids])
-        yield rows_of([(DOCS, uid, bundle(np.array([0 if d is None else d for d in doc_ids], np.int64), none, out, sizes, known, score, direct))])
-        t1, c1, t2, c2, d2 = t1[ship], c1[ship], ids[ship], counts[ship], (doc << 1 | ~out[doc])[ship]
-        salt = (spread(t2) % slots(c1).astype(np.uint64)).astype(np.int64)
-        bucket = (spread(t1 * 31 + salt) % np.uint64(buckets)).astype(np.uint32)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0, True]) if len(order) else [0]
+        yield rows_of([(DOCS, uid, bundle(np.array([0 if d is None else d for d in doc_ids], np.int64), none, out, sizes, known, base))])
+        # columns: the word before, the word, then the words before that, nearest first
+        start = len(ids)
+        ids, counts = np.r_[ids, np.uint64(START)], np.r_[counts, plan.starts]
+        columns = []
+        for j in range(1, plan.order):
+            h = np.full(len(tokens), start, np.int32)
+            h[j:] = tokens[:-j]
+            h[place < j] = start
+            columns.append(h)
+        columns.insert(1, tokens)
+        v = columns[0]
+        slots = plan.slots(counts)
+        bucket = (spread(ids) % np.uint64(plan.buckets)).astype(np.int64)[v]
+        hot = np.flatnonzero(slots[v] > 1)
+        by = ids[columns[2 if plan.order > 2 else 1][hot]]
+        salt = spread(by) % slots[v[hot]].astype(np.uint64) + one
+        with np.errstate(over="ignore"):
+            bucket[hot] = (spread(ids[v[hot]] * np.uint64(31) + salt) % np.uint64(plan.buckets)).astype(np.int64)
+        # equal n-grams together, their documents in order; then by bucket
+        key = columns[0].astype(np.int64)
+        for c in columns[1:]:
+            if len(ids) < 1 << 21 and plan.order == 3:
+                key = key << 21 | c
+            else:
+                key = np.unique(key, return_inverse=True)[1].astype(np.int64) << 32 | c
+        order = np.argsort(key, kind="stable")
+        order = order[np.argsort(bucket[order].astype(np.uint16 if plan.buckets < 1 << 16 else np.int64), kind="stable")]
+        key, bucket, doc = key[order], bucket[order], doc[order]
+        new = np.r_[True, (np.diff(key) != 0) | (np.diff(bucket) != 0)]
+        entry = np.flatnonzero(new | np.r_[True, np.diff(doc) != 0])
+        times = np.diff(np.r_[entry, len(key)])
+        gram = np.flatnonzero(new)
+        of = np.cumsum(new)[entry] - 1  # the n-gram of an entry
+        columns = [c[order][gram] for c in columns]
+        doc, trains = doc[entry], times * (~out[doc[entry]] & learn)
+        count = np.bincount(of, trains, len(gram)).astype(np.int64)
+        home = bucket[gram]
+        cuts = np.flatnonzero(np.r_[True, np.diff(home) != 0, True]) if len(gram) else [0]
+        where = np.searchsorted(of, cuts)
         rows = []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            i = order[a:b]
-            i = i[pair_order(t1[i], t2[i])]
-            x, at = t1[i], np.flatnonzero(np.r_[True, np.diff(t1[i]) != 0])
-            y, first, place = np.unique(t2[i], return_index=True, return_inverse=True)
-            rows.append((int(bucket[i[0]]), uid, bundle(np.diff(x[at], prepend=0), np.diff(np.r_[at, len(x)]), c1[i][at], np.diff(y, prepend=0), c2[i][first], place, d2[i])))
-        # here the first column is the bucket, not the kind
-        for k in range(0, len(rows), 64):
-            yield rows_of([(r[0] + NGRAM + 1, r[1], r[2]) for r in rows[k : k + 64]])
+        for a, b, x, y in zip(cuts[:-1], cuts[1:], where[:-1], where[1:], strict=True):
+            used, at = np.unique(np.concatenate([c[a:b] for c in columns]), return_inverse=True)
+            rank = np.argsort(ids[used], kind="stable")
+            back = np.empty(len(rank), np.int64)
+            back[rank] = np.arange(len(rank))
+            at = back[at].reshape(len(columns), -1)
+            rows.append((MODEL, int(home[a]), bundle(np.array([uid]), gaps(ids[used][rank]).view(np.int64), gaps(at[0]), *at[1:], count[a:b], gaps(of[x:y] - a), doc[x:y], times[x:y] - 1)))
+            if len(rows) == 64:
+                yield rows_of(rows)
+                rows = []
+        yield rows_of(rows)
         uid += 1
 
 
-def count_bucket(bucket: int, got: list[tuple[int, bytes]], uni: Unigrams, add):
-    """Count a bucket's bigrams; ``add(uid, docs, s, r)`` takes occurrences whose bigram is
-    seen (r > 0) or not, with what is known of their score."""
-    parts = [unbundle(p) for _, p in got]
-    t1 = np.concatenate([np.repeat(np.cumsum(p[0]), p[1]) for p in parts])
-    c1 = np.concatenate([np.repeat(p[2], p[1]) for p in parts])
-    t2 = np.concatenate([np.cumsum(p[3])[p[5]] for p in parts])
-    c2 = np.concatenate([p[4][p[5]] for p in parts])
-    d2 = np.concatenate([p[6] for p in parts])
-    src = np.repeat(np.arange(len(parts)), [len(p[6]) for p in parts])
-    del parts
-    i = pair_order(t1, t2)
-    t1, c1, t2, c2, d2, src = t1[i], c1[i], t2[i], c2[i], d2[i], src[i]
-    first = np.flatnonzero(np.r_[True, (np.diff(t1) != 0) | (np.diff(t2) != 0)])
-    group = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(t1)]))
-    r = np.add.reduceat(d2 & 1, first)
-    ctx_first = np.flatnonzero(np.r_[True, np.diff(t1[first]) != 0])
-    ctx = np.repeat(np.arange(len(ctx_first)), np.diff(np.r_[ctx_first, len(first)]))
-    n_ctx, total = len(ctx_first), c1[first][ctx_first]
-    stats = [np.bincount(ctx[r == k], minlength=n_ctx) for k in range(1, K + 1)]
-    big = np.bincount(ctx[r > K], r[r > K], n_ctx).astype(np.int64)
-    mass = np.bincount(ctx[r > 0], uni.p(c2[first][r > 0]), n_ctx)
-    split = slots(total) > 1
-    total = np.where(~split & (sum(stats) == 0), total + 1, total)
-    r_of, ctx_of = r[group], ctx[group]
-    with np.errstate(divide="ignore"):
-        s = np.where(r_of > 0, np.log10(np.maximum(r_of, 1)) - np.log10(total[ctx_of]), np.log10(uni.p(c2)))
-    # occurrences that wait for their context: unseen bigrams, and all of split contexts
-    wait = (r_of == 0) | split[ctx_of]
-    w_src, w_doc, w_ctx, w_seen = src[wait], d2[wait] >> 1, ctx_of[wait], (r_of[wait] > 0).astype(np.int64)
-    for k, (uid, _) in enumerate(got):
-        m = src == k
-        add(uid, d2[m] >> 1, s[m], r_of[m])
-    uids = np.array([u for u, _ in got], np.int64)
-    seen = r > 0
-    yield rows_of([(CONTEXT, bucket, bundle(np.diff(t1[first][ctx_first], prepend=0), total, *stats, big, mass, split, uids, w_src, w_doc, w_ctx, w_seen, np.array([np.count_nonzero(r == k) for k in range(K + 2)])))])
-    yield rows_of([(NGRAM, bucket, bundle(np.diff(t1[first][ctx_first], prepend=0), np.bincount(ctx[seen], minlength=n_ctx), t2[first][seen], r[seen]))])
-
-
-def count_buckets(batches, uni: Unigrams):
-    """Rows come sorted by their first column: documents, then bucket after bucket."""
+class Grams:
+    """A payload opened: columns of word ids, counts, and the documents of each n-gram."""
+
+    def __init__(self, payload: bytes, order: int):
+        uid, ids, first, *rest = unbundle(payload)
+        self.uid = int(uid[0])
+        with np.errstate(over="ignore"):
+            ids = np.cumsum(ids.view(np.uint64), dtype=np.uint64)
+        self.columns = [ids[np.cumsum(first)], *(ids[c] for c in rest[: order - 1])]
+        self.count, of, self.doc, self.times = rest[order - 1 :]
+        self.of, self.times = np.cumsum(of), self.times + 1
+
+    def keys(self) -> list[np.ndarray]:
+        """Hashes of the n-grams of 2, 3, ... words."""
+        v, w, *more = self.columns
+        out = [mix(v, w)]
+        for u in more:
+            out.append(mix(out[-1], u))
+        return out
+
+    def contexts(self) -> list[np.ndarray]:
+        v, _, *more = self.columns
+        out = [mix(v, np.uint64(7))]
+        for u in more:
+            out.append(mix(out[-1], u))
+        return out
+
+
+def merged(columns: list[list[np.ndarray]], counts: list[np.ndarray]):
+    """Equal n-grams added up: (columns, counts), in order of their hash."""
+    cols, n = [np.concatenate(c) for c in columns], np.concatenate(counts)
+    key = mix(cols[0], cols[1])
+    for u in cols[2:]:
+        key = mix(key, u)
+    order = np.argsort(key)
+    first = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0]) if len(key) else np.zeros(0, np.int64)
+    return [c[order][first] for c in cols], np.add.reduceat(n[order], first) if len(first) else n
+
+
+def find(keys: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The place of each key, -1 where there is none."""
+    if not len(keys):
+        return np.full(len(key), -1)
+    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+    return np.where(keys[at] == key, at, -1)
+
+
+def classes(group: np.ndarray, r: np.ndarray, n: int) -> list[np.ndarray]:
+    """For each of n groups how many members have r = 1..K, and the sum of those above."""
+    return [*(np.bincount(group[r == k], minlength=n) for k in range(1, K + 1)), np.bincount(group[r > K], r[r > K], n).astype(np.int64)]
+
+
+class Level:
+    """The seen n-grams of one order in a bucket, and their contexts."""
+
+    def __init__(self, keys, contexts, r, lower, below):
+        self.keys, self.r = keys, r
+        self.context, self.first, self.group = np.unique(contexts, return_index=True, return_inverse=True)
+        n = len(self.context)
+        self.stats = classes(self.group, r, n)
+        total = np.bincount(self.group, r, n).astype(np.int64)
+        self.total = total + (sum(self.stats[:K]) == 0)
+        self.lower = classes(self.group, lower, n) if lower is not None else None
+        self.below = below[self.first] if below is not None else None
+
+
+def levels_of(cols: list[np.ndarray], count: np.ndarray, order: int) -> tuple[dict[int, Level], dict[int, np.ndarray]]:
+    """A level for each order from 2 up, and the n-gram of the full order that stands for each."""
+    grams = Grams.__new__(Grams)
+    grams.columns = cols
+    keys, contexts = grams.keys(), grams.contexts()
+    out, rep, r_of, total_of = {}, {}, None, None
+    for n in range(2, order + 1):
+        own, first, group = np.unique(keys[n - 2], return_index=True, return_inverse=True)
+        r = np.bincount(group, count, len(own)).astype(np.int64)
+        lower, below = (r_of[first], total_of[first]) if n > 2 else (None, None)
+        level = out[n] = Level(own, contexts[n - 2][first], r, lower, below)
+        rep[n] = first
+        r_of = r[group]
+        total_of = level.total[level.group][group]
+    return out, rep
+
+
+def count_bucket(bucket: int, got: list[bytes], plan: Plan, words: Words, add):
+    """Add up a bucket's n-grams; ``add(uid, docs, s, which)`` takes what is known of scores. Yields rows
+    of what waits, of the n-grams, and of counts asked for."""
+    order = plan.order
+    columns, counts, size = [[] for _ in range(order)], [], 0
+    for payload in got:
+        g = Grams(payload, order)
+        seen = g.count > 0
+        for held, c in zip(columns, g.columns, strict=True):
+            held.append(c[seen])
+        counts.append(g.count[seen])
+        size += int(seen.sum())
+        if size > MERGE:
+            cols, n = merged(columns, counts)
+            columns, counts, size = [[c] for c in cols], [n], 0
+    cols, count = merged(columns, counts)
+    del columns, counts
+    levels, rep = levels_of(cols, count, order)
+    two = levels[2]
+    is_hot = lambda ids: plan.slots(np.where(ids == START, plan.starts, words.counts(ids))) > 1
+    uids: list[int] = []
+    waits: dict[int, list] = {n: [] for n in range(2, order + 1)}
+    rare, pending = [], []
+    for src, payload in enumerate(got):
+        g = Grams(payload, order)
+        uids.append(g.uid)
+        if not len(g.of):
+            continue
+        hot, c1 = is_hot(g.columns[0]), words.counts(g.columns[1])
+        level, s, which = np.ones(len(c1), np.int64), np.zeros(len(c1)), np.zeros(len(c1), np.int64)
+        keys, contexts = g.keys(), g.contexts()
+        s[c1 >= 0] = np.log10(plan.uni.p(c1[c1 >= 0]))
+        level[hot] = 0
+        asks = {}
+        for n in range(2, order + 1):
+            own = levels[n]
+            at, asks[n] = find(own.keys, keys[n - 2]), find(own.context, contexts[n - 2])
+            yes = at >= 0 if n > 2 else (at >= 0) & ~hot
+            r = own.r[at[yes]]
+            level[yes] = n
+            s[yes] = np.log10(r) - np.log10(own.total[asks[n][yes]])
+            which[yes] = np.where(r <= K, (n - 2) * K + r, 0)
+        s[level == 0] = 0
+        of, doc, times = g.of, g.doc, g.times
+        add(g.uid, doc, s[of] * times, which[of], times)
+        put = lambda held, e, ref, src=src, doc=doc, times=times: held.append((ref, np.full(len(e), src), doc[e], times[e]))
+        for n in range(2, order + 1):
+            ask = (level < n) & (asks[n] >= 0) & ((n > 2) | ~hot)
+            if ask.any():
+                e = np.flatnonzero(ask[of])
+                put(waits[n], e, asks[n][of[e]])
+        if (c1 < 0).any():
+            e = np.flatnonzero((c1 < 0)[of])
+            rare.append((g.columns[1][of[e]], np.full(len(e), src), doc[e], times[e], (level == 1)[of[e]]))
+        if (level == 0).any():
+            e = np.flatnonzero((level == 0)[of])
+            pending.append((g.columns[0][of[e]], g.columns[1][of[e]], np.full(len(e), src), doc[e], times[e]))
+    # what resolving needs of each order's contexts
+    parts = [np.array(uids, np.int64)]
+    lists: list[np.ndarray] = []
+    hot_of = is_hot(cols[0]) if len(count) else np.zeros(0, bool)
+    pair_v, pair_w, pair_n = [cols[0][rep[2]][hot_of[rep[2]]]], [cols[1][rep[2]][hot_of[rep[2]]]], [two.r[hot_of[rep[2]]]]
+    rare_pairs, hot_pairs = (np.zeros(0, np.int64), np.zeros(0, np.uint64)), (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+    none = np.zeros(0, np.int64)
+    for n in range(2, order + 1):
+        own = levels[n]
+        ref, src, doc, times = (np.concatenate(c) for c in zip(*waits[n], strict=True)) if waits[n] else [none] * 4
+        used, ref = np.unique(ref, return_inverse=True)
+        parts += [ref, src, doc, times, own.total[used], *(x[used] for x in own.stats)]
+        back = np.full(len(own.context), -1)
+        back[used] = np.arange(len(used))
+        member = back[own.group]
+        inner = np.flatnonzero(member >= 0)
+        w = cols[1][rep[n]][inner]
+        if n == 2:
+            c1 = words.counts(w)
+            parts.append(np.bincount(member[inner][c1 >= 0], plan.uni.p(c1[c1 >= 0]), len(used)))
+            rare_pairs = member[inner][c1 < 0], w[c1 < 0]
+        else:
+            split = hot_of[rep[n]][inner] if n == 3 else np.zeros(len(inner), bool)
+            parts += [own.below[used], *(x[used] for x in own.lower)]
+            if n == 3:
+                hot_pairs = member[inner][split], cols[0][rep[3]][inner][split], w[split]
+                whose = np.zeros(len(used), np.uint64)
+                whose[hot_pairs[0]] = hot_pairs[1]
+                parts.append(whose.view(np.int64))
+    rare = [np.concatenate(c) for c in zip(*rare, strict=True)] if rare else [np.zeros(0, np.uint64), none, none, none, np.zeros(0, bool)]
+    pending = [np.concatenate(c) for c in zip(*pending, strict=True)] if pending else [np.zeros(0, np.uint64), np.zeros(0, np.uint64), none, none, none]
+    far = pending[1][words.counts(pending[1]) < 0] if len(pending[1]) else pending[1]
+    asked = np.unique(np.concatenate([rare[0], rare_pairs[1], far]))
+    # bigrams of split words: all seen here are added up, some are asked for
+    ask_v, ask_w = np.concatenate([hot_pairs[1], pending[0]]), np.concatenate([hot_pairs[2], pending[1]])
+    every_v, every_w = np.concatenate([*pair_v, ask_v]), np.concatenate([*pair_w, ask_w])
+    n_of = np.concatenate([*pair_n, np.zeros(len(ask_v), np.int64)])
+    pair_key = mix(every_v, every_w)
+    pair, first, group = np.unique(pair_key, return_index=True, return_inverse=True)
+    partial = np.bincount(group, n_of, len(pair)).astype(np.int64)
+    ask = np.unique(group[len(group) - len(ask_v) :])
+    number = np.full(len(pair), -1)
+    number[ask] = np.arange(len(ask))
+    to = number[group[len(group) - len(ask_v) :]]
+    c1 = words.counts(pending[1])
+    lists += [rare_pairs[0], np.searchsorted(asked, rare_pairs[1]), hot_pairs[0], to[: len(hot_pairs[0])]]
+    lists += [np.searchsorted(asked, rare[0]), rare[1], rare[2], rare[3], rare[4].astype(np.int64)]
+    lists += [pending[0].view(np.int64), to[len(hot_pairs[0]) :], c1, np.where(c1 < 0, np.searchsorted(asked, pending[1]), 0), pending[2], pending[3], pending[4]]
+    tally = [np.bincount(np.minimum(levels[n].r[~hot_of[rep[n]]] if n == 2 else levels[n].r, FIT + 1), minlength=FIT + 2)[: FIT + 1] for n in range(2, order + 1)]
+    yield rows_of([(WAIT, bucket, bundle(np.concatenate(tally), *parts, *lists))])
+    used, at = np.unique(np.concatenate(cols), return_inverse=True) if len(count) else (np.zeros(0, np.uint64), none)
+    at = at.reshape(order, -1)
+    by = np.lexsort(at[::-1])
+    yield rows_of([(MODEL, bucket, bundle(np.array([-1]), gaps(used).view(np.int64), gaps(at[0][by]), *(a[by] for a in at[1:]), count[by], none, none, none))])
+    for i in range(0, len(asked), 1 << 16):
+        some = asked[i : i + (1 << 16)]
+        yield items_of(bucket, WORD, np.arange(i, i + len(some)), np.zeros(len(some), np.uint64), some, np.zeros(len(some)))
+    for i in range(0, len(pair), 1 << 16):
+        j = slice(i, i + (1 << 16))
+        yield items_of(bucket, PAIR, number[j], every_v[first][j], words.hashes(every_w[first][j]), partial[j])
+
+
+def count_buckets(batches, plan: Plan):
+    """Rows come sorted by kind and bucket."""
+    words = plan.words()
+    wide = (plan.order - 1) * K + 1
     sums: dict[int, np.ndarray] = {}
     held = 0
 
-    def add(uid, docs, s, r):
+    def add(uid, docs, s, which, times):
         nonlocal held
-        n = int(docs.max()) + 1 if len(docs) else 0
+        n = int(docs.max()) + 1
         t = sums.get(uid)
         if t is None or t.shape[1] < n:
-            grown = np.zeros((K + 1, n))
+            grown = np.zeros((wide + 1, n))
             if t is not None:
                 grown[:, : t.shape[1]] = t
                 held -= t.shape[1]
             t = sums[uid] = grown
             held += n
-        t[0] += np.bincount(docs, s, t.shape[1])
-        for k in range(1, K + 1):
-            t[k] += np.bincount(docs[r == k], minlength=t.shape[1])
+        n = t.shape[1]
+        t[0] += np.bincount(docs, s, n)
+        t[1:] += np.bincount(which * n + docs, times, wide * n).reshape(wide, n)
 
     def flush():
         nonlocal held
         for uid, t in sums.items():
             docs = np.flatnonzero(t.any(0))
-            yield rows_of([(PART, uid, bundle(np.diff(docs, prepend=0), t[0, docs], *(t[k, docs].astype(np.int64) for k in range(1, K + 1))))])
+            yield rows_of([(PART, uid, bundle(gaps(docs), t[0, docs], *(x[docs].astype(np.int64) for x in t[2:])))])
         sums.clear()
         held = 0
 
     now, got = None, []
     for b in batches:
-        for kind, uid, payload in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+        for kind, key, payload in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
             if kind == DOCS:
-                yield rows_of([(DOCS, uid, payload)])
+                yield rows_of([(DOCS, key, payload)])
                 continue
-            if kind != now and got:
-                yield from count_bucket(now, got, uni, add)
+            if key != now and got:
+                yield from count_bucket(now, got, plan, words, add)
                 got = []
-                if held > 500_000:
+                if held > 300_000:
                     yield from flush()
-            now = kind
-            got.append((uid, payload))
+            now = key
+            got.append(payload)
     if got:
-        yield from count_bucket(now, got, uni, add)
+        yield from count_bucket(now, got, plan, words, add)
     yield from flush()
 
 
-def weights(total, stats, big, mass, d):
-    """(backoff weight, total after it is known whether any count is discounted)."""
-    seen = (sum(s * k * d[k] for k, s in enumerate(stats, 1)) + big) / total
-    return (1 - seen) / (1 - mass)
+def discounted(stats: list[np.ndarray], d: np.ndarray) -> np.ndarray:
+    """The sum of discounted counts, by classes of counts."""
+    return sum((x * k * d[k] for k, x in enumerate(stats[:K], 1)), stats[K].astype(float))
 
 
-def resolve(batches, d, hot):
-    """Scores by document: (kind, uid, documents and sums). ``hot``: weight and total of the split
-    contexts, with the total that their occurrences were scored by."""
-    for b in batches:
-        rows = []
-        for kind, key, payload in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-            if kind == DOCS:
-                rows.append((DOCS, key, payload))
-            elif kind == PART:
-                docs, s, *n = unbundle(payload)
-                s = s.view(np.float64) + sum(x * math.log10(d[k]) for k, x in enumerate(n, 1))
-                rows.append((PART, key, bundle(docs, s)))
-            else:
-                ids, total, *stats, big, mass, split, uids, w_src, w_doc, w_ctx, w_seen, _ = unbundle(payload)
-                weight, shift = weights(total, stats, big, mass.view(np.float64), d), np.zeros(len(total))
-                for i in np.flatnonzero(split):
-                    weight[i], whole = hot[int(np.cumsum(ids)[i])]
-                    shift[i] = math.log10(total[i] / whole)
-                with np.errstate(divide="ignore"):
-                    s = np.where(w_seen > 0, shift[w_ctx], np.log10(weight)[w_ctx])
-                order = np.argsort(w_src, kind="stable")
-                cuts = np.searchsorted(w_src[order], np.arange(len(uids) + 1))
-                for k, uid in enumerate(uids.tolist()):
-                    m = order[cuts[k] : cuts[k + 1]]
-                    if len(m):
-                        docs, place = np.unique(w_doc[m], return_inverse=True)
-                        rows.append((PART, uid, bundle(np.diff(docs, prepend=0), np.bincount(place, s[m], len(docs)))))
-        yield rows_of(rows)
+def seen(c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    return np.where(c <= K, c * d[np.minimum(c, K)], c)
 
 
-def total_up(batches, train_tokens: int):
+def resolve(batches, plan: Plan, d: dict[int, np.ndarray], hot: dict[int, tuple[float, float]]):
+    """Scores of what waits: rows (DONE, uid, documents, score, base, known). The counts of a bucket come
+    before its payload. ``hot``: total and backoff weight of the split words."""
+    order = plan.order
+    word_n: dict[int, np.ndarray] = {}
+    replies: list[tuple] = []
+    for b in batches:
+        whole = b.column(2).is_null().to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(np.diff(whole)) + 1).tolist(), b.num_rows] if b.num_rows else [0]
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            if i == j:
+                continue
+            if whole[i]:
+                replies.append(tuple(b.column(k).slice(i, j - i).to_numpy() for k in (3, 4, 7)))
+                continue
+            for k in range(i, j):
+                what, idx, n = (np.concatenate(c) for c in zip(*replies, strict=True)) if replies else [np.zeros(0, np.int64)] * 3
+                replies = []
+                for kind in (WORD, PAIR):
+                    mine = what == kind
+                    word_n[kind] = np.zeros(int(idx[mine].max()) + 1 if mine.any() else 0, np.int64)
+                    word_n[kind][idx[mine]] = n[mine]
+                yield from settled(b.column(2)[k].as_py(), plan, d, hot, word_n[WORD], word_n[PAIR])
+
+
+def settled(payload: bytes, plan: Plan, d, hot, word_n: np.ndarray, pair_n: np.ndarray):
+    parts = unbundle(payload)[1:]
+    uids, parts = parts[0], parts[1:]
+    p1 = plan.uni.p(word_n)
+    total = lambda v: np.array([hot.get(x, (1.0, 1.0))[0] for x in v])
+    *orders, rare_ctx, rare_word, hot_ctx, hot_pair, w_at, w_src, w_doc, w_times, w_need, p_v, p_pair, p_c1, p_at, p_src, p_doc, p_times = parts
+    refs, srcs, docs, scores = [], [], [], []
+    at = 0
+    for n in range(2, plan.order + 1):
+        ref, src, doc, times, whole = orders[at : at + 5]
+        stats = orders[at + 5 : at + 6 + K]
+        at += 6 + K
+        if n == 2:
+            low = orders[at].view(np.float64) + np.bincount(rare_ctx, p1[rare_word], len(whole))
+            at += 1
+        else:
+            below, lower = orders[at].astype(float), discounted(orders[at + 1 : at + 2 + K], d[n - 1])
+            at += 2 + K
+            if n == 3:
+                # of split words, the bigrams' counts have been added up elsewhere
+                whose = orders[at]
+                at += 1
+                split = np.bincount(hot_ctx, minlength=len(whole)) > 0
+                lower = np.where(split, np.bincount(hot_ctx, seen(pair_n[hot_pair], d[2]), len(whole)), lower)
+                below[split] = total(whose[split].tolist())
+            low = lower / below
+        weight = (1 - discounted(stats, d[n]) / whole) / (1 - low)
+        srcs.append(src)
+        docs.append(doc)
+        scores.append(times * np.log10(weight)[ref])
+    # bigrams of split words: seen, or backed off from
+    c = pair_n[p_pair]
+    v_total = total(p_v.tolist())
+    v_weight = np.array([hot.get(x, (1.0, 1.0))[1] for x in p_v.tolist()])
+    last = np.where(p_c1 >= 0, plan.uni.p(np.maximum(p_c1, 0)), p1[p_at] if len(p1) else 1.0)
+    with np.errstate(divide="ignore"):
+        scores.append(p_times * np.where(c > 0, np.log10(seen(c, d[2]) / v_total), np.log10(v_weight) + np.log10(last)))
+    srcs.append(p_src)
+    docs.append(p_doc)
+    scores.append(np.where(w_need > 0, w_times * np.log10(p1[w_at]), 0.0) if len(w_at) else np.zeros(0))
+    srcs.append(w_src)
+    docs.append(w_doc)
+    src, doc, s = np.concatenate(srcs), np.concatenate(docs), np.concatenate(scores)
+    base = np.concatenate([np.zeros(len(src) - len(w_at)), w_times * np.log10(word_n[w_at] + 0.5)])
+    known = np.concatenate([np.zeros(len(src) - len(w_at)), w_times * (word_n[w_at] > 0)])
+    order = np.argsort(src, kind="stable")
+    cuts = np.searchsorted(src[order], np.arange(len(uids) + 1))
+    rows = []
+    for k, uid in enumerate(uids.tolist()):
+        m = order[cuts[k] : cuts[k + 1]]
+        if len(m):
+            own, place = np.unique(doc[m], return_inverse=True)
+            rows.append((DONE, uid, bundle(gaps(own), *(np.bincount(place, x[m], len(own)) for x in (s, base)), np.bincount(place, known[m], len(own)).astype(np.int64))))
+    yield rows_of(rows)
+
+
+def total_up(batches, plan: Plan, d: dict[int, np.ndarray]):
     """Rows come sorted by uid; all of a flush's documents go out together."""
     names = [c.split()[0] for c in OUT.split(", ")]
+    logs = [math.log10(d[n][k]) for n in range(2, plan.order + 1) for k in range(1, K + 1)]
+    least = math.log10(plan.uni.total + 0.5 * (plan.types + 1))
     now, docs, parts = None, None, []
 
     def flush():
-        doc_id, none, out, sizes, known, base, direct = docs
-        score = direct.view(np.float64).copy()
-        for at, s in parts:
-            score[at] += s
+        doc_id, none, out, sizes, known, base = docs
+        base, score, known = base.view(np.float64) - sizes * least, np.zeros(len(sizes)), known.copy()
+        for kind, payload in parts:
+            own, s, *rest = unbundle(payload)
+            own, s = np.cumsum(own), s.view(np.float64)
+            if kind == PART:
+                score[own] += s + sum((x * y for x, y in zip(rest, logs, strict=True)), np.zeros(len(s)))
+            else:
+                score[own] += s
+                base[own] += rest[0].view(np.float64)
+                known[own] += rest[1]
         ids = pa.array(doc_id, pa.int64(), mask=none.astype(bool))
-        return pa.RecordBatch.from_arrays([ids, pa.array(out.astype(bool)), pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), train_tokens, np.int64)), pa.array(base.view(np.float64)), pa.array(score)], names)
+        return pa.RecordBatch.from_arrays([ids, pa.array(out.astype(bool)), pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), plan.uni.total, np.int64)), pa.array(base), pa.array(score)], names)
 
     for b in batches:
         for kind, uid, payload in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
@@ -390,59 +690,121 @@ def total_up(batches, train_tokens: int):
             if kind == DOCS:
                 docs = unbundle(payload)
             else:
-                at, s = unbundle(payload)
-                parts.append((np.cumsum(at), s.view(np.float64)))
+                parts.append((kind, payload))
     if docs is not None:
         yield flush()
 
 
-def score(docs: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
-    """Learn from the documents that are not held out and score all: see ``OUT``."""
-    spark = docs.sparkSession
-    rows = documents(docs)
-    unigrams = saved(count_words(rows), "katz-unigrams")
-    low = {r["n"]: r["count"] for r in unigrams.where(F.col("n") <= K + 1).groupBy("n").count().collect()}
+def _plan(unigrams: DataFrame, order: int) -> Plan:
+    """Totals and counts of counts, and the words counted most often, are all that the driver sees."""
+    spark = unigrams.sparkSession
+    low = {r["n"]: r["count"] for r in unigrams.where(F.col("n") <= FIT).groupBy("n").count().collect()}
     total, types = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).head()
+    step = F.floor(STEPS * F.log2("n"))
+    sizes, least, held = unigrams.groupBy(step.alias("step")).count().collect(), None, 0
+    for r in sorted(sizes, key=lambda r: -r["step"]):
+        held += r["count"]
+        if held > TOP:
+            break
+        least = r["step"]
+    top = unigrams.where(step >= least if least is not None else F.lit(False)).toArrow()
+    h, n = top["h"].to_numpy().astype(np.int64).view(np.uint64), top["n"].to_numpy().astype(np.int64)
+    by = np.argsort(h)
     end = unigrams.where(F.col("h") == F.lit(int(np.array([key_of(END)], np.uint64).view(np.int64)[0]))).select("n").head()
-    uni, n_end, schema = Unigrams(total, low), end[0] if end else 0, "kind int, key long, payload binary"
-    buckets = max(1, -(-total // BUCKET))
-    if types <= broadcast_words:
-        t = unigrams.toArrow()
-        h, n = t["h"].to_numpy(), t["n"].to_numpy()
-        order = np.argsort(h)
-        held = spark.sparkContext.broadcast((h[order].tobytes(), np.minimum(n[order], 0xFFFFFFFF).astype(np.uint32).tobytes()))
-        del t, h, n, order
-        sent = map_batches(rows, lambda b: dispatch(by_broadcast(b, Lookup(held.value)), uni, types, n_end, buckets), schema)
-    else:
-        sent = map_batches(joined(rows, unigrams), lambda b: dispatch(by_join(b), uni, types, n_end, buckets), schema)
-    # documents are dealt by their flush, occurrences by their bucket
-    place = F.when(F.col("kind") == DOCS, F.xxhash64("key")).otherwise(F.xxhash64("kind"))
-    dealt = sent.repartition(partitions(spark), place).sortWithinPartitions("kind", "key")
-    tables = saved(dealt.mapInArrow(lambda b: count_buckets(b, uni), schema), "katz-tables", by="kind")
-    release(unigrams)
-    if types <= broadcast_words:
-        held.unpersist()
+    words = spark.sparkContext.broadcast((h[by].tobytes(), n[by].tobytes()))
+    return Plan(words, Unigrams(total, low), types, end[0] if end else 0, order, max(1, -(-total // BUCKET)), BUCKET)
+
+
+def _counted(rows: DataFrame, plan: Plan, learn: bool, model: DataFrame | None = None) -> DataFrame:
+    """The tables of kinds, of documents that are learned from or of a model's n-grams."""
+    sent = map_batches(rows, lambda b: dispatch(b, plan, learn), ROWS)
+    if model is not None:
+        sent = sent.unionByName(model)
+    place = F.when(F.col("kind") == DOCS, F.col("key")).otherwise(F.floor(F.col("key") / TOGETHER))
+    tasks = max(1, -(-plan.buckets // TOGETHER))
+    dealt = sent.repartition(tasks, place).sortWithinPartitions("kind", "key")
+    return saved(dealt.mapInArrow(lambda b: count_buckets(b, plan), ROWS), "katz-tables", by="kind")
+
+
+def _discounts(tables: DataFrame, plan: Plan, unigrams: DataFrame) -> tuple[dict[int, np.ndarray], dict[int, tuple[float, float]], DataFrame]:
+    """(discounts by order, total and backoff weight of the split words, counts of their bigrams)."""
 
-    def summary(batches):
+    def tally(batches):
         for b in batches:
-            out = []
             for payload in b.column(0).to_pylist():
-                ids, tot, *stats, big, mass, split, _, _, _, _, _, n = unbundle(payload)
-                out.append((0, *map(int, n), 0.0))
-                for i in np.flatnonzero(split):
-                    out.append((int(np.cumsum(ids)[i]), int(tot[i]), *(int(s[i]) for s in stats), int(big[i]), float(mass.view(np.float64)[i])))
-            cols = list(zip(*out, strict=True)) if out else [()] * 9
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == 8 else pa.int64()) for k, c in enumerate(cols)], ["id", *(f"x{k}" for k in range(7)), "mass"])
-
-    # counts of counts, and the split contexts: at most two for each bucket
-    few = tables.where(F.col("kind") == CONTEXT).select("payload").mapInArrow(summary, "id long, " + ", ".join(f"x{k} long" for k in range(7)) + ", mass double")
-    few = few.groupBy("id").agg(F.max("x0").alias("total"), *(F.sum(f"x{k}").alias(f"x{k}") for k in range(7)), F.sum("mass").alias("mass")).collect()
-    d = discounts({k: r[f"x{k}"] for r in few if r["id"] == 0 for k in range(1, K + 2)})
+                n = unbundle(payload)[0].reshape(plan.order - 1, FIT + 1)
+                order, r = np.nonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(order + 2), pa.array(r), pa.array(n[order, r])], ["level", "r", "n"])
+
+    pairs = tables.where((F.col("kind") == ITEM) & (F.col("what") == PAIR))
+    totals = saved(pairs.where("n > 0").groupBy("v", "w").agg(F.sum("n").alias("c")), "katz-pairs")
+    few = tables.where(F.col("kind") == WAIT).select("payload").mapInArrow(tally, "level long, r long, n long")
+    few = few.unionByName(totals.where(F.col("c") <= FIT).groupBy(F.col("c").alias("r")).agg(F.count("*").alias("n")).select(F.lit(2).cast("long").alias("level"), "r", "n"))
+    of: dict[int, dict[int, int]] = {n: {} for n in range(2, plan.order + 1)}
+    for r in few.where("r > 0").groupBy("level", "r").agg(F.sum("n").alias("n")).collect():
+        of[r["level"]][r["r"]] = r["n"]
+    d = {n: discounts(x) for n, x in of.items()}
+    # the split words: two for each bucket at most
+    p = F.when(F.col("n") <= K, F.col("n") * F.element_at(F.array(*[F.lit(float(x)) for x in plan.uni.d[1:]]), F.least("n", F.lit(K)).cast("int"))).otherwise(F.col("n")) / plan.uni.whole
+    by = totals.join(unigrams.withColumnRenamed("h", "w"), "w").withColumn("p", p)
+    held = by.groupBy("v").agg(*(F.sum((F.col("c") == k).cast("long")).alias(f"x{k}") for k in range(1, K + 1)), F.sum(F.when(F.col("c") > K, F.col("c")).otherwise(0)).alias("big"), F.sum("c").alias("total"), F.sum("p").alias("mass"))
     hot = {}
-    for r in few:
-        if r["id"]:
-            stats, big = [r[f"x{k}"] for k in range(1, K + 1)], r["x6"]
-            whole = r["total"] + (sum(stats) == 0)
-            hot[r["id"]] = weights(whole, stats, big, r["mass"], d), whole
-    scored = tables.where(F.col("kind") != NGRAM).select("kind", "key", "payload").mapInArrow(lambda b: resolve(b, d, hot), schema)
-    return scored.repartition(partitions(spark), "key").sortWithinPartitions("key").mapInArrow(lambda b: total_up(b, total), OUT)
+    for r in held.collect():
+        stats = [r[f"x{k}"] for k in range(1, K + 1)]
+        whole = r["total"] + (sum(stats) == 0)
+        kept = sum(x * k * d[2][k] for k, x in enumerate(stats, 1)) + r["big"]
+        hot[r["v"]] = whole, (1 - kept / whole) / (1 - r["mass"])
+    return d, hot, totals
+
+
+def _scored(tables: DataFrame, plan: Plan, unigrams: DataFrame) -> DataFrame:
+    d, hot, totals = _discounts(tables, plan, unigrams)
+    tasks = max(1, -(-plan.buckets // TOGETHER))
+    names = [c.split()[0] for c in ROWS.split(", ")]
+    items = tables.where((F.col("kind") == ITEM) & (F.col("idx") >= 0)).drop("n")
+    words = items.where(F.col("what") == WORD).join(unigrams.withColumnRenamed("h", "w"), "w", "left")
+    pairs = items.where(F.col("what") == PAIR).join(totals.withColumnRenamed("c", "n"), ["v", "w"], "left")
+    replies = words.select(names).unionByName(pairs.select(names)).withColumn("n", F.coalesce("n", F.lit(0)))
+    asked = replies.unionByName(tables.where(F.col("kind") == WAIT).select(names))
+    dealt = asked.repartition(tasks, F.floor(F.col("key") / TOGETHER)).sortWithinPartitions("key", F.col("payload").isNotNull())
+    done = dealt.mapInArrow(lambda b: resolve(b, plan, d, hot), ROWS)
+    every = tables.where(F.col("kind").isin(DOCS, PART)).select(names).unionByName(done).select("kind", "key", "payload")
+    return every.repartition(tasks, "key").sortWithinPartitions("key", "kind").mapInArrow(lambda b: total_up(b, plan, d), OUT)
+
+
+def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """Learn from the documents that are not held out and score all: see ``OUT``."""
+    rows = documents(docs)
+    unigrams = saved(count_words(rows), "katz-unigrams")
+    plan = _plan(unigrams, order)
+    return _scored(_counted(rows, plan, True), plan, unigrams)
+
+
+def train(docs: DataFrame, path: str | None = None, order: int = ORDER) -> str:
+    """Learn from the documents that are not held out, and write the model's tables to a folder, which
+    is returned: ``unigrams`` (h, n), ``ngrams`` by bucket, and ``about``."""
+    spark = docs.sparkSession
+    path = path or f"{scratch_dir(spark)}/voxgrove-{spark.sparkContext.applicationId}/katz-{uuid.uuid4().hex}"
+    rows = documents(docs)
+    unigrams = saved(count_words(rows), "katz-unigrams")
+    plan = _plan(unigrams, order)
+    tables = _counted(rows.where(~F.col("held_out")), plan, True)
+    unigrams.write.mode("overwrite").parquet(f"{path}/unigrams")
+    tables.where(F.col("kind") == MODEL).select(F.col("key").alias("bucket"), "payload").write.mode("overwrite").parquet(f"{path}/ngrams")
+    spark.createDataFrame([(order, plan.bucket)], "order int, bucket_tokens long").write.mode("overwrite").parquet(f"{path}/about")
+    release(unigrams)
+    release(tables)
+    return path
+
+
+def score_with(path: str, docs: DataFrame) -> DataFrame:
+    """Score any documents by the tables of ``train``: see ``OUT``. None of them is learned from."""
+    spark = docs.sparkSession
+    order, bucket = spark.read.parquet(f"{path}/about").head()
+    unigrams = spark.read.schema("h long, n long").parquet(f"{path}/unigrams")
+    plan = _plan(unigrams, order)
+    plan.bucket, plan.buckets = bucket, max(1, -(-plan.uni.total // bucket))
+    grams = spark.read.schema("bucket long, payload binary").parquet(f"{path}/ngrams")
+    null = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    model = grams.select(F.lit(MODEL).alias("kind"), F.col("bucket").alias("key"), "payload", null("what", "int"), null("idx", "int"), null("v", "long"), null("w", "long"), null("n", "long"))
+    return _scored(_counted(documents(docs), plan, False, model), plan, unigrams)

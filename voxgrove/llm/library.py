@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from .bpe import chunks
 
 #: Words of one generation that a worker keeps.
-MAX_CHUNKS = 600_000
+MAX_CHUNKS = 250_000
 
 #: Words that the library gets as one text.
 JOIN = 400

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, map_batches, partitions, release, saved
+from .common import components, map_batches, partitions, release, saved, spread
 
 #: Neighbours kept, tables of hyperplanes, rows of a leaf, rounds, share of changes that ends them.
 K, TABLES, LEAF, ROUNDS, CHANGE = 12, 10, 96, 4, 0.02
@@ -37,18 +37,13 @@ K, TABLES, LEAF, ROUNDS, CHANGE = 12, 10, 96, 4, 0.02
 AUDIT, PART, SEEN, RECALL, MORE = 200, 20, 200, 0.98, 8
 #: Rows of a block of the exact comparison, and members of one local join.
 BLOCK, JOIN = 2048, 96
+#: Vectors of a component that are counted in one task against as many others.
+PIECE = 512
 #: Rows of the other side where some vectors are compared with all.
 WIDE = 8192
 LISTS = "id long, nbr array<long>, sim array<double>, fresh boolean"
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    """Rows of unit length in double precision, from binaries of equal size."""
-    raw = column.to_pylist()
-    x = np.frombuffer(b"".join(raw), "<f4").reshape(len(raw), -1).astype(np.float64)
-    return x / np.sqrt((x * x).sum(1, keepdims=True))
-
-
 def classes_of(embeddings: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(id, n, vec): distinct usable vectors with their smallest id, count and float32 bytes."""
     v = F.col(embedding).cast("array<float>")
@@ -78,6 +73,14 @@ def _groups(batches, most: int, columns: int):
         yield key, rows
 
 
+def by_length(rows: list[tuple]) -> list[list[tuple]]:
+    """Rows (key, id, vector) by the length of their vector, two at least: keys are hashes."""
+    out: dict[int, list[tuple]] = {}
+    for r in rows:
+        out.setdefault(len(r[2]), []).append(r)
+    return [x for x in out.values() if len(x) > 1]
+
+
 def _nearest(ids: np.ndarray, x: np.ndarray, k: int):
     """For each row the k nearest others: (ids, neighbours, cosines)."""
     s = x @ x.T
@@ -138,13 +141,14 @@ def leaves(vectors: DataFrame, n: int, first: int, tables: int, k: int) -> DataF
                     sign = (x @ p > 0).astype(np.int64)
                     code = sign[:, :bits] @ (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros(len(x), np.int64)
                     more = sign[:, bits:] @ (1 << np.arange(12, dtype=np.int64))
-                    key = (code << 32 | t << 12 | size // 4 % 4096).astype(np.int64)
+                    # table and size whole, then signs: keys of different sizes stay apart
+                    key = spread(spread(np.full(len(x), t << 32 | size, np.uint64)) + code.astype(np.uint64)).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(more), ids, vec], ["key", "more", "id", "vec"])
 
     def near(batches):
         def found():
-            for _, rows in _groups(batches, 4 * LEAF, 3):
-                if len(rows) > 1:
+            for _, both in _groups(batches, 4 * LEAF, 3):
+                for rows in by_length(both):
                     raw = b"".join(r[2] for r in rows)
                     x = np.frombuffer(raw, "<f4").reshape(len(rows), -1).astype(np.float64)
                     yield _nearest(np.array([r[1] for r in rows]), x / np.sqrt((x * x).sum(1, keepdims=True)), k)
@@ -207,8 +211,8 @@ def join_neighbours(lists: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
 
     def near(batches):
         def found():
-            for _, rows in _groups(batches, JOIN, 3):
-                if len(rows) > 1:
+            for _, both in _groups(batches, JOIN, 3):
+                for rows in by_length(both):
                     x = np.frombuffer(b"".join(r[2] for r in rows), "<f4").reshape(len(rows), -1).astype(np.float64)
                     yield _nearest(np.array([r[1] for r in rows]), x / np.sqrt((x * x).sum(1, keepdims=True)), k)
 
@@ -303,7 +307,7 @@ def against(few: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
 
 def count_links(members: DataFrame, threshold: float) -> DataFrame:
     """(id, links) within each ``comp`` of (comp, id, n, vec): its blocks in pairs."""
-    sizes = members.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    sizes = members.groupBy("comp").agg(F.ceil(F.count("*") / PIECE).alias("blocks"))
     dealt = members.join(sizes, "comp").withColumn("b", F.pmod(F.xxhash64("id"), "blocks"))
     pairs = dealt.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("o"))
     key = F.struct("comp", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"))

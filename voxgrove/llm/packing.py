@@ -4,7 +4,7 @@ Documents are encoded where they are read and packed among those of the same tas
 id is shuffled. In a group of pieces, best fit in descending length gives a first packing. While
 it has more bins than the total length needs, documents move from the emptiest bin to others:
 moved, exchanged one for one, or one exchanged for two, each step raising the sum of squared
-fills, until the bin is empty or no step is left. Pieces of bins that stay emptier than ``OPEN``
+fills, until the bin is empty or no step is left; then the next bin's turn comes. Pieces of bins that stay emptier than ``OPEN``
 are packed once more across tasks; those are few rows, dealt evenly.
 
 Null or empty texts are one end id. Null doc_ids and repeated rows are packed as any other.
@@ -27,8 +27,6 @@ from .library import by_size, encoder
 CAPACITY = 1024
 #: Pieces that are packed together at most; fill under which a bin's pieces get a second chance.
 GROUP, OPEN = 200_000, 1000 / 1024
-#: Underfull bins that one search looks at for each document it wants to place.
-LOOK = 64
 COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -64,57 +62,66 @@ def best_fit(sizes: list[int], capacity: int) -> tuple[list[list[int]], list[int
     return bins, room
 
 
+def by_length(pieces: list[int], sizes: list[int]) -> dict[int, list[int]]:
+    """A bin's pieces by length: at most 45 lengths, as they add up to 1024."""
+    out: dict[int, list[int]] = {}
+    for i in pieces:
+        out.setdefault(sizes[i], []).append(i)
+    return out
+
+
 def step(bins: list[list[int]], room: list[int], sizes: list[int], frm: int, to: int) -> bool:
     """One exchange that fills ``to`` further out of ``frm``: the largest gain of a move, a
     swap of one for one, of one for two, or of two for one. ``frm`` is no fuller than ``to``,
     so that any gain raises the sum of squared fills."""
-    free, give, take = room[to], bins[frm], bins[to]
+    free = room[to]
+    give, take = by_length(bins[frm], sizes), by_length(bins[to], sizes)
+    one_out, one_back = list(give), list(take)
+    two_out = [(a, b) for k, a in enumerate(one_out) for b in one_out[k:] if a != b or len(give[a]) > 1]
     best, what = 0, None
-    for a in give:
-        if best < sizes[a] <= free:
-            best, what = sizes[a], ((a,), ())
-        for b in take:
-            if best < sizes[a] - sizes[b] <= free:
-                best, what = sizes[a] - sizes[b], ((a,), (b,))
-    if best < free and len(give) <= 40 and len(take) <= 40:
-        for a in give:
-            for j, b in enumerate(take):
-                for c in take[j + 1 :]:
-                    if best < sizes[a] - sizes[b] - sizes[c] <= free:
-                        best, what = sizes[a] - sizes[b] - sizes[c], ((a,), (b, c))
-        for i, a in enumerate(give):
-            for d in give[i + 1 :]:
-                for b in take:
-                    if best < sizes[a] + sizes[d] - sizes[b] <= free:
-                        best, what = sizes[a] + sizes[d] - sizes[b], ((a, d), (b,))
+    for a in one_out:
+        if best < a <= free:
+            best, what = a, ((a,), ())
+        for b in one_back:
+            if best < a - b <= free:
+                best, what = a - b, ((a,), (b,))
+    if best < free:
+        for k, b in enumerate(one_back):
+            for c in one_back[k:]:
+                if b != c or len(take[b]) > 1:
+                    for a in one_out:
+                        if best < a - b - c <= free:
+                            best, what = a - b - c, ((a,), (b, c))
+            for a, d in two_out:
+                if best < a + d - b <= free:
+                    best, what = a + d - b, ((a, d), (b,))
     if not what:
         return False
-    out, back = what
-    bins[frm] = [x for x in give if x not in out] + list(back)
-    bins[to] = [x for x in take if x not in back] + list(out)
+    out, back = ([by[n].pop() for n in lengths] for by, lengths in zip((give, take), what, strict=True))
+    bins[frm] = [x for x in bins[frm] if x not in out] + back
+    bins[to] = [x for x in bins[to] if x not in back] + out
     room[frm] += best
     room[to] -= best
     return True
 
 
 def local_search(bins: list[list[int]], room: list[int], sizes: list[int], capacity: int) -> None:
-    """Empty bins, emptiest first, while there are more than the total length needs."""
+    """Empty bins, emptiest first, while there are more than the total length needs. Every fuller bin
+    with room is tried, and what the last try could not empty is left as it has become."""
     least = -(-sum(capacity - r for r in room) // capacity)
-    order = sorted((b for b in range(len(bins)) if room[b]), key=lambda b: -room[b])
     used = len(bins)
+    order = sorted((b for b in range(len(bins)) if room[b]), key=lambda b: -room[b])
     for k, frm in enumerate(order):
         if used <= least:
             break
-        # bins after this one are fuller; the roomiest of them are tried, again while any step is left
+        # again while any step is left
         moved = True
         while moved and bins[frm]:
             moved = False
-            for to in order[k + 1 : k + 1 + LOOK]:
+            for to in order[k + 1 :]:
                 while bins[frm] and 0 < room[to] <= room[frm] and step(bins, room, sizes, frm, to):
                     moved = True
-        if bins[frm]:
-            break
-        used -= 1
+        used -= not bins[frm]
 
 
 def pack_group(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
@@ -175,6 +182,6 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, end_id: int =
     first = saved(map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, SCHEMA + ", fill long"), "packed")
     low = F.col("fill") < int(OPEN * capacity)
     n = first.where(low).count()
-    # a range deal by the piece itself, so that a task run again packs the same rows
+    # dealt by a hash of the piece itself, so that a task run again packs the same rows
     tail = first.where(low).repartition(max(1, n // GROUP), F.xxhash64("doc_id", "piece", "ids_crc32")).sortWithinPartitions("doc_id", "piece", "start", "sequence_id", "offset")
     return first.where(~low).select(COLUMNS).unionByName(tail.mapInArrow(again, SCHEMA + ", fill long").select(COLUMNS))

@@ -4,16 +4,20 @@
 adds what small transducers uncover, each carrying source offsets along:
 
 1. zero-width characters are dropped, with a map of what is left;
-2. homoglyphs and digits of other scripts become ASCII, one for one;
+2. homoglyphs and digits of other scripts become ASCII, one for one; where, is remembered;
 3. " at ", "(at)", "[dot]" and the like, around labels, become "@" and ".";
 4. runs of spelled digits, with "plus" and "dot" among them, become digits.
 
 What the base patterns find in the normalised text is mapped back to source characters and
 added, unless it lies in a base span of its kind or meets one without containing it. A bare
-" at " or "@" counts as disguised only with a disguised dot after it, so that plain prose stays.
+" at " or "@" counts as disguised only with a disguised dot after it (a name, in brackets, or
+with a blank before it), with a character of step 1 or 2 in the sign or the domain, or, for " at ",
+after a name with a letter and a digit, "." or "_"; so that plain prose stays. A plain name
+(jane at example.com) is therefore not found.
 
 Null texts are empty. Repeated rows are searched each. Columns of other names are left alone.
-An empty table gives none. Scans are linear in the text, whatever its length. No shuffle.
+An empty table gives none. Scans are linear in the text, whatever its length, but for a
+logarithm where added spans are held against base ones. No shuffle.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 
 import pyarrow as pa
@@ -119,15 +124,16 @@ _DOT_WORD = r"(?:dot|punkt|punto|point)"
 _OPEN, _CLOSE = r"[ \t]*[\[({<][ \t]*", r"[ \t]*[\])}>][ \t]*"
 _BOXED_DOT = rf"{_OPEN}(?:{_DOT_WORD}|\.){_CLOSE}"
 _SEP = rf"(?:{_BOXED_DOT}|[ \t]{{1,2}}{_DOT_WORD}[ \t]{{1,2}}|[ \t]?[-.,()][ \t]?|[ \t]{{1,2}})"
-TWO_NAMES = re.compile(rf"{_WORD}{_SEP}{_ITEM}", re.I)
+TWO_NAMES = re.compile(rf"{_WORD}{_SEP}{_ITEM}|[0-9]{_SEP}{_WORD}", re.I)
 RUN = re.compile(rf"(?:(?:\+|(?<![^\W_])plus(?![^\W_]))[ \t]?)?\(?{_ITEM}(?:{_SEP}?{_ITEM})*+", re.I)
 PIECE = re.compile(rf"(?P<name>{_WORD})|(?P<boxed>{_BOXED_DOT})|(?P<dot>[ \t]*{_DOT_WORD}[ \t]*)|(?P<plus>(?:plus|\+)[ \t]*)|(?P<gap>[ \t]+)|(?P<other>.)", re.I | re.S)
 AT = re.compile(rf"(?P<boxed>{_OPEN}(?:at|@|arroba|arobase|ät){_CLOSE})|(?P<bare>[ \t]+at[ \t]+|[ \t]*@[ \t]*)", re.I)
-_DOT_HIDDEN = rf"(?:{_BOXED_DOT}|[ \t]+{_DOT_WORD}[ \t]+)"
+_DOT_HIDDEN = rf"(?:{_BOXED_DOT}|[ \t]+{_DOT_WORD}[ \t]+|[ \t]+\.(?=[A-Za-z0-9]))"
 _LABEL = r"[A-Za-z0-9-]++"
 REST = re.compile(rf"{_LABEL}(?:(?P<hidden>{_DOT_HIDDEN})|\.)(?:{_LABEL}(?:(?P<hidden2>{_DOT_HIDDEN})|\.)(?=[A-Za-z0-9-]))*+{_LABEL}", re.I)
 DOMAIN_END = re.compile(r"[A-Za-z]{2,}\Z")
-DOT_BEFORE = re.compile(rf"{_DOT_HIDDEN}\Z", re.I)
+#: A name that no plain word is: a letter, and a digit or a mark within.
+NAMELIKE = re.compile(r"(?=.*[A-Za-z])[A-Za-z0-9]+[._0-9][A-Za-z0-9._%+-]*\Z")
 #: Words and brackets without which there is no disguise to look for
 DOT_NAMES = frozenset(_DOT_WORD[3:-1].split("|"))
 BOXES = re.compile(r"[\[({<][ \t]*(?:at|@|arroba|arobase|ät|dot|punkt|punto|point|\.)[ \t]*[\])}>]", re.I)
@@ -149,12 +155,36 @@ def glyphs() -> tuple[dict[int, str], frozenset[str]]:
     return {ord(a): b for a, b in table.items()}, frozenset(table)
 
 
-def _hidden_emails(text: str):
-    """Emails one of whose signs is disguised."""
+def _blanks_before(text: str, at: int, free: int) -> int:
+    while at > free and text[at - 1] in " \t":
+        at -= 1
+    return at
+
+
+def _dot_before(text: str, at: int, free: int) -> int | None:
+    """Where the disguised dot begins that ends at ``at``."""
+    i = _blanks_before(text, at, free)
+    boxed = i > free and text[i - 1] in "])}>"
+    if boxed:
+        i = _blanks_before(text, i - 1, free)
+    elif i == at:
+        return None
+    word = next((w for w in DOT_NAMES if text[max(free, i - len(w)) : i].lower() == w), "." if boxed and text[i - 1 : i] == "." else None)
+    if word is None:
+        return None
+    i -= len(word)
+    j = _blanks_before(text, i, free)
+    if boxed:
+        return _blanks_before(text, j - 1, free) if j > free and text[j - 1] in "[({<" else None
+    return j if j < i else None
+
+
+def _hidden_emails(text: str, changed: list[int]):
+    """Emails one of whose signs is disguised; ``changed``: places that were normalised, in order."""
     free = 0
     for m in AT.finditer(text):
         rest = REST.match(text, m.end())
-        if m.start() < free or not rest or m["boxed"] is None and rest["hidden"] is None and rest["hidden2"] is None:
+        if m.start() < free or not rest:
             continue
         start = m.start()
         while True:
@@ -164,12 +194,15 @@ def _hidden_emails(text: str):
             if run == start:
                 break
             start = run
-            dot = DOT_BEFORE.search(text, max(free, start - 24), start)
-            if not dot or dot.start() == free or text[dot.start() - 1] not in LOCAL:
+            dot = _dot_before(text, start, free)
+            if dot is None or dot == free or text[dot - 1] not in LOCAL:
                 break
-            start = dot.start()
+            start = dot
+        hidden = m["boxed"] is not None or rest["hidden"] is not None or rest["hidden2"] is not None
+        hidden = hidden or bisect_left(changed, rest.end()) > bisect_left(changed, m.start())
+        hidden = hidden or "@" not in m[0] and NAMELIKE.match(text[start : m.start()]) is not None
         last = DOMAIN_END.search(text, m.end(), rest.end())
-        if start < m.start() and last and last[0].lower() not in DOT_NAMES:
+        if hidden and start < m.start() and last and last[0].lower() not in DOT_NAMES:
             yield 0, start, rest.end()
             free = rest.end()
 
@@ -203,29 +236,42 @@ def spans(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     base = base_spans(text)
     found: list[tuple[int, int, int]] = []
     clean, place = text, None
+    changed: list[int] = []
     if not text.isascii():
+        table, some = glyphs()
         if any(z in text for z in ZERO_WIDTH):
             place = [i for i, c in enumerate(text) if c not in ZERO_WIDTH]
             clean = "".join(text[i] for i in place)
-        table, some = glyphs()
+            changed = [k for k in range(1, len(place)) if place[k] > place[k - 1] + 1]
         if not some.isdisjoint(clean):
+            changed = sorted({*changed, *(k for k, c in enumerate(clean) if c in some)})
             clean = clean.translate(table)
         if clean is not text:
             found += base_spans(clean)
     words = set(clean.lower().replace("-", " ").replace(",", " ").replace(".", " ").split())
     boxed = ("[" in clean or "(" in clean or "{" in clean or "<" in clean) and BOXES.search(clean)
-    if boxed or not words.isdisjoint(DOT_NAMES):
-        found += _hidden_emails(clean)
+    if boxed or "at" in words or "@" in clean:
+        found += _hidden_emails(clean, changed)
     if boxed or not words.isdisjoint(DIGIT_NAMES) and TWO_NAMES.search(clean):
         found += _spelled(clean)
     if place is not None:
         found = [(k, place[a], place[b - 1] + 1) for k, a, b in found]
+    return base, _with(base, sorted(set(found) - set(base), key=lambda s: (s[0], s[1], -s[2])))
+
+
+def _with(base: list[tuple[int, int, int]], found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The base spans, and those found that contain all base spans of their kind that they meet and
+    do not meet one added before. Base spans of a kind do not overlap."""
     extra: list[tuple[int, int, int]] = []
-    for k, a, b in sorted(set(found) - set(base), key=lambda s: (s[0], s[1], -s[2])):
-        meets = [(x, y) for q, x, y in base if q == k and x < b and a < y]
-        if all(a <= x and y <= b for x, y in meets) and not (extra and extra[-1][0] == k and a < extra[-1][2]):
+    kind, starts, ends = -1, [], []
+    for k, a, b in found:
+        if k != kind:
+            kind, own = k, [s for s in base if s[0] == k]
+            starts, ends = [s[1] for s in own], [s[2] for s in own]
+        i, j = bisect_right(ends, a), bisect_left(starts, b)
+        if (i >= j or a <= starts[i] and ends[j - 1] <= b) and not (extra and extra[-1][0] == k and a < extra[-1][2]):
             extra.append((k, a, b))
-    return base, sorted(base + extra)
+    return sorted(base + extra)
 
 
 def show(found: list[tuple[int, int, int]]) -> str:

@@ -3,7 +3,7 @@
 ``MEASURES`` are SQL-side expressions of a text; ``RULES`` bounds ratios of two of them in
 percent. All comparisons are of whole numbers. A text fails the base rules if it has fewer
 than 50 words or more than half of its words lie in three-word windows found twice or more;
-no rule looks at a text that failed those.
+no rule looks at a text that failed those. Stop words are counted A-Z lower-cased, as a share of words.
 
 Nulls and empty texts have no words and fail. Repeated rows are judged each. Columns of
 other names are left alone; an empty table gives none. No shuffle, no Python.
@@ -19,13 +19,14 @@ from .common import let
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Frequent function words of the four languages.
 STOP_WORDS = "the of and to in is that be have with for it as was on are this by de la le et les des que el los der die und das zu von du un une en se y dans pour sur est per del con nicht mit ist ein eine".split()
 #: (rule, measure, of which measure, least percent, most percent); None: no bound
 RULES = [
     ("word_length", "word_chars", "n_words", 200, 1500),
     ("symbols", "n_symbols", "n_words", None, 10),
-    ("stop_words", "n_stop_words", "one", 200, None),
+    ("stop_words", "n_stop_words", "n_words", 5, None),
     ("dup_lines", "n_dup_lines", "n_lines", None, 50),
     ("ellipsis_lines", "n_ellipsis_lines", "n_lines", None, 30),
     ("bullet_lines", "n_bullet_lines", "n_lines", None, 90),
@@ -51,7 +52,7 @@ def _repeat_words(w: Column) -> Column:
 def _word_measures(text: Column) -> Column:
     trimmed = F.btrim(text, F.lit(SPACES))
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+", -1))
-    return let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeat_words(w).alias("n_repeat_words"), F.size(F.array_intersect(w, F.array(*map(F.lit, STOP_WORDS)))).cast("long").alias("n_stop_words")))
+    return let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeat_words(w).alias("n_repeat_words"), F.size(F.filter(w, lambda x: F.translate(x, UPPER, UPPER.lower()).isin(STOP_WORDS))).cast("long").alias("n_stop_words")))
 
 
 def _line_measures(text: Column) -> Column:
@@ -78,13 +79,12 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     plain = F.struct(
         (F.char_length(F.translate(t, SPACES, ""))).cast("long").alias("word_chars"),
         (size - F.char_length(F.translate(t, SYMBOLS, ""))).alias("n_symbols"),
-        F.lit(1).cast("long").alias("one"),
     )
     return docs.withColumn("_quality", F.struct(_word_measures(t).alias("w"), _line_measures(t).alias("l"), plain.alias("c")))
 
 
 #: where each measure stands in ``_quality``
-_PLACE = {"n_words": "w", "n_repeat_words": "w", "n_stop_words": "w", "n_lines": "l", "n_dup_lines": "l", "n_ellipsis_lines": "l", "n_bullet_lines": "l", "word_chars": "c", "n_symbols": "c", "one": "c"}
+_PLACE = {"n_words": "w", "n_repeat_words": "w", "n_stop_words": "w", "n_lines": "l", "n_dup_lines": "l", "n_ellipsis_lines": "l", "n_bullet_lines": "l", "word_chars": "c", "n_symbols": "c"}
 
 
 def _measure(name: str) -> Column:
@@ -131,10 +131,9 @@ q AS (SELECT m.doc_id, CAST(len(w) AS BIGINT) AS n_words,
              CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
              CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
              CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words, CAST(len(l) AS BIGINT) AS n_lines,
-             CAST(len(list_intersect(w, {STOP_WORDS!r})) AS BIGINT) AS n_stop_words,
+             CAST(len(list_filter(w, lambda x: translate(x, '{UPPER}', '{UPPER.lower()}') IN ({repr(STOP_WORDS)[1:-1]}))) AS BIGINT) AS n_stop_words,
              CAST(len(list_filter(l, lambda x: rtrim(x, ' ') LIKE '%...' OR rtrim(x, ' ') LIKE '%…')) AS BIGINT) AS n_ellipsis_lines,
-             CAST(len(list_filter(l, lambda x: ltrim(x, ' ') LIKE '- %' OR ltrim(x, ' ') LIKE '* %' OR ltrim(x, ' ') LIKE '•%')) AS BIGINT) AS n_bullet_lines,
-             CAST(1 AS BIGINT) AS one
+             CAST(len(list_filter(l, lambda x: ltrim(x, ' ') LIKE '- %' OR ltrim(x, ' ') LIKE '* %' OR ltrim(x, ' ') LIKE '•%')) AS BIGINT) AS n_bullet_lines
       FROM m LEFT JOIN cov ON cov.doc_id = m.doc_id),
 j AS (SELECT *, (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AS base_failed FROM q)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

@@ -7,8 +7,8 @@ frequent neighbouring pairs without overlap, and the symbols left, with expansio
 ``read_tokens`` gives the documents back with their place in the whole; ``ids_between`` expands
 only the symbols that a range of ids touches.
 
-Documents with a null or empty text have only the end id. Rows are ordered by (doc_id, text),
-null ids first; equal rows repeat. Other columns are ignored. An empty table gives none.
+Documents with a null or empty text have only the end id. Rows are ordered by doc_id, null
+ids first, then by a hash of the text; equal rows repeat. Other columns are ignored. An empty table gives none.
 A document is never cut: one longer than a block is a block of its own.
 """
 
@@ -28,7 +28,8 @@ from .common import map_batches, pack, partitions, scratch_dir, ship, unpack
 from .library import by_size, encoder
 
 BLOCK_IDS = 1 << 20
-#: Rounds of replacing, pairs replaced in a round, least count of such a pair, least gain of a round.
+#: Rounds of replacing, pairs replaced in a round, least count of such a pair, least gain of a round:
+#: defaults of ``compress``, whose README figures say what they leave uncompressed.
 ROUNDS, PAIRS, LEAST, GAIN = 6, 4096, 12, 0.02
 BLOCKS = "shard int, block int, start long, n_tokens long, payload binary"
 
@@ -39,12 +40,13 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def compress(ids: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+def compress(ids: np.ndarray, rounds_most: int | None = ROUNDS, pairs_most: int | None = PAIRS, least: int = LEAST, gain: float = GAIN) -> tuple[np.ndarray, list[np.ndarray]]:
     """(symbols, rounds): a round is its pairs' left and right symbols; numbers go on from
-    ``base``, the first number that is no id."""
+    ``base``, the first number that is no id. Without bounds (None, None, gain 0) rounds go on until no
+    pair occurs ``least`` times; the bounds trade size for time, and any of them decodes exactly."""
     seq = ids.astype(np.int64)
     nxt, rounds = (int(seq.max()) + 1 if len(seq) else 0), []
-    for _ in range(ROUNDS):
+    while rounds_most is None or len(rounds) < rounds_most:
         if len(seq) < 2:
             break
         # pairs as one number, half as wide while the symbols allow it
@@ -54,9 +56,9 @@ def compress(ids: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         s = np.sort(keys)
         first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
         count = np.diff(np.r_[first, len(s)])
-        often = np.flatnonzero(count >= LEAST)
-        if len(often) > PAIRS:
-            often = often[np.argsort(-count[often], kind="stable")[:PAIRS]]
+        often = np.flatnonzero(count >= least)
+        if pairs_most and len(often) > pairs_most:
+            often = often[np.argsort(-count[often], kind="stable")[:pairs_most]]
         if not len(often):
             break
         pairs = np.sort(s[first[often]])
@@ -74,7 +76,7 @@ def compress(ids: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         begins = np.flatnonzero(np.r_[True, np.diff(at) != 1])
         take = (np.arange(len(at)) - np.repeat(begins, np.diff(np.r_[begins, len(at)]))) % 2 == 0
         at, where = at[take], where[take]
-        if len(at) < GAIN * len(seq):
+        if len(at) < gain * len(seq) or not len(at):
             break
         seq[at] = nxt + where
         stay = np.ones(len(seq), bool)
@@ -107,8 +109,8 @@ def expand(seq: np.ndarray, base: int, rounds: list[np.ndarray]) -> np.ndarray:
     return seq
 
 
-def to_payload(doc_ids: list[int | None], sizes: list[int], ids: np.ndarray) -> bytes:
-    seq, rounds = compress(ids)
+def to_payload(doc_ids: list[int | None], sizes: list[int], ids: np.ndarray, **bounds) -> bytes:
+    seq, rounds = compress(ids, **bounds)
     base = int(ids.max()) + 1 if len(ids) else 0
     none = [i for i, d in enumerate(doc_ids) if d is None]
     spread = lengths(base, rounds)[base:]
@@ -147,8 +149,9 @@ class Block:
         return expand(self.seq[a : b + 1], self.base, self.rounds)[start - before : stop - before]
 
 
-def write_tokens(docs: DataFrame, path: str | None = None, vocabulary: str | None = None, end_id: int = 1) -> str:
-    """Write the store and return its folder, by default one in the shared folder."""
+def write_tokens(docs: DataFrame, path: str | None = None, vocabulary: str | None = None, end_id: int = 1, **bounds) -> str:
+    """Write the store and return its folder, by default one in the shared folder; ``bounds`` are those
+    of ``compress``."""
     spark = docs.sparkSession
     vocabulary = vocabulary or default_vocabulary()
     path = path or f"{scratch_dir(spark)}/voxgrove-{spark.sparkContext.applicationId}/tokens-{uuid.uuid4().hex}"
@@ -161,7 +164,7 @@ def write_tokens(docs: DataFrame, path: str | None = None, vocabulary: str | Non
         def flush():
             nonlocal block, start, held, names, sizes, kept
             ids = np.concatenate(kept).astype(np.int64)
-            row = [[shard], [block], [start], [len(ids)], [to_payload(names, sizes, ids)]]
+            row = [[shard], [block], [start], [len(ids)], [to_payload(names, sizes, ids, **bounds)]]
             block, start, held, names, sizes, kept = block + 1, start + len(ids), 0, [], [], []
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["shard", "block", "start", "n_tokens", "payload"])
 
@@ -177,7 +180,9 @@ def write_tokens(docs: DataFrame, path: str | None = None, vocabulary: str | Non
             yield flush()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    # rows of one doc_id, or of none, are dealt by their texts
+    place = F.xxhash64("text")
+    rows = rows.repartitionByRange(partitions(spark), F.col("doc_id"), place).sortWithinPartitions("doc_id", place, "text")
     map_batches(rows, run, BLOCKS).write.mode("overwrite").parquet(path)
     return path
 

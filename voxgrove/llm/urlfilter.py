@@ -1,10 +1,13 @@
 """URL filter: rules first, then gradient-boosted trees on lexical features of the url.
 
-Labelled urls are those a rule decides. Trees are grown level by level from histograms:
-each level is one aggregation of a bounded training sample by node, feature and bin, whose result
-(nodes x features x bins) is all that the driver sees. The trees then are one sum of
-CASE expressions over the features, evaluated in the scan. Training and scoring are SQL
-expressions only.
+Labelled urls are those a rule decides; a sample of ``SAMPLE`` distinct ones at most, those with the
+lowest hashes, is what is learned from. One half of it, by hash, gives the share of blocked
+urls by host suffix; the trees are fitted on the other half, so that no label is seen twice. Trees
+are grown level by level from histograms: each level is one aggregation by node, feature and
+bin, whose result (nodes x features x bins) is all that the driver sees. The trees then are
+one sum of CASE expressions over the features, evaluated in the scan. Suffixes with fewer than
+``LEAST`` labels count as half blocked, so that the table of the others, which is broadcast, has
+``SAMPLE`` / ``LEAST`` rows at most. Training and scoring are SQL expressions only.
 
 Null urls and urls without "://" have empty host and path and are scored as such. Ties in
 training go to the lower feature, then the lower bin. Repeated rows are judged each; columns of
@@ -18,10 +21,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import release, saved
+
 #: (host suffix, path prefix, verdict); the longest that fits wins
 RULES = [("com", "en/", "block"), ("example.com", "en/7", "allow"), ("net", "de/", "allow"), ("example.net", "de/8", "block"), ("org", "es/", "block")]
 #: Labelled urls that the trees are trained on, at most: those with the lowest hashes.
 SAMPLE = 20_000
+#: Labels that a host suffix needs to have a share of its own; the share of all others, in percent.
+LEAST, SHARE = 20, 50
 TREES, DEPTH, RATE, BINS, LEAF, SMOOTH = 8, 3, 0.4, 16, 5, 1.0
 
 
@@ -72,17 +79,14 @@ def features(url: Column, host: Column, path: Column) -> dict[str, Column]:
     }
 
 
-def suffix_statistics(labelled: DataFrame, least: int = 20) -> dict[str, int]:
-    """Percent blocked by host suffix, of suffixes with ``least`` labels; at most 64 of them."""
-    stats = labelled.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("y").alias("k")).where(F.col("n") >= least).orderBy(F.desc("n"), "suffix").limit(64).collect()
-    return {r["suffix"]: 100 * r["k"] // r["n"] for r in stats}
+def suffix_of(host: Column) -> Column:
+    return F.regexp_extract(host, r"([^.]*)\z", 1)
 
 
-def _case(stats: dict[str, int], suffix: Column, other: int) -> Column:
-    out = F.lit(other)
-    for s, v in sorted(stats.items()):
-        out = F.when(suffix == s, v).otherwise(out)
-    return out
+def suffix_statistics(labelled: DataFrame, least: int = LEAST) -> DataFrame:
+    """(suffix, suffix_blocked): percent blocked by host suffix, of suffixes with ``least`` labels."""
+    stats = labelled.groupBy("suffix").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("k"), F.count("*").alias("urls"))
+    return stats.where(F.col("urls") >= least).select("suffix", F.floor(100 * F.col("k") / F.col("n")).cast("int").alias("suffix_blocked"))
 
 
 class Model:
@@ -151,27 +155,42 @@ def train(rows: DataFrame, names: list[str], trees: int = TREES, depth: int = DE
     return Model(names, bias, grown)
 
 
-def judge(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(page_id, host, path, rule, verdict, score): score is the trees' log-odds of block."""
+def ruled(pages: DataFrame) -> DataFrame:
+    """(page_id, url, host, path, suffix, rule, ruled)."""
     host, path = parts(F.col("url"))
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"))
-    rows = rows.select("*", rule.alias("rule"), verdict.alias("ruled"))
-    feats = features(F.col("url"), F.col("host"), F.col("path"))
-    suffix = F.regexp_extract(F.col("host"), r"([^.]*)\z", 1)
-    labelled = rows.where("ruled IS NOT NULL").select("url", "host", "path", suffix.alias("suffix"), (F.col("ruled") == "block").cast("int").alias("y"))
-    stats = suffix_statistics(labelled)
+    return rows.select("*", suffix_of(F.col("host")).alias("suffix"), rule.alias("rule"), verdict.alias("ruled"))
+
+
+def with_features(rows: DataFrame, stats: DataFrame, *keep: str) -> DataFrame:
+    feats = {n: c.cast("int").alias(n) for n, c in features(F.col("url"), F.col("host"), F.col("path")).items()}
+    # as many rows as a sample has suffixes with LEAST labels, at most
+    known = rows.join(F.broadcast(stats), "suffix", "left")
+    return known.select(*keep, *feats.values(), F.coalesce("suffix_blocked", F.lit(SHARE)).alias("suffix_blocked"))
+
+
+def fit(rows: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, list[str], Model | None]:
+    """Suffix statistics, feature names and trees of the ruled among ``rows``."""
+    labelled = rows.where("ruled IS NOT NULL").select("url", "host", "path", "suffix", (F.col("ruled") == "block").cast("int").alias("y"))
     # equal urls are one weighted row; the lowest hashes of urls are the sample
     few = labelled.groupBy("url", "host", "path", "suffix", "y").agg(F.count("*").alias("w")).orderBy(F.xxhash64("url"), "url").limit(sample)
-    share = 50
-    feats["suffix_blocked"] = _case(stats, suffix, share)
-    train_feats = {**feats, "suffix_blocked": _case(stats, F.col("suffix"), share)}
-    names = list(feats)
-    training = few.select("y", "w", *(c.cast("int").alias(n) for n, c in train_feats.items())).groupBy("y", *names).agg(F.sum("w").alias("w")).coalesce(1).cache()
+    few = saved(few, "url-sample")
+    half = F.pmod(F.xxhash64(F.lit("half"), "url"), F.lit(2))
+    stats = saved(suffix_statistics(few.where(half == 0)), "url-suffixes")
+    names = [*features(F.col("url"), F.col("host"), F.col("path")), "suffix_blocked"]
+    training = with_features(few.where(half == 1), stats, "y", "w").groupBy("y", *names).agg(F.sum("w").alias("w"))
+    training = saved(training.coalesce(1), "url-training")
     model = train(training, names)
-    training.unpersist()
-    score = model.score() if model else F.lit(-1.0)
-    out = rows.select("page_id", "host", "path", "rule", "ruled", *(c.cast("int").alias(n) for n, c in feats.items()))
-    return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(score > 0, "block").otherwise("allow")).alias("verdict"), score.alias("score"))
+    release(training)
+    release(few)
+    return stats, names, model
 
 
+def judge(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(page_id, host, path, rule, verdict, score): score is the trees' log-odds of block."""
+    rows = ruled(pages)
+    stats, _, model = fit(rows, sample)
+    score = model.score() if model else F.lit(-1.0)
+    out = with_features(rows, stats, "page_id", "host", "path", "rule", "ruled")
+    return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(score > 0, "block").otherwise("allow")).alias("verdict"), score.alias("score"))
