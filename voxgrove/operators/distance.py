@@ -21,16 +21,18 @@ def border(fg: DataFrame) -> DataFrame:
 
 def grey_weighted(fg: DataFrame) -> DataFrame:
     """(image_id, idx, gwdt): least sum of step times value of the voxel stepped on, from the border."""
-    e = neighbours(fg, OFFSETS26).select("image_id", "src", "dst", (step_length(F.col("d2")) * F.col("b")).alias("w"))
-    start = border(fg).withColumn("val", F.lit(0).cast("long"))
-    return relax(written(e, "gwdt-edges"), start, F.col("val") + F.col("w"), "gwdt").withColumnRenamed("val", "gwdt")
+    e = neighbours(fg, OFFSETS26).select("image_id", "src", "dst", (step_length(F.col("d2")) * F.col("b")).alias("w"), "ts", "td")
+    return relax(written(e, "gwdt-edges"), _zero(border(fg)), "gwdt").select("image_id", "idx", F.col("dist").alias("gwdt"))
 
 
 def radius_by_steps(fg: DataFrame) -> DataFrame:
     """(image_id, idx, radius): 26-neighbour steps from the border."""
-    e = neighbours(fg, OFFSETS26).select("image_id", "src", "dst")
-    start = border(fg).withColumn("val", F.lit(0))
-    return relax(written(e, "radius-edges"), start, F.col("val") + 1, "radius").withColumnRenamed("val", "radius")
+    e = neighbours(fg, OFFSETS26).select("image_id", "src", "dst", F.lit(1).cast("long").alias("w"), "ts", "td")
+    return relax(written(e, "radius-edges"), _zero(border(fg)), "radius").select("image_id", "idx", F.col("dist").cast("int").alias("radius"))
+
+
+def _zero(nodes: DataFrame) -> DataFrame:
+    return nodes.select("image_id", "idx", F.lit(0).cast("long").alias("dist"), F.lit(0).cast("long").alias("label"))
 
 
 def radius_by_ball(fg: DataFrame, first: int = 3) -> DataFrame:

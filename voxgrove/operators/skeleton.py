@@ -102,6 +102,21 @@ def prune(rows: DataFrame, min_nodes: int = 32) -> DataFrame:
     return rows.join(kept, ["image_id", "chain_id"], "left_semi")
 
 
+def refine(rows: DataFrame, voxels: DataFrame, radii: DataFrame) -> DataFrame:
+    """Chains without those that run inside the branch they hang on: all of their nodes lie within the
+    radius of the node they hang on. Chains that hang on one that goes, go too."""
+    at = voxels.select("image_id", "idx", "x", "y", "z")
+    hub = at.join(radii, ["image_id", "idx"]).select("image_id", F.col("idx").alias("hub"), *(F.col(c).alias(f"h{c}") for c in "xyz"), F.col("radius").cast("long").alias("r"))
+    on = rows.groupBy("image_id", "chain_id").agg(F.max("after").alias("hub"))
+    near = rows.select("image_id", "chain_id", "idx").join(on, ["image_id", "chain_id"]).where("hub IS NOT NULL").join(at, ["image_id", "idx"]).join(hub, ["image_id", "hub"])
+    d2 = sum(((F.col(c) - F.col(f"h{c}")) * (F.col(c) - F.col(f"h{c}")) for c in "xyz"), F.lit(0))
+    inside = near.groupBy("image_id", "chain_id").agg(F.max((d2 > F.col("r") * F.col("r")).cast("int")).alias("ok"))
+    place = rows.select("image_id", F.col("idx").alias("hub"), F.col("chain_id").alias("up"))
+    tree = on.join(place, ["image_id", "hub"], "left").join(inside, ["image_id", "chain_id"], "left")
+    kept = double(tree.select("image_id", F.col("chain_id").alias("idx"), "up", F.coalesce("ok", F.lit(1)).alias("ok")), "refine", {"ok": "min"}).where("ok = 1").select("image_id", F.col("idx").alias("chain_id"))
+    return rows.join(kept, ["image_id", "chain_id"], "left_semi")
+
+
 def valid_leaf_count(rows: DataFrame) -> DataFrame:
     """(image_id, n): leaves that remain, one for each chain."""
     return rows.where("pos = 0").groupBy("image_id").agg(F.count("*").alias("n"))

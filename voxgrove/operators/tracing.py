@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import components, relax
+from ..plans.fixpoint import components, relax, stars
 from ..plans.scratch import drop, written
 from .stencil import cube, reach
 
@@ -39,9 +39,8 @@ def poisson_seeds(fg: DataFrame, radius: int = 1) -> DataFrame:
 
 def fast_marching(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(image_id, idx, dist, seed_id): least (distance, seed) over the weights of ``edges``."""
-    start = seeds.select("image_id", "idx", F.struct(F.lit(0).cast("long").alias("dist"), F.col("seed_id")).alias("val"))
-    step = F.struct((F.col("val.dist") + F.col("w")).alias("dist"), F.col("val.seed_id").alias("seed_id"))
-    return relax(edges, start, step, "march").select("image_id", "idx", "val.dist", "val.seed_id")
+    start = seeds.select("image_id", "idx", F.lit(0).cast("long").alias("dist"), F.col("seed_id").alias("label"))
+    return relax(edges, start, "march").select("image_id", "idx", "dist", F.col("label").alias("seed_id"))
 
 
 def parent_forest(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -71,28 +70,24 @@ def merge_candidates(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 def spanning_forest(candidates: DataFrame) -> DataFrame:
     """The edges of the minimum spanning forest under the order (cost, a, b), by Boruvka rounds: each
-    component takes its least edge outward, then components join."""
-    cand = written(candidates, "mst-candidates")
-    nodes = cand.select("image_id", F.col("s").alias("idx")).unionByName(cand.select("image_id", F.col("t").alias("idx"))).distinct()
-    comp = written(nodes.select("image_id", "idx", F.col("idx").alias("comp")), "mst-comp")
-    chosen = None
-    while True:
-        c = comp.select("image_id", F.col("idx").alias("s"), F.col("comp").alias("cs"))
-        d = comp.select("image_id", F.col("idx").alias("t"), F.col("comp").alias("ct"))
-        out = cand.join(c, ["image_id", "s"]).join(d, ["image_id", "t"]).where("cs <> ct")
-        e = F.struct("cost", "a", "b", "s", "t").alias("e")
-        ways = out.select("image_id", F.col("cs").alias("comp"), e).unionByName(out.select("image_id", F.col("ct").alias("comp"), e))
-        best = written(ways.groupBy("image_id", "comp").agg(F.min("e").alias("e")).select("image_id", "e.*").distinct(), "mst-best")
-        if best.isEmpty():
-            drop(best)
-            break
-        chosen = best if chosen is None else chosen.unionByName(best)
-        links = chosen.select("image_id", F.col("s").alias("src"), F.col("t").alias("dst"))
-        new = components(links, nodes, "mst-comp")
-        drop(comp)
-        comp = new
-    empty = cand.limit(0).select("image_id", "s", "t", "cost", "a", "b")
-    return (chosen.select("image_id", "s", "t", "cost", "a", "b").distinct()) if chosen is not None else empty
+    component takes its least edge outward, what they join becomes one node, and of the edges
+    between two nodes the least stays, so that rounds work on less and less."""
+    names = ["s", "t", "cost", "a", "b"]
+    e = F.struct("cost", "a", "b", "s", "t").alias("e")
+    cand = written(candidates.where("s <> t").select("image_id", F.col("s").alias("cs"), F.col("t").alias("ct"), e), "mst-candidates")
+    chosen = candidates.limit(0).select("image_id", *names)
+    while not cand.isEmpty():
+        ways = cand.select("image_id", F.col("cs").alias("comp"), "e", F.col("ct").alias("to")).unionByName(cand.select("image_id", F.col("ct").alias("comp"), "e", F.col("cs").alias("to")))
+        best = written(ways.groupBy("image_id", "comp").agg(F.min(F.struct("e", "to")).alias("m")).select("image_id", "comp", "m.e", "m.to"), "mst-best")
+        chosen = chosen.unionByName(best.select("image_id", "e.*").select("image_id", *names).distinct())
+        joined = stars(best.select("image_id", F.col("comp").alias("a"), F.col("to").alias("b")), "mst-comp")
+        one, two = (joined.select("image_id", F.col("idx").alias(c), F.col("comp").alias(n)) for c, n in (("cs", "ns"), ("ct", "nt")))
+        left = cand.join(one, ["image_id", "cs"]).join(two, ["image_id", "ct"]).where("ns <> nt")
+        left = left.groupBy("image_id", F.least("ns", "nt").alias("cs"), F.greatest("ns", "nt").alias("ct")).agg(F.min("e").alias("e"))
+        new = written(left, "mst-candidates")
+        drop(cand)
+        cand = new
+    return chosen
 
 
 def voxel_components(edges: DataFrame, fg: DataFrame) -> DataFrame:

@@ -6,15 +6,17 @@ All run over the proxy volume of the given tables, at thresholds that give one l
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.costs import cost_table, mean_edge_cost, voxel_cost
 from ..operators import distance, queue, skeleton, stencil, tracing, voxels
-from ..sources.swc import swc_lines
-from ..sources.volume import proxy_volume
+from ..sources.swc import read_swc, swc_lines, write_swc
+from ..sources.volume import proxy_volume, read_tiff, write_tiff
 from . import trace as tr
-from .scratch import written
+from .scratch import folder, written
 
 T_ONE, T_MANY = 235, 250
 
@@ -24,11 +26,49 @@ def _fg(spark: SparkSession, d: str, t: int = T_ONE) -> DataFrame:
 
 
 def _edges(spark, d, t=T_ONE):
-    return stencil.edges26(_fg(spark, d, t)).select("image_id", "src", "dst", "w")
+    return written(stencil.edges26(_fg(spark, d, t)).select("image_id", "src", "dst", "w", "ts", "td"), "edges")
+
+
+def _march(spark, d):
+    """(edges, labels) at the one threshold."""
+    edges = _edges(spark, d)
+    return edges, written(tracing.fast_marching(edges, tracing.poisson_seeds(_fg(spark, d))), "labels")
+
+
+def _forest(spark, d):
+    return tracing.parent_forest(*_march(spark, d))
+
+
+def _decoded(spark, d):
+    """The forest's parents, packed and unpacked again."""
+    return stencil.decode_parents(stencil.encode_parents(_forest(spark, d), _fg(spark, d)))
+
 
+def _lookup(spark, d):
+    """Every number of the compact index, looked up in it."""
+    index = voxels.compact_index(_fg(spark, d))
+    cids = spark.range(_fg(spark, d).count()).select(F.lit("proxy").alias("image_id"), F.col("id").alias("cid"))
+    return voxels.compact_lookup(index, cids)
 
-def _probe_seeds(spark, d):
-    return _fg(spark, d).where("idx % 97 = 0").select("image_id", F.col("idx").alias("seed_id"), "idx")
+
+def _tiff_round_trip(spark, d):
+    """The proxy volume as a stack in the shared folder, read back."""
+    path = f"{folder(spark)}/voxgrove-{spark.sparkContext.applicationId}/stacks-{uuid.uuid4().hex}"
+    write_tiff(proxy_volume(spark, d), path)
+    return read_tiff(spark, path)
+
+
+def _swc_round_trip(spark, d):
+    """The skeleton as an .swc file in the shared folder, read back."""
+    path = f"{folder(spark)}/voxgrove-{spark.sparkContext.applicationId}/swc-{uuid.uuid4().hex}"
+    write_swc(_skeleton(spark, d), path)
+    back = read_swc(spark, path)
+    return back.select("id", "type", *(F.col(c).cast("int").alias(c) for c in "xyzr"), "parent")
+
+
+def _refined(spark, d):
+    fg = _fg(spark, d)
+    return skeleton.refine(skeleton.prune(_chains(spark, d), 3), fg, distance.radius_by_ball(fg))
 
 
 def _skeleton(spark, d, threshold=T_ONE, min_nodes=3):
@@ -59,7 +99,6 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 def queries():
     """Name to function of (spark, sf_dir)."""
     vol = proxy_volume
-    lab = lambda s, d: tracing.fast_marching(_edges(s, d), tracing.poisson_seeds(_fg(s, d)))
     return {
         "proxy_volume": lambda s, d: vol(s, d).select("idx", "x", "y", "z", "v"),
         "global_threshold": lambda s, d: _fg(s, d).select("idx", "v"),
@@ -67,14 +106,14 @@ def queries():
         "auto_threshold": lambda s, d: voxels.auto_threshold(vol(s, d)).select("idx", "v"),
         "local_threshold": lambda s, d: stencil.local_threshold(_fg(s, d)).select("idx", "v"),
         "compact_index": lambda s, d: voxels.compact_index(_fg(s, d), 1024).select("idx", "cid"),
-        "compact_lookup": lambda s, d: voxels.compact_lookup(voxels.compact_index(_fg(s, d)), s.range(0, 5000, 7).select(F.lit("proxy").alias("image_id"), F.col("id").alias("cid"))).select("cid", "idx"),
+        "compact_lookup": lambda s, d: _lookup(s, d).select("cid", "idx"),
         "neighbors6": lambda s, d: stencil.neighbours(_fg(s, d), stencil.OFFSETS6).select("src", "dst"),
         "neighbors26": lambda s, d: stencil.edges26(_fg(s, d)).select("src", "dst", "dir", "step"),
         "neighbors_ball": lambda s, d: stencil.neighbours(_fg(s, d, T_MANY), stencil.ball(3)).select("src", "dst", "d2"),
         "voxel_cost": lambda s, d: _fg(s, d).select("idx", F.round(voxel_cost(F.col("v")), 6).alias("cost")),
         "mean_edge_cost": lambda s, d: stencil.edges26(_fg(s, d, T_MANY)).select("src", "dst", F.round(mean_edge_cost(F.col("step") / 1000, F.col("a"), F.col("b")), 6).alias("cost")),
         "edge_cost": lambda s, d: _edges(s, d).select("src", "dst", "w"),
-        "parent_decode": lambda s, d: stencil.decode_parents(vol(s, d).where("x > 0 AND x < 47 AND y > 0 AND y < 47 AND z > 0 AND z < 6").withColumn("dir", (F.col("idx") % 26).cast("int"))).select("idx", "parent_idx"),
+        "parent_decode": lambda s, d: _decoded(s, d).select("idx", "parent_idx"),
         "prefix_sum": lambda s, d: voxels.prefix_sum(_fg(s, d), F.col("v").cast("long"), ["image_id"], "idx", True, 1024).select("idx", "scan"),
         "transform_scan": lambda s, d: voxels.prefix_sum(vol(s, d), (F.col("v") >= T_ONE).cast("long"), ["image_id"], "idx", False, 1024).select("idx", "scan"),
         "reduce_stats": lambda s, d: voxels.reduce_stats(vol(s, d)).select("n", "total", "least", "most"),
@@ -91,18 +130,21 @@ def queries():
         "radius_direct": lambda s, d: distance.radius_by_ball(_fg(s, d, 150)).select("idx", "radius"),
         "radius_fm": lambda s, d: distance.radius_by_steps(_fg(s, d, 150)).select("idx", "radius"),
         "poisson_seeds": lambda s, d: tracing.poisson_seeds(_fg(s, d)).select("seed_id"),
-        "geodesic": lambda s, d: tracing.fast_marching(_edges(s, d), _probe_seeds(s, d)).select("idx", "dist"),
-        "seed_label": lambda s, d: tracing.fast_marching(_edges(s, d), _probe_seeds(s, d)).select("idx", "dist", "seed_id"),
-        "parent_forest": lambda s, d: tracing.parent_forest(_edges(s, d), tracing.fast_marching(_edges(s, d), _probe_seeds(s, d))).select("idx", "parent_idx"),
-        "child_counts": lambda s, d: tracing.child_counts(tracing.parent_forest(_edges(s, d), tracing.fast_marching(_edges(s, d), _probe_seeds(s, d)))).select("idx", "children"),
-        "leaves": lambda s, d: skeleton.leaves(tracing.parent_forest(_edges(s, d), tracing.fast_marching(_edges(s, d), _probe_seeds(s, d)))).select("idx"),
-        "merge_candidates": lambda s, d: tracing.merge_candidates(_edges(s, d), tracing.fast_marching(_edges(s, d), _probe_seeds(s, d))).select("s", "t", "cost", "a", "b"),
-        "mst_edges": lambda s, d: tracing.spanning_forest(tracing.merge_candidates(_edges(s, d), lab(s, d))).select("s", "t", "cost", "a", "b"),
+        "geodesic": lambda s, d: _march(s, d)[1].select("idx", "dist"),
+        "seed_label": lambda s, d: _march(s, d)[1].select("idx", "dist", "seed_id"),
+        "parent_forest": lambda s, d: _forest(s, d).select("idx", "parent_idx"),
+        "child_counts": lambda s, d: tracing.child_counts(_forest(s, d)).select("idx", "children"),
+        "leaves": lambda s, d: skeleton.leaves(_forest(s, d)).select("idx"),
+        "merge_candidates": lambda s, d: tracing.merge_candidates(*_march(s, d)).select("s", "t", "cost", "a", "b"),
+        "mst_edges": lambda s, d: tracing.spanning_forest(tracing.merge_candidates(*_march(s, d))).select("s", "t", "cost", "a", "b"),
         "segments": lambda s, d: _segments(s, d)[3].select("seed_id", "comp"),
         "merged_tree": lambda s, d: _tree(s, d).select("idx", "parent_idx", "comp"),
         "pruned_chains": lambda s, d: skeleton.prune(_chains(s, d), 3).select("idx", "chain_id"),
+        "refined_chains": lambda s, d: _refined(s, d).select("idx", "chain_id"),
         "valid_leaf_count": lambda s, d: skeleton.valid_leaf_count(skeleton.prune(_chains(s, d), 3)).select("n"),
         "chains": lambda s, d: _chains(s, d).select("idx", "chain_id", "pos", "after"),
+        "tiff_round_trip": lambda s, d: _tiff_round_trip(s, d).select("image_id", "idx", "x", "y", "z", "v", "width", "height", "depth"),
+        "swc_round_trip": lambda s, d: _swc_round_trip(s, d),
         "swc": lambda s, d: swc_lines(_skeleton(s, d)).select("id", "line"),
     }
 
@@ -154,7 +196,9 @@ kr(r, comp, took) AS (
   SELECT rk.r, CASE WHEN comp[si] = comp[ti] THEN comp ELSE list_transform(comp, lambda x: CASE WHEN x = greatest(comp[si], comp[ti]) THEN least(comp[si], comp[ti]) ELSE x END) END, comp[si] <> comp[ti]
   FROM kr JOIN rk ON rk.r = kr.r + 1),
 mst AS (SELECT rk.* FROM rk JOIN kr USING (r) WHERE took),
-seg AS (SELECT n.idx AS seed_id, o.idx AS comp FROM (SELECT comp FROM kr ORDER BY r DESC LIMIT 1) f, num n JOIN num o ON o.k = f.comp[n.k])"""
+final AS MATERIALIZED (SELECT max_by(comp, r) AS comp FROM kr),
+own AS MATERIALIZED (SELECT unnest(comp) AS c, generate_subscripts(comp, 1) AS k FROM final),
+seg AS (SELECT n.idx AS seed_id, o.idx AS comp FROM own JOIN num n ON n.k = own.k JOIN num o ON o.k = own.c)"""
 TREE = """,
 one AS (SELECT idx AS u, parent_idx AS v FROM forest WHERE parent_idx IS NOT NULL UNION SELECT a, b FROM mst),
 arcs AS (SELECT o.u, o.v, CASE abs(p.x - q.x) + abs(p.y - q.y) + abs(p.z - q.z) WHEN 1 THEN 1000 WHEN 2 THEN 1414 ELSE 1732 END AS step
@@ -178,11 +222,17 @@ kept(chain_id, comp, n) AS (
   UNION ALL
   SELECT s.chain_id, s.comp, s.n FROM kept k JOIN chains c ON c.chain_id = k.chain_id JOIN sizes s ON s.after = c.idx WHERE s.n >= 3)"""
 NUMBERS = """,
-base AS (SELECT chain_id, coalesce(sum(n) OVER (ORDER BY comp, chain_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base, dense_rank() OVER (ORDER BY comp) - 1 AS rank FROM kept),
+base AS (SELECT chain_id, coalesce(sum(n) OVER (ORDER BY comp, chain_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base, dense_rank() OVER (ORDER BY comp) - 1 AS rank FROM refined),
 ids AS (SELECT c.idx, c.parent_idx, CAST(b.base + c.pos + 1 AS INTEGER) AS id, 2 + b.rank % 11 AS kind FROM chains c JOIN base b ON b.chain_id = c.chain_id)"""
-PROBES = ", seeds AS (SELECT idx FROM fg WHERE idx % 97 = 0)"
+REFINED = """,
+ok AS (SELECT c.chain_id, bool_or((g.x - h.x) * (g.x - h.x) + (g.y - h.y) * (g.y - h.y) + (g.z - h.z) * (g.z - h.z) > r.radius * r.radius) AS ok
+  FROM kept k JOIN sizes s ON s.chain_id = k.chain_id JOIN chains c ON c.chain_id = k.chain_id JOIN fg g ON g.idx = c.idx JOIN fg h ON h.idx = s.after JOIN radii r ON r.idx = s.after GROUP BY c.chain_id),
+refined(chain_id, comp, n) AS (
+  SELECT k.chain_id, k.comp, k.n FROM kept k JOIN sizes s ON s.chain_id = k.chain_id WHERE s.after IS NULL
+  UNION ALL
+  SELECT s.chain_id, s.comp, s.n FROM refined f JOIN chains c ON c.chain_id = f.chain_id JOIN sizes s ON s.after = c.idx JOIN ok o ON o.chain_id = s.chain_id WHERE o.ok)"""
 START = "WITH RECURSIVE " + _sql(T_ONE, stencil.OFFSETS26) + EDGES
-LABEL = START + PROBES + MARCH
+LABEL = START + SEEDS + MARCH
 FOREST = LABEL + PARENTS
 MERGED = START + SEEDS + MARCH + CANDIDATES + KRUSKAL
 SKELETON = MERGED + PARENTS + TREE + CHAINS
@@ -206,22 +256,24 @@ def oracle_sql():
     big = "CAST(idx AS BIGINT) AS idx"
     balls = " ".join(f"WHEN 1000 * ({len(stencil.ball(r))} - n{r}) > {len(stencil.ball(r)) + 1} THEN {r - 1}" for r in (1, 2, 3))
     counts = ", ".join(f"count(*) FILTER (WHERE b.idx IS NOT NULL AND ceil(sqrt(d2)) <= {r}) AS n{r}" for r in (1, 2, 3))
-    par = ", ".join(f"[{', '.join(str(o[k]) for o in stencil.OFFSETS26)}] AS d{k}" for k in range(3))
+    radii = f", rc AS (SELECT a.idx, {counts} FROM fg a CROSS JOIN {_o(stencil.ball(3))} LEFT JOIN fg b ON b.x = a.x + dx AND b.y = a.y + dy AND b.z = a.z + dz GROUP BY a.idx), radii AS (SELECT idx, CASE {balls} ELSE 3 END AS radius FROM rc)"
+    traced = SKELETON + radii + REFINED + NUMBERS + ", traced AS (SELECT i.id, i.kind, g.x, g.y, g.z, r.radius AS r, p.id AS parent FROM ids i JOIN fg g ON g.idx = i.idx JOIN radii r ON r.idx = i.idx LEFT JOIN ids p ON p.idx = i.parent_idx) "
     return {
         "proxy_volume": f"WITH {VOX} SELECT {big}, x, y, z, v FROM vox",
+        "tiff_round_trip": f"WITH {VOX} SELECT 'proxy.tif' AS image_id, {big}, x, y, z, v, 48 AS width, 48 AS height, 7 AS depth FROM vox",
         "global_threshold": f"{w} SELECT {big}, v FROM fg",
         "slice_profile": f"WITH {_sql(200)} SELECT z, count(*) AS n, CAST(sum(v) AS BIGINT) AS total FROM fg GROUP BY z",
         "auto_threshold": f"WITH {VOX}, t AS (SELECT floor(avg(v) + 0.5 * greatest(stddev_pop(v), 10)) AS t FROM vox) SELECT {big}, v FROM vox, t WHERE v >= t",
         "local_threshold": f"WITH {_sql(T_ONE, stencil.cube(2))}, c AS (SELECT src, count(*) AS n, count(*) FILTER (WHERE b > a) AS m FROM nb GROUP BY src) SELECT {big}, v FROM fg LEFT JOIN c ON src = idx WHERE 20 * coalesce(m, 0) < coalesce(n, 0) + 1",
         "compact_index": f"{w} SELECT {big}, row_number() OVER (ORDER BY idx) - 1 AS cid FROM fg",
-        "compact_lookup": f"{w}, c AS (SELECT idx, row_number() OVER (ORDER BY idx) - 1 AS cid FROM fg) SELECT cid, {big} FROM c WHERE cid % 7 = 0 AND cid < 5000",
+        "compact_lookup": f"{w} SELECT row_number() OVER (ORDER BY idx) - 1 AS cid, {big} FROM fg",
         "neighbors6": f"WITH {_sql(T_ONE, stencil.OFFSETS6)} SELECT CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst FROM nb",
         "neighbors26": f"{n26} SELECT CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst, dir, CAST({STEP} AS BIGINT) AS step FROM nb",
         "neighbors_ball": f"WITH {_sql(T_MANY, stencil.ball(3))} SELECT CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst, d2 FROM nb",
         "voxel_cost": f"{w} SELECT {big}, round(exp(10.0 * (1 - v / 255.0::DOUBLE) * (1 - v / 255.0::DOUBLE)), 6) AS cost FROM fg",
         "mean_edge_cost": f"WITH {_sql(T_MANY, stencil.OFFSETS26)} SELECT CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst, round(({STEP}) / 1000.0::DOUBLE * (exp(10.0 * (1 - a / 255.0::DOUBLE) * (1 - a / 255.0::DOUBLE)) + exp(10.0 * (1 - b / 255.0::DOUBLE) * (1 - b / 255.0::DOUBLE))) / 2, 6) AS cost FROM nb",
         "edge_cost": f"{n26}{EDGES} SELECT CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst, w FROM edges",
-        "parent_decode": f"WITH {VOX}, o AS (SELECT {par}) SELECT {big}, CAST(((z + d2[idx % 26 + 1]) * 48 + y + d1[idx % 26 + 1]) * 48 + x + d0[idx % 26 + 1] AS BIGINT) AS parent_idx FROM vox, o WHERE x > 0 AND x < 47 AND y > 0 AND y < 47 AND z > 0 AND z < 6",
+        "parent_decode": FOREST + " SELECT CAST(idx AS BIGINT) AS idx, CAST(parent_idx AS BIGINT) AS parent_idx FROM forest",
         "prefix_sum": f"{w} SELECT {big}, CAST(sum(v) OVER (ORDER BY idx) AS BIGINT) AS scan FROM fg",
         "transform_scan": f"WITH {VOX} SELECT {big}, CAST(coalesce(sum(CAST(v >= {T_ONE} AS INT)) OVER (ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS scan FROM vox",
         "reduce_stats": f"WITH {VOX} SELECT count(*) AS n, CAST(sum(v) AS BIGINT) AS total, min(v) AS least, max(v) AS most FROM vox",
@@ -245,10 +297,12 @@ def oracle_sql():
         "leaves": FOREST + " SELECT CAST(idx AS BIGINT) AS idx FROM forest WHERE idx NOT IN (SELECT parent_idx FROM forest WHERE parent_idx IS NOT NULL)",
         "merge_candidates": LABEL + CANDIDATES + " SELECT CAST(s AS BIGINT) AS s, CAST(t AS BIGINT) AS t, e.c AS cost, CAST(e.a AS BIGINT) AS a, CAST(e.b AS BIGINT) AS b FROM m",
         "mst_edges": MERGED + " SELECT CAST(s AS BIGINT) AS s, CAST(t AS BIGINT) AS t, cost, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b FROM mst",
-        "segments": MERGED + " SELECT CAST(seed_id AS BIGINT) AS seed_id, CAST(comp AS BIGINT) AS comp FROM seg",
+        "segments": MERGED + " SELECT CAST(seed_id AS BIGINT) AS seed_id, CAST(comp AS BIGINT) AS comp FROM seg WHERE (SELECT count(*) FROM mst) >= 0",  # both readers of kr: it is then made once
         "merged_tree": MERGED + PARENTS + TREE + " SELECT CAST(idx AS BIGINT) AS idx, CAST(parent_idx AS BIGINT) AS parent_idx, CAST(comp AS BIGINT) AS comp FROM tree",
         "chains": SKELETON + " SELECT CAST(idx AS BIGINT) AS idx, CAST(chain_id AS BIGINT) AS chain_id, pos, CAST(after AS BIGINT) AS after FROM chains",
         "pruned_chains": SKELETON + " SELECT CAST(idx AS BIGINT) AS idx, CAST(chain_id AS BIGINT) AS chain_id FROM chains WHERE chain_id IN (SELECT chain_id FROM kept)",
         "valid_leaf_count": SKELETON + " SELECT count(*) AS n FROM kept",
-        "swc": SKELETON + NUMBERS + f", c AS (SELECT a.idx, {counts} FROM fg a CROSS JOIN {_o(stencil.ball(3))} LEFT JOIN fg b ON b.x = a.x + dx AND b.y = a.y + dy AND b.z = a.z + dz GROUP BY a.idx) SELECT i.id, concat_ws(' ', i.id, i.kind, g.x, g.y, g.z, CASE {balls} ELSE 3 END, coalesce(p.id, -1)) AS line FROM ids i JOIN fg g ON g.idx = i.idx JOIN c ON c.idx = i.idx LEFT JOIN ids p ON p.idx = i.parent_idx",
+        "refined_chains": SKELETON + radii + REFINED + " SELECT CAST(idx AS BIGINT) AS idx, CAST(chain_id AS BIGINT) AS chain_id FROM chains WHERE chain_id IN (SELECT chain_id FROM refined)",
+        "swc": traced + "SELECT id, concat_ws(' ', id, kind, x, y, z, r, coalesce(parent, -1)) AS line FROM traced",
+        "swc_round_trip": traced + "SELECT id, CAST(kind AS INTEGER) AS type, x, y, z, r, coalesce(parent, -1) AS parent FROM traced",
     }

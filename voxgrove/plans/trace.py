@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from contextlib import contextmanager
 
@@ -34,7 +35,7 @@ def foreground(volume: DataFrame, threshold: int = -1, local: bool = False) -> D
 
 def marched(fg: DataFrame, radius: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(edges, labels, forest) of a foreground."""
-    edges = written(stencil.edges26(fg).select("image_id", "src", "dst", "w"), "edges")
+    edges = written(stencil.edges26(fg).select("image_id", "src", "dst", "w", "ts", "td"), "edges")
     labels = written(tracing.fast_marching(edges, tracing.poisson_seeds(fg, radius)), "labels")
     return edges, labels, written(tracing.parent_forest(edges, labels), "forest")
 
@@ -59,13 +60,18 @@ def trace(volume: DataFrame, threshold: int = -1, local: bool = False, min_nodes
         tree = skeleton.reroot(forest, mst, segments)
     with t.stage("prune"):
         rows = written(skeleton.prune(skeleton.chains(tree, fg), min_nodes), "chains")
+    with t.stage("radius"):
+        radii = written(distance.radius_by_ball(fg), "radii")
+    with t.stage("refine"):
+        rows = written(skeleton.refine(rows, fg, radii), "refined")
     with t.stage("number"):
-        return written(skeleton.number(rows, fg, distance.radius_by_ball(fg)), "swc")
+        return written(skeleton.number(rows, fg, radii), "swc")
 
 
 def trace_path(spark: SparkSession, path: str, out: str | None = None, threshold: int = -1, local: bool = False, **options) -> DataFrame:
     """Trace a .tif file, or every one in a folder, in one job; write SWC files if ``out`` is given."""
-    swc = trace(read_tiff(spark, path), threshold, local, **options)
+    volume = written(read_tiff(spark, path), "volume")
+    swc = trace(volume, threshold, local, **options)
     if out:
         write_swc(swc, out)
     return swc
@@ -76,11 +82,13 @@ def main(args: list[str]) -> None:
     is off."""
     path, threshold, local, out = args
     spark = SparkSession.builder.appName("voxgrove").getOrCreate()
-    trace_path(spark, path, out, int(threshold), local != "0")
-    spark.stop()
+    timings = Timings()
+    trace_path(spark, path, out, int(threshold), local != "0", timings=timings)
+    print(json.dumps(timings))
 
 
 if __name__ == "__main__":
     import sys
 
     main(sys.argv[1:])
+    SparkSession.getActiveSession().stop()

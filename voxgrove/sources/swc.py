@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +23,21 @@ def swc_lines(swc: DataFrame) -> DataFrame:
 
 
 def write_swc(swc: DataFrame, path: str) -> None:
-    """One text file for each image, in a folder of its own named <image>_trace.swc, lines in order
-    of id. A skeleton is far smaller than its volume: one task writes one."""
-    rows = swc_lines(swc).withColumn("image", F.concat("image_id", F.lit("_trace.swc")))
-    rows.repartition("image").sortWithinPartitions("image", "id").select("image", "line").write.mode("overwrite").partitionBy("image").text(path)
+    """One text file for each image, <image>_trace.swc in the folder ``path``, lines in order of id. A
+    skeleton is far smaller than its volume: one task writes one. The files of earlier runs that
+    are written again are replaced."""
+    spark = swc.sparkSession
+    parts = f"{path.rstrip('/')}/_parts"
+    rows = swc_lines(swc).withColumnRenamed("image_id", "image")
+    rows.repartition("image").sortWithinPartitions("image", "id").select("image", "line").write.mode("overwrite").partitionBy("image").text(parts)
+    # only names are moved: Spark has put each image's lines in one part of a folder of its own
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    store = hadoop.Path(parts).getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in store.listStatus(hadoop.Path(parts)):
+        if folder.isDirectory():
+            name = unquote(folder.getPath().getName().split("=", 1)[1])
+            (part,) = (f for f in store.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-"))
+            to = hadoop.Path(f"{path}/{name}_trace.swc")
+            store.delete(to, False)
+            store.rename(part.getPath(), to)
+    store.delete(hadoop.Path(parts), True)
