@@ -835,6 +835,36 @@ def test_local_search_empties_bins():
         assert len(got) <= len(packing.best_fit(sizes, 40)[0])
 
 
+# rows that share a doc_id, have none, or are equal -----------------------------
+def test_odd_rows_of_row_wise_operators(odd_docs, odd_rows):
+    """Each row is a row of the result, whatever its doc_id."""
+    multi = lambda rows: collections.Counter(map(tuple, rows))
+    ranks = bpe.load_ranks(bpe.default_ranks())
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ids = [np.array(own.encode_ordinary(t or ""), "<u4") for _, t in odd_rows]
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    assert multi(bpe.digests(odd_docs).collect()) == multi((d, len(x), sha(x.tobytes()), sha((t or "").encode())) for (d, t), x in zip(odd_rows, ids, strict=True))
+    assert multi(r[:2] for r in quality.judge(odd_docs).collect()) == multi((d, len(WORD.findall(t or ""))) for d, t in odd_rows)
+    assert multi((r["doc_id"], r["spans"]) for r in pii.find(odd_docs).collect()) == multi((d, pii.show(pii.spans(t)[1])) for d, t in odd_rows)
+    tokens = Tokenizer.from_file(packing.default_vocabulary())
+    tokens.encode_special_tokens = True
+    crc = lambda x: zlib.crc32(np.array(x, "<u4").tobytes())
+    pieces = [(d, [*tokens.encode(t or "", add_special_tokens=False).ids, 2]) for d, t in odd_rows]
+    assert multi((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in packing.pack_documents(odd_docs).collect()) == multi((d, 0, 0, len(x), crc(x)) for d, x in pieces)
+    spark = odd_docs.sparkSession
+    store = tokenstore.read_digests(spark, tokenstore.write_tokens(odd_docs)).collect()
+    words = Tokenizer.from_file(tokenstore.default_vocabulary())
+    words.encode_special_tokens = True
+    full = [(d, [*words.encode(t or "", add_special_tokens=False).ids, 1]) for d, t in odd_rows]
+    assert multi((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in store) == multi((d, len(x), crc(x)) for d, x in full)
+    at = 0
+    for r in sorted(store, key=lambda r: r["start"]):
+        assert r["start"] == at
+        at += r["n_tokens"]
+    order = [r["doc_id"] for r in sorted(store, key=lambda r: r["start"])]
+    assert order == sorted(order, key=lambda d: (d is not None, d or 0))
+
+
 # pipeline --------------------------------------------------------------------
 def test_pipeline(spark, docs, odd_docs, texts, odd_rows, tmp_path):
     """Every piece of the result: ids, place and order, by row."""
