@@ -3,6 +3,7 @@
 import heapq
 import random
 import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -11,9 +12,9 @@ from pyspark.sql import functions as F
 from voxgrove.functions.costs import cost_rows, cost_table
 from voxgrove.operators import distance, queue, skeleton, stencil, tracing, voxels
 from voxgrove.plans import catalog, trace
-from voxgrove.plans.fixpoint import components
+from voxgrove.plans.fixpoint import components, relax, stars
 from voxgrove.sources.swc import read_swc, swc_lines, write_swc
-from voxgrove.sources.volume import from_dense, read_tiff
+from voxgrove.sources.volume import decode_tiff, from_dense, read_tiff, unpack_lzw, write_tiff
 
 
 def _volume(points, shape=(5, 5, 5), v=200):
@@ -102,6 +103,51 @@ def test_marching_and_forest_equal_dijkstra(spark):
             assert best[r["parent_idx"]] == (r["dist"] - w, r["seed_id"])
 
 
+@pytest.mark.parametrize("side", [2, 3])
+def test_tiles_do_not_change_results(spark, side, monkeypatch):
+    fg = _random(spark, 170, 3)
+    want = None
+    for n in (100, side):
+        e = stencil.edges26(fg) if n == 100 else stencil.edges26(fg).withColumn("ts", F.floor(F.col("src") / 7 / side)).withColumn("td", F.floor(F.col("dst") / 7 / side))
+        seeds = tracing.poisson_seeds(fg, 2)
+        got = ({tuple(r) for r in tracing.fast_marching(e, seeds).collect()}, {tuple(r) for r in tracing.voxel_components(e, fg).collect()})
+        want = want or got
+        assert got == want
+
+
+def test_rounds_that_run_out_are_an_error(spark):
+    line = [("a", i, i + 1, 1, i, i + 1) for i in range(12)]
+    e = spark.createDataFrame(line, "image_id string, src long, dst long, w long, ts long, td long")
+    start = spark.createDataFrame([("a", 0, 0, 0), ("a", 99, 0, 5)], "image_id string, idx long, dist long, label long")
+    got = {r["idx"]: (r["dist"], r["label"]) for r in relax(e, start, "t").collect()}
+    assert got == {**{i: (i, 0) for i in range(13)}, 99: (0, 5)}
+    with pytest.raises(RuntimeError):
+        relax(e, start, "t", rounds=3)
+    with pytest.raises(RuntimeError):
+        stars(e.selectExpr("image_id", "src a", "dst b"), "t", rounds=1)
+    assert stars(e.where("src < 0").selectExpr("image_id", "src a", "dst b"), "t").count() == 0
+
+
+def test_refining_drops_twigs_within_their_branch(spark):
+    vox = from_dense(spark, "a", np.full((1, 9, 9), 200, np.uint8))
+    at = lambda x, y: 9 * y + x
+    rows = [("a", at(x, 4), at(8, 4), x, None) for x in range(9)]  # the trunk, chain named by its leaf
+    rows += [("a", at(4, y), at(4, y0), 0, at(4, 4)) for y0, ys in ((6, (5, 6)), (0, (3, 2, 1, 0))) for y in ys]
+    rows += [("a", at(5, 6), at(5, 6), 0, at(4, 6))]  # hangs on a twig that goes
+    chains = spark.createDataFrame(rows, "image_id string, idx long, chain_id long, pos int, after long")
+    radii = vox.select("image_id", "idx", F.lit(2).alias("radius"))
+    assert {r["chain_id"] for r in skeleton.refine(chains, vox, radii).collect()} == {at(8, 4), at(4, 0)}
+    assert skeleton.refine(chains, vox, radii.withColumn("radius", F.lit(0))).count() == len(rows)
+
+
+def test_packed_parents(spark):
+    fg = from_dense(spark, "a", _volume(Y))
+    _, _, forest = trace.marched(fg)
+    back = stencil.decode_parents(stencil.encode_parents(forest, fg))
+    key = lambda df: sorted(map(tuple, df.select("idx", "parent_idx").collect()), key=repr)
+    assert key(back) == key(forest)
+
+
 def test_spanning_forest_equals_kruskal(spark):
     r = random.Random(2)
     cand = {}
@@ -217,10 +263,133 @@ def test_tiff_file_and_folder_to_swc(spark, tmp_path, order, kind):
     assert read_tiff(spark, str(tmp_path / "a.tif")).where("v = 200 AND depth = 5").count() == 5
     out = str(tmp_path / "out")
     swc = trace.trace_path(spark, str(tmp_path), out, threshold=100, min_nodes=1)
-    back = read_swc(spark, f"{out}/image=b.tif_trace.swc")
+    back = read_swc(spark, f"{out}/b.tif_trace.swc")
     assert back.count() == 7 == swc.where("image_id = 'b.tif'").count() and back.where("parent = -1").count() == 1
 
 
+def _pack_bits(raw):
+    out, at = bytearray(), 0
+    while at < len(raw):
+        n = 1
+        while at + n < len(raw) and raw[at + n] == raw[at] and n < 128:
+            n += 1
+        if n > 1:
+            out += bytes([257 - n, raw[at]])
+        else:
+            out += bytes([0, raw[at]])
+        at += n
+    return bytes(out) + b"\x80"
+
+
+def _lzw(raw):
+    table, held, bits, width, word, codes = {bytes([i]): i for i in range(256)}, 0, 0, 9, b"", []
+    n, out = 258, bytearray()
+
+    def put(code):
+        nonlocal held, bits
+        held, bits = held << width | code, bits + width
+        while bits >= 8:
+            out.append(held >> (bits - 8) & 255)
+            bits -= 8
+            held &= (1 << bits) - 1
+
+    put(256)
+    for b in raw:
+        b = bytes([b])
+        if word + b in table:
+            word += b
+            continue
+        put(table[word])
+        table[word + b] = n
+        n += 1
+        if n == 4094:
+            width = 12
+            put(256)
+            table, n, width = {bytes([i]): i for i in range(256)}, 258, 9
+        else:
+            width = 9 if n < 512 else 10 if n < 1024 else 11 if n < 2048 else 12
+        word = b
+    if word:
+        put(table[word])
+        n += 1
+        width = 9 if n < 512 else 10 if n < 1024 else 11 if n < 2048 else 12
+    put(257)
+    if bits:
+        out.append(held << (8 - bits) & 255)
+    return bytes(out)
+
+
+PACK = {1: bytes, 5: _lzw, 8: zlib.compress, 32773: _pack_bits}
+
+
+def _odd_tiff(page, compression, tile=None, big=False, predictor=1, samples=1):
+    """One page: strips of 5 rows or tiles, classic or big."""
+    h, w = page.shape[:2]
+    page = page.reshape(h, w, samples)
+    th, tw = tile or (5, w)
+    blocks = []
+    for y in range(0, h, th):
+        for x in range(0, w, tw):
+            b = np.zeros((th, tw, samples), page.dtype)
+            cut = page[y : y + th, x : x + tw]
+            b[: cut.shape[0], : cut.shape[1]] = cut
+            b = b if tile else b[: min(th, h - y)]
+            if predictor == 2:
+                b = np.diff(b, axis=1, prepend=np.zeros((b.shape[0], 1, samples), b.dtype))
+            blocks.append(PACK[compression](b.tobytes()))
+    word = "Q" if big else "I"
+    head = struct.pack("<2sHHHQ", b"II", 43, 8, 0, 16) if big else struct.pack("<2sHI", b"II", 42, 8)
+    tags = [(256, [w]), (257, [h]), (258, [8 * page.dtype.itemsize] * samples), (259, [compression]), (277, [samples]), (278, [th]), (317, [predictor])]
+    tags += [(322, [tw]), (323, [th])] if tile else []
+    first, second = (324, 325) if tile else (273, 279)
+    size = len(head) + (8 if big else 2) + (20 if big else 12) * (len(tags) + 2) + struct.calcsize(word)
+    arrays = bytearray()
+    base = size + 2000
+    starts = [base + sum(map(len, blocks[:k])) for k in range(len(blocks))]
+    tags += [(first, starts), (second, [len(b) for b in blocks])]
+    out = bytearray(head) + struct.pack("<Q" if big else "<H", len(tags))
+    for t, v in tags:
+        raw = struct.pack(f"<{len(v)}{word}", *v)
+        if len(v) == 1:
+            field = raw
+        else:
+            field = struct.pack(f"<{word}", size + len(arrays))
+            arrays += raw
+        out += struct.pack(f"<HH{word}", t, 16 if big else 4, len(v)) + field
+    out += struct.pack(f"<{word}", 0)
+    assert len(out) == size and len(arrays) <= 2000
+    return bytes(out) + bytes(arrays).ljust(2000, b"\0") + b"".join(blocks)
+
+
+@pytest.mark.parametrize("compression", [1, 5, 8, 32773])
+@pytest.mark.parametrize("tile, big, predictor, samples, kind", [(None, False, 1, 1, np.uint8), ((16, 16), False, 2, 1, np.uint8), (None, True, 2, 1, np.uint16), ((16, 32), True, 1, 3, np.uint8)])
+def test_tiff_layouts(compression, tile, big, predictor, samples, kind):
+    r = np.random.RandomState(compression)
+    page = (r.randint(0, 4, (23, 41, samples)) * r.randint(0, 60, (23, 41, samples))).astype(kind)
+    page[3:9] = 7
+    ((got, bits),) = decode_tiff(_odd_tiff(page, compression, tile, big, predictor, samples))
+    assert bits == 8 * np.dtype(kind).itemsize and np.array_equal(got, page.max(2))
+
+
+def test_long_lzw_strips_and_refused_pages():
+    raw = np.random.RandomState(1).randint(0, 200, 30000).astype(np.uint8).tobytes()
+    assert unpack_lzw(_lzw(raw)) == raw and unpack_lzw(_lzw(b"a" * 5000)) == b"a" * 5000
+    for bad in (b"", b"PNG", _odd_tiff(np.zeros((3, 3), np.uint32), 1)):
+        with pytest.raises(ValueError):
+            list(decode_tiff(bad))
+
+
+def test_written_stacks_and_command_line(spark, tmp_path, capsys):
+    a = np.random.RandomState(2).randint(0, 3, (4, 70, 9)).astype(np.uint8) * 90
+    vol = from_dense(spark, "a.tif", a).unionByName(from_dense(spark, "b", _volume(Y)))
+    write_tiff(vol, str(tmp_path / "in"))
+    pages = [p for p, _ in decode_tiff((tmp_path / "in/a.tif").read_bytes())]
+    assert np.array_equal(np.stack(pages), a)
+    assert read_tiff(spark, [str(tmp_path / "in/b.tif")]).count() == len(Y)
+    trace.main([str(tmp_path / "in" / "b.tif"), "100", "0", str(tmp_path / "out")])
+    assert "march" in capsys.readouterr().out and (tmp_path / "out" / "b.tif_trace.swc").is_file()
+
+
 def test_swc_dialects(spark, tmp_path):
     (tmp_path / "t.swc").write_text("#name\n##n,type,x,y,z,radius,parent\n 1 -57 1.5 2 3 0.034 -1\n2 2  4 5 6 1 1\n\n")
     rows = read_swc(spark, str(tmp_path / "t.swc")).orderBy("id").collect()
@@ -237,10 +406,10 @@ def test_stream_of_stacks(spark, tmp_path):
     (tmp_path / "in" / "a.tif").write_bytes(_tiff(list(_volume(LINE))))
     q = watch(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), threshold=100, min_nodes=1)
     q.awaitTermination(120)
-    assert read_swc(spark, str(tmp_path / "out/batch=0/image=a.tif_trace.swc")).count() == 5
+    assert read_swc(spark, str(tmp_path / "out/batch=0/a.tif_trace.swc")).count() == 5
 
 
-SQL_NAMES = ["slice_profile", "auto_threshold", "local_threshold", "compact_index", "edge_cost", "parent_decode", "prefix_sum", "extrema", "components", "poisson_seeds", "seed_label", "gwdt", "radius_direct", "mst_edges", "segments", "merged_tree", "chains", "pruned_chains", "valid_leaf_count", "swc"]
+SQL_NAMES = ["slice_profile", "auto_threshold", "local_threshold", "compact_lookup", "edge_cost", "parent_decode", "prefix_sum", "extrema", "components", "gwdt", "radius_direct", "mst_edges", "segments", "refined_chains", "swc_round_trip", "tiff_round_trip"]
 
 
 @pytest.mark.parametrize("name", SQL_NAMES)

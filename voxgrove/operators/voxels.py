@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.scratch import written
+
+BROADCAST_IMAGES = 1_000_000
+
 
 def global_threshold(voxels: DataFrame, t) -> DataFrame:
     """Foreground: v >= t."""
@@ -20,8 +24,10 @@ def auto_thresholds(voxels: DataFrame) -> DataFrame:
 
 
 def auto_threshold(voxels: DataFrame) -> DataFrame:
-    """Foreground by each image's own threshold."""
-    return voxels.join(auto_thresholds(voxels), "image_id").where("v >= t").drop("t")
+    """Foreground by each image's own threshold. One number for each image is broadcast, up to
+    ``BROADCAST_IMAGES`` of them, so that the volume is not shuffled."""
+    t = written(auto_thresholds(voxels), "thresholds")
+    return voxels.join(F.broadcast(t) if t.count() <= BROADCAST_IMAGES else t, "image_id").where("v >= t").drop("t")
 
 
 def slice_profile(voxels: DataFrame) -> DataFrame:
