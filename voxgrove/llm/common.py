@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -89,6 +90,12 @@ def saved(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return out
 
 
+def free(spark: SparkSession) -> None:
+    """Have the files of ended shuffles deleted now: Spark drops them when the driver's collector finds
+    that nothing refers to them, which may be long after."""
+    spark._jvm.System.gc()
+
+
 def made() -> int:
     """A mark for ``release_since``."""
     return len(_MADE)
@@ -132,11 +139,20 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable
     ship(df.sparkSession)
 
     def run(batches):
-        return fn(b.slice(i, BATCH_ROWS) for b in batches for i in range(0, max(1, b.num_rows), BATCH_ROWS))
+        yield from fn(b.slice(i, BATCH_ROWS) for b in batches for i in range(0, max(1, b.num_rows), BATCH_ROWS))
+        trim()
 
     return df.mapInArrow(run, schema)
 
 
+def trim() -> None:
+    """Give freed memory back, as workers live on after their task; where the platform can't, nothing."""
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give:
+        give(0)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is evaluated once per row, whatever the optimizer inlines."""
     return F.transform(F.array(value), body)[0]

@@ -41,10 +41,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, pack, release, saved, scratch_dir, spread, unpack, words_of
+from .common import map_batches, pack, release, saved, scratch_dir, spread, trim, unpack, words_of
 
 ORDER = 3
 #: Counts that are discounted; counts of counts that the discounts are fitted to.
@@ -52,15 +52,15 @@ K, FIT = 5, 40
 #: Words that are broadcast at most, 16 bytes each; the steps of an octave that counts are cut into.
 TOP, STEPS = 1 << 20, 16
 #: Tokens that are handled at once in a map task, tokens of a bucket, and buckets of one task.
-FLUSH, BUCKET, TOGETHER = 2_000_000, 1_000_000, 4
+FLUSH, BUCKET, TOGETHER = 1_200_000, 800_000, 5
 #: Distinct n-grams that a bucket holds before it adds up equal ones.
-MERGE = 2_000_000
+MERGE = 600_000
 END = b"\n"  # no word has it
 #: Ids: the start mark, the first of the broadcast words; hashes lie above.
 START, FIRST, HASHED = 1, 2, 1 << 32
 DOCS, PART, WAIT, MODEL, ITEM, DONE = range(6)
 WORD, PAIR = 0, 1  # what an item asks the count of
-ROWS = "kind int, key long, payload binary, what int, idx int, v long, w long, n long"
+ROWS = "kind int, key long, payload binary, what int, idx int, v long, w long, n long, own long"
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -143,7 +143,7 @@ def count_words(docs: DataFrame) -> DataFrame:
                 for x in w:
                     counts[x] = counts.get(x, 0) + 1
                 seen += len(w)
-            if seen > 4 * FLUSH:
+            if seen > 2 * FLUSH:
                 yield from flush()
                 counts, seen = {}, 0
         yield from flush()
@@ -237,14 +237,15 @@ def rows_of(rows: list[tuple]) -> pa.RecordBatch:
     """Rows (kind, key, payload)."""
     kinds, keys, payloads = zip(*rows, strict=True) if rows else ((), (), ())
     n = len(rows)
-    return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(keys, pa.int64()), pa.array(payloads, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.int64())] * 3], [c.split()[0] for c in ROWS.split(", ")])
+    return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(keys, pa.int64()), pa.array(payloads, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.int64())] * 4], [c.split()[0] for c in ROWS.split(", ")])
 
 
-def items_of(bucket: int, what: int, idx: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    """Rows that ask for a count, idx >= 0, or add to one, n > 0."""
+def items_of(bucket: int, what: int, idx: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
+    """Rows that ask for a count, idx >= 0, or add to one, n > 0; ``own`` is the count of the word w, -1
+    where that is not broadcast."""
     k = len(idx)
     whole = lambda x, kind: pa.array(np.full(k, x, kind))
-    return pa.RecordBatch.from_arrays([whole(ITEM, np.int32), whole(bucket, np.int64), pa.nulls(k, pa.binary()), whole(what, np.int32), pa.array(idx.astype(np.int32)), pa.array(v.view(np.int64)), pa.array(w.view(np.int64)), pa.array(n.astype(np.int64))], [c.split()[0] for c in ROWS.split(", ")])
+    return pa.RecordBatch.from_arrays([whole(ITEM, np.int32), whole(bucket, np.int64), pa.nulls(k, pa.binary()), whole(what, np.int32), pa.array(idx.astype(np.int32)), pa.array(v.view(np.int64)), pa.array(w.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(own.astype(np.int64))], [c.split()[0] for c in ROWS.split(", ")])
 
 
 def gaps(a: np.ndarray) -> np.ndarray:
@@ -381,6 +382,7 @@ class Level:
         self.stats = classes(self.group, r, n)
         total = np.bincount(self.group, r, n).astype(np.int64)
         self.total = total + (sum(self.stats[:K]) == 0)
+        self.score = np.log10(r) - np.log10(self.total[self.group])
         self.lower = classes(self.group, lower, n) if lower is not None else None
         self.below = below[self.first] if below is not None else None
 
@@ -418,7 +420,7 @@ def count_bucket(bucket: int, got: list[bytes], plan: Plan, words: Words, add):
             cols, n = merged(columns, counts)
             columns, counts, size = [[c] for c in cols], [n], 0
     cols, count = merged(columns, counts)
-    del columns, counts
+    del columns, counts, held, c, g, payload, seen
     levels, rep = levels_of(cols, count, order)
     two = levels[2]
     is_hot = lambda ids: plan.slots(np.where(ids == START, plan.starts, words.counts(ids))) > 1
@@ -435,23 +437,27 @@ def count_bucket(bucket: int, got: list[bytes], plan: Plan, words: Words, add):
         keys, contexts = g.keys(), g.contexts()
         s[c1 >= 0] = np.log10(plan.uni.p(c1[c1 >= 0]))
         level[hot] = 0
-        asks = {}
-        for n in range(2, order + 1):
+        s[hot] = 0
+        # the longest n-gram that was seen; the contexts of longer ones are backed off from
+        asks, todo = {}, np.arange(len(c1))
+        for n in range(order, 1, -1):
             own = levels[n]
-            at, asks[n] = find(own.keys, keys[n - 2]), find(own.context, contexts[n - 2])
-            yes = at >= 0 if n > 2 else (at >= 0) & ~hot
-            r = own.r[at[yes]]
-            level[yes] = n
-            s[yes] = np.log10(r) - np.log10(own.total[asks[n][yes]])
-            which[yes] = np.where(r <= K, (n - 2) * K + r, 0)
-        s[level == 0] = 0
+            if n == 2:
+                todo = todo[~hot[todo]]
+            at = find(own.keys, keys[n - 2][todo])
+            yes = at >= 0
+            got_at, r = todo[yes], own.r[at[yes]]
+            level[got_at], s[got_at] = n, own.score[at[yes]]
+            which[got_at] = np.where(r <= K, (n - 2) * K + r, 0)
+            todo = todo[~yes]
+            asks[n] = np.full(len(c1), -1)
+            asks[n][todo] = find(own.context, contexts[n - 2][todo])
         of, doc, times = g.of, g.doc, g.times
         add(g.uid, doc, s[of] * times, which[of], times)
         put = lambda held, e, ref, src=src, doc=doc, times=times: held.append((ref, np.full(len(e), src), doc[e], times[e]))
         for n in range(2, order + 1):
-            ask = (level < n) & (asks[n] >= 0) & ((n > 2) | ~hot)
-            if ask.any():
-                e = np.flatnonzero(ask[of])
+            if (asks[n] >= 0).any():
+                e = np.flatnonzero(asks[n][of] >= 0)
                 put(waits[n], e, asks[n][of[e]])
         if (c1 < 0).any():
             e = np.flatnonzero((c1 < 0)[of])
@@ -515,10 +521,10 @@ def count_bucket(bucket: int, got: list[bytes], plan: Plan, words: Words, add):
     yield rows_of([(MODEL, bucket, bundle(np.array([-1]), gaps(used).view(np.int64), gaps(at[0][by]), *(a[by] for a in at[1:]), count[by], none, none, none))])
     for i in range(0, len(asked), 1 << 16):
         some = asked[i : i + (1 << 16)]
-        yield items_of(bucket, WORD, np.arange(i, i + len(some)), np.zeros(len(some), np.uint64), some, np.zeros(len(some)))
+        yield items_of(bucket, WORD, np.arange(i, i + len(some)), np.zeros(len(some), np.uint64), some, np.zeros(len(some)), np.full(len(some), -1))
     for i in range(0, len(pair), 1 << 16):
         j = slice(i, i + (1 << 16))
-        yield items_of(bucket, PAIR, number[j], every_v[first][j], words.hashes(every_w[first][j]), partial[j])
+        yield items_of(bucket, PAIR, number[j], every_v[first][j], words.hashes(every_w[first][j]), partial[j], words.counts(every_w[first][j]))
 
 
 def count_buckets(batches, plan: Plan):
@@ -560,6 +566,7 @@ def count_buckets(batches, plan: Plan):
             if key != now and got:
                 yield from count_bucket(now, got, plan, words, add)
                 got = []
+                trim()
                 if held > 300_000:
                     yield from flush()
             now = key
@@ -567,6 +574,8 @@ def count_buckets(batches, plan: Plan):
     if got:
         yield from count_bucket(now, got, plan, words, add)
     yield from flush()
+    del got
+    trim()
 
 
 def discounted(stats: list[np.ndarray], d: np.ndarray) -> np.ndarray:
@@ -721,7 +730,8 @@ def _counted(rows: DataFrame, plan: Plan, learn: bool, model: DataFrame | None =
     if model is not None:
         sent = sent.unionByName(model)
     place = F.when(F.col("kind") == DOCS, F.col("key")).otherwise(F.floor(F.col("key") / TOGETHER))
-    tasks = max(1, -(-plan.buckets // TOGETHER))
+    # twice as many as there are groups of buckets, so that few tasks have several
+    tasks = max(1, -(-2 * plan.buckets // TOGETHER))
     dealt = sent.repartition(tasks, place).sortWithinPartitions("kind", "key")
     return saved(dealt.mapInArrow(lambda b: count_buckets(b, plan), ROWS), "katz-tables", by="kind")
 
@@ -737,7 +747,7 @@ def _discounts(tables: DataFrame, plan: Plan, unigrams: DataFrame) -> tuple[dict
                 yield pa.RecordBatch.from_arrays([pa.array(order + 2), pa.array(r), pa.array(n[order, r])], ["level", "r", "n"])
 
     pairs = tables.where((F.col("kind") == ITEM) & (F.col("what") == PAIR))
-    totals = saved(pairs.where("n > 0").groupBy("v", "w").agg(F.sum("n").alias("c")), "katz-pairs")
+    totals = saved(pairs.where("n > 0").groupBy("v", "w").agg(F.sum("n").alias("c"), F.max("own").alias("own")), "katz-pairs")
     few = tables.where(F.col("kind") == WAIT).select("payload").mapInArrow(tally, "level long, r long, n long")
     few = few.unionByName(totals.where(F.col("c") <= FIT).groupBy(F.col("c").alias("r")).agg(F.count("*").alias("n")).select(F.lit(2).cast("long").alias("level"), "r", "n"))
     of: dict[int, dict[int, int]] = {n: {} for n in range(2, plan.order + 1)}
@@ -746,7 +756,9 @@ def _discounts(tables: DataFrame, plan: Plan, unigrams: DataFrame) -> tuple[dict
     d = {n: discounts(x) for n, x in of.items()}
     # the split words: two for each bucket at most
     p = F.when(F.col("n") <= K, F.col("n") * F.element_at(F.array(*[F.lit(float(x)) for x in plan.uni.d[1:]]), F.least("n", F.lit(K)).cast("int"))).otherwise(F.col("n")) / plan.uni.whole
-    by = totals.join(unigrams.withColumnRenamed("h", "w"), "w").withColumn("p", p)
+    # the counts of broadcast words have come along; only the others are joined
+    far = totals.where("own < 0").join(unigrams.withColumnRenamed("h", "w"), "w").select("v", "c", "n")
+    by = totals.where("own >= 0").select("v", "c", F.col("own").alias("n")).unionByName(far).withColumn("p", p)
     held = by.groupBy("v").agg(*(F.sum((F.col("c") == k).cast("long")).alias(f"x{k}") for k in range(1, K + 1)), F.sum(F.when(F.col("c") > K, F.col("c")).otherwise(0)).alias("big"), F.sum("c").alias("total"), F.sum("p").alias("mass"))
     hot = {}
     for r in held.collect():
@@ -763,7 +775,7 @@ def _scored(tables: DataFrame, plan: Plan, unigrams: DataFrame) -> DataFrame:
     names = [c.split()[0] for c in ROWS.split(", ")]
     items = tables.where((F.col("kind") == ITEM) & (F.col("idx") >= 0)).drop("n")
     words = items.where(F.col("what") == WORD).join(unigrams.withColumnRenamed("h", "w"), "w", "left")
-    pairs = items.where(F.col("what") == PAIR).join(totals.withColumnRenamed("c", "n"), ["v", "w"], "left")
+    pairs = items.where(F.col("what") == PAIR).join(totals.select("v", "w", F.col("c").alias("n")), ["v", "w"], "left")
     replies = words.select(names).unionByName(pairs.select(names)).withColumn("n", F.coalesce("n", F.lit(0)))
     asked = replies.unionByName(tables.where(F.col("kind") == WAIT).select(names))
     dealt = asked.repartition(tasks, F.floor(F.col("key") / TOGETHER)).sortWithinPartitions("key", F.col("payload").isNotNull())
@@ -806,5 +818,5 @@ def score_with(path: str, docs: DataFrame) -> DataFrame:
     plan.bucket, plan.buckets = bucket, max(1, -(-plan.uni.total // bucket))
     grams = spark.read.schema("bucket long, payload binary").parquet(f"{path}/ngrams")
     null = lambda c, kind: F.lit(None).cast(kind).alias(c)
-    model = grams.select(F.lit(MODEL).alias("kind"), F.col("bucket").alias("key"), "payload", null("what", "int"), null("idx", "int"), null("v", "long"), null("w", "long"), null("n", "long"))
+    model = grams.select(F.lit(MODEL).alias("kind"), F.col("bucket").alias("key"), "payload", null("what", "int"), null("idx", "int"), null("v", "long"), null("w", "long"), null("n", "long"), null("own", "long"))
     return _scored(_counted(documents(docs), plan, False, model), plan, unigrams)
