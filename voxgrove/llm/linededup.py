@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, map_batches, release, row_key, saved, words_of
+from .common import free, let, map_batches, release, row_key, saved, words_of
 
 #: Words from which a line may be one edit from another: one edit is then a fifth of it at most.
 NEAR_WORDS = 5
@@ -46,11 +46,12 @@ def _digest(words: list[bytes], seed: int = 0) -> int:
 
 def halves(words: list[bytes], near_words: int = NEAR_WORDS) -> list[int]:
     """Hashes of the first and last half, as counted by a line of this length and by one
-    shorter by a word; none for a line that is too short to be near another."""
+    shorter by a word; none for a line that is too short to be near another. 32 bits do: equal
+    ones only say which lines are worth comparing."""
     n, out = len(words), []
     for short in (n, n - 1) if n >= near_words else (n,) if n == near_words - 1 > 0 else ():
         h = short // 2
-        out += [_digest(words[:h], 2 * short + 1), _digest(words[n - (short - h) :], 2 * short + 2)]
+        out += [_digest(words[:h], 2 * short + 1) >> 32, _digest(words[n - (short - h) :], 2 * short + 2) >> 32]
     return out
 
 
@@ -98,26 +99,25 @@ def lines_of(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
                     gs.append(_digest(w, 1 << 40))
                     keys += halves(w, near_words)
                     at.append(len(keys))
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32() if c is nos else pa.int64()) for c in (ids, rows, nos, hs, gs)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(keys, pa.int64()))], names)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32() if c is nos else pa.int64()) for c in (ids, rows, nos, hs, gs)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(keys, pa.int32()))], names)
 
     rows = docs.where("text IS NOT NULL").select(*row_key(), F.col("text").cast("string"))
-    return map_batches(rows, run, "d long, row long, line int, h long, g long, keys array<long>")
+    return map_batches(rows, run, "d long, row long, line int, h long, g long, keys array<int>")
 
 
 def _variants(near_words):
-    """(v, pos, h, g, place) of candidate lines; the shortest stand for themselves only."""
+    """(v, pos, id) of candidate lines; the shortest stand for themselves only."""
 
     def run(batches):
         for b in batches:
-            own = [b.column(i).to_pylist() for i in range(5)]
             out = []
-            for i, text in enumerate(b.column(5).to_pylist()):
+            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 w = words_of(text)
                 v = neighbourhood(w) if len(w) >= near_words else neighbourhood(w)[:1]
-                out.append((v, np.arange(-1, len(v) - 1), *(np.full(len(v), x[i]) for x in own)))
-            cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 7
+                out.append((v, np.arange(-1, len(v) - 1, dtype=np.int32), np.full(len(v), i)))
+            cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)]
             for s in range(0, max(1, len(cols[0])), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(c[s : s + (1 << 16)].astype(np.int64)) for c in cols], ["v", "pos", *PLACE])
+                yield pa.RecordBatch.from_arrays([pa.array(c[s : s + (1 << 16)]) for c in cols], ["v", "pos", "id"])
 
     return run
 
@@ -138,25 +138,29 @@ def near_classes(docs: DataFrame, classes: DataFrame, near_words: int = NEAR_WOR
     shared = keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key")
     found = keyed.join(shared, "key", "left_semi").select("h", "g").distinct()
     where = classes.select(PLACE).join(found, ["h", "g"], "left_semi")
-    places = where.groupBy("d", "row").agg(F.collect_list(F.struct("h", "g", "line")).alias("places"))
+    # a table, whose size Spark knows: while it is small the texts need not be shuffled
+    places = saved(where.groupBy("d", "row").agg(F.collect_list(F.struct("h", "g", "line")).alias("places")), "lines-places")
+    free(docs.sparkSession)
     text = docs.where("text IS NOT NULL").select(*row_key(), F.col("text").cast("string").alias("text"))
     cand = text.join(places, ["d", "row"]).select("d", "row", let(F.split("text", "\n", -1), lambda x: F.transform("places", lambda p: F.struct(p["h"].alias("h"), p["g"].alias("g"), p["line"].alias("line"), F.get(x, p["line"]).alias("words")))).alias("p"))
     cand = cand.select("d", "row", F.explode("p").alias("p")).select("p.h", "p.g", "d", "row", "p.line", "p.words")
-    cand = saved(cand.dropDuplicates(["h", "g"]), "lines-candidates")
-    v = saved(map_batches(cand.select(*PLACE, "words"), _variants(near_words), "v long, pos long, " + ", ".join(f"{c} long" for c in PLACE)), "lines-variants")
-    at = F.struct("d", "row", "line", "h", "g")
-    cut, whole = v.where("pos >= 0").select("v", "pos", at.alias("me")), v.where("pos < 0").select("v", at.alias("whole"))
-    first = cut.groupBy("v", "pos").agg(F.min("me").alias("first"), F.max("me").alias("last")).where("first <> last").drop("last")
-    a = cut.join(first, ["v", "pos"]).where("me > first").select("me", F.col("first").alias("to"))
+    # numbered in order of their first places, so that one number stands for line and place
+    cand = cand.dropDuplicates(["h", "g"]).orderBy("d", "row", "line").select(F.monotonically_increasing_id().alias("id"), "h", "g", "words")
+    cand = saved(cand, "lines-candidates")
+    free(docs.sparkSession)
+    v = saved(map_batches(cand.select("id", "words"), _variants(near_words), "v long, pos int, id long"), "lines-variants")
+    cut, whole = v.where("pos >= 0"), v.where("pos < 0").select("v", F.col("id").alias("whole"))
+    first = cut.groupBy("v", "pos").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").drop("last")
+    a = cut.join(first, ["v", "pos"]).where("id > first").select("id", F.col("first").alias("to"))
     # of the lines that have this one as a variant, the earliest; and those that come after it
-    b = whole.join(cut.groupBy("v").agg(F.min("me").alias("first")), "v").where("first < whole").select(F.col("whole").alias("me"), F.col("first").alias("to"))
-    c = cut.join(whole, "v").where("whole < me").select("me", F.col("whole").alias("to"))
-    pairs = a.unionByName(b).unionByName(c).select("me.h", "me.g", F.col("to.h").alias("th"), F.col("to.g").alias("tg")).distinct()
-    words = cand.select("h", "g", "words")
-    both = pairs.join(words, ["h", "g"]).join(words.select(F.col("h").alias("th"), F.col("g").alias("tg"), F.col("words").alias("other")), ["th", "tg"])
+    b = whole.join(cut.groupBy("v").agg(F.min("id").alias("first")), "v").where("first < whole").select(F.col("whole").alias("id"), F.col("first").alias("to"))
+    c = cut.join(whole, "v").where("whole < id").select("id", F.col("whole").alias("to"))
+    pairs = a.unionByName(b).unionByName(c).distinct()
+    both = pairs.join(cand, "id").join(cand.select(F.col("id").alias("to"), F.col("words").alias("other")), "to")
     out = saved(map_batches(both.select("h", "g", "words", "other"), _verified, "h long, g long").distinct(), "lines-near")
-    release(v)
-    release(cand)
+    free(docs.sparkSession)
+    for x in (v, cand, places):
+        release(x)
     return out
 
 
@@ -166,13 +170,14 @@ def dropped_lines(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     place = F.struct("d", "row", "line")
     classes = lines.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.first("keys").alias("keys"))
     classes = saved(classes.select("h", "g", "first.d", "first.row", "first.line", (F.col("last") != F.col("first")).alias("again"), "keys"), "lines-classes")
+    free(docs.sparkSession)
     near = near_classes(docs, classes, near_words)
     # only classes that lose a line are joined back
     gone = classes.select(*PLACE, "again").join(near.withColumn("near", F.lit(True)), ["h", "g"], "left").where("again OR near").select("h", "g", place.alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
     out = saved(lines.select(PLACE).join(gone, ["h", "g"]).where(F.col("near") | (place != F.col("first"))).select("d", "row", "line").distinct(), "lines-dropped")
-    release(lines)
-    release(classes)
-    release(near)
+    for x in (lines, classes, near):
+        release(x)
+    free(docs.sparkSession)
     return out
 
 
