@@ -287,7 +287,7 @@ def test_grammar_round_trip_and_random_access():
     ids = np.array([r.randrange(40) for _ in range(20000)], np.int64)
     seq, rounds = tokenstore.compress(ids, None, None, 12, 0)
     left = collections.Counter(zip(seq.tolist(), seq[1:].tolist(), strict=False))
-    assert max(left.values()) < 2 * 12 and len(seq) < len(tokenstore.compress(ids)[0])
+    assert max(left.values()) < 2 * 12 and len(seq) < len(tokenstore.compress(ids, 1)[0])
     assert tokenstore.expand(seq, int(ids.max()) + 1, rounds).tolist() == ids.tolist()
 
 
