@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -835,6 +836,45 @@ def test_local_search_empties_bins():
         assert len(got) <= len(packing.best_fit(sizes, 40)[0])
 
 
+def test_local_search_takes_the_largest_gain_and_few_seconds():
+    """Steps against trying every exchange; the bound against all packings; time by the number of bins."""
+    r = random.Random(11)
+    for _ in range(200):
+        n = [r.randint(1, 9) for _ in range(r.randint(2, 30))]
+        bins, room = packing.best_fit(n, 24)
+        index = packing.Index(n, 24)
+        for b in range(1, len(bins)):
+            index.put(b, bins[b], room[b])
+        for b in range(1, len(bins)):
+            if r.random() < 0.3:
+                index.drop(b, bins[b], room[b])
+                room[b] = 0
+        one, two = sorted({n[i] for i in bins[0]}), sorted({n[i] + n[j] for i in bins[0] for j in bins[0] if i < j})
+        gains = [0]
+        for b in range(1, len(bins)):
+            sums = [{0}, {n[i] for i in bins[b]}, {n[i] + n[j] for i in bins[b] for j in bins[b] if i < j}]
+            gains += [x - y for k, out in ((0, one), (1, one), (2, one), (1, two)) for x in out for y in sums[k] if x - y <= room[b]]
+        found = index.best(np.array(one), np.array(two))
+        assert (found[0] if found else 0) == max(gains)
+
+    def fewest(left, bins):
+        if not left:
+            return len(bins)
+        x, rest = left[0], left[1:]
+        tries = [fewest(rest, bins[:i] + [b + x] + bins[i + 1 :]) for i, b in enumerate(bins) if b + x <= 20]
+        return min([*tries, fewest(rest, [*bins, x])])
+
+    for _ in range(60):
+        n = [r.randint(1, 20) for _ in range(7)]
+        assert -(-sum(n) // 20) <= packing.least_bins(n, 20) <= fewest(n, [])
+    sizes = [r.choice((r.randint(560, 999), r.randint(560, 999), r.randint(1, 511))) for _ in range(25_000)]
+    start = time.process_time()
+    got = packing.pack_group(sizes)
+    assert time.process_time() - start < 40
+    assert sorted(i for b in got for i in b) == list(range(25_000)) and max(sum(sizes[i] for i in b) for b in got) <= 1024
+    assert len(got) <= packing.least_bins(sizes, 1024) * 1.02
+
+
 # rows that share a doc_id, have none, or are equal -----------------------------
 def test_odd_rows_of_row_wise_operators(odd_docs, odd_rows):
     """Each row is a row of the result, whatever its doc_id."""

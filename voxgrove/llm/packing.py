@@ -3,7 +3,7 @@
 Documents are encoded where they are read and packed among those of the same task: no text or
 id is shuffled. In a group of pieces, best fit in descending length gives a first packing. While
 it has more bins than the total length needs, documents move from the emptiest bin to others:
-moved, exchanged one for one, or one exchanged for two, each step raising the sum of squared
+moved, exchanged one for one, or one exchanged for two, the largest gain first; each step raises the sum of squared
 fills, until the bin is empty or no step is left; then the next bin's turn comes. Pieces of bins that stay emptier than ``OPEN``
 are packed once more across tasks; those are few rows, dealt evenly.
 
@@ -62,65 +62,125 @@ def best_fit(sizes: list[int], capacity: int) -> tuple[list[list[int]], list[int
     return bins, room
 
 
-def by_length(pieces: list[int], sizes: list[int]) -> dict[int, list[int]]:
-    """A bin's pieces by length: at most 45 lengths, as they add up to 1024."""
-    out: dict[int, list[int]] = {}
+def least_bins(sizes: list[int], capacity: int) -> int:
+    """A bound that no packing is under. For each limit: pieces over half a bin have one each, those of
+    the limit or more fill what is left in bins of pieces that leave so much, or bins of their own."""
+    if not len(sizes):
+        return 0
+    n = np.bincount(sizes, minlength=capacity + 1)
+    many, mass = np.cumsum(n), np.cumsum(n * np.arange(capacity + 1))
+    half = capacity // 2
+    limit = np.arange(half + 1)
+    beside, held = many[capacity - limit] - many[half], mass[capacity - limit] - mass[half]
+    small = mass[half] - np.where(limit > 0, mass[limit - 1], 0)
+    more = -((beside * capacity - held - small) // capacity)
+    return int(many[-1] - many[half] + max(0, more.max()))
+
+
+class Index:
+    """Bins by what can be taken back from them: no piece, one, or two, by their length in all; and
+    for each of these by the bin's room. At most 45 lengths add up to 1024, so a bin has few."""
+
+    def __init__(self, sizes: list[int], capacity: int):
+        self.sizes, self.width = sizes, capacity + 1
+        self.rooms = [[0] * self.width for _ in range(3)]  # bit r: some bin has room r
+        self.reach = np.zeros((3, self.width), np.int64)  # length taken back, and the most room there
+        self.bins: dict[int, set[int]] = {}
+
+    def backs(self, pieces: list[int]) -> set[tuple[int, int]]:
+        n = [self.sizes[i] for i in pieces]
+        out = {(0, 0)} | {(1, a) for a in n}
+        own = sorted(set(n))
+        out.update((2, a + b) for k, a in enumerate(own) for b in own[k + 1 :])
+        if len(own) < len(n):
+            out.update((2, 2 * a) for a in own if n.count(a) > 1)
+        return out
+
+    def put(self, b: int, pieces: list[int], room: int) -> None:
+        for k, t in self.backs(pieces) if room else ():
+            at = (k * self.width + t) * self.width + room
+            if at not in self.bins:
+                self.bins[at] = set()
+                self.rooms[k][t] |= 1 << room
+                self.reach[k, t] = t + self.rooms[k][t].bit_length() - 1
+            self.bins[at].add(b)
+
+    def drop(self, b: int, pieces: list[int], room: int) -> None:
+        for k, t in self.backs(pieces) if room else ():
+            at = (k * self.width + t) * self.width + room
+            self.bins[at].remove(b)
+            if not self.bins[at]:
+                del self.bins[at]
+                self.rooms[k][t] ^= 1 << room
+                left = self.rooms[k][t]
+                self.reach[k, t] = t + left.bit_length() - 1 if left else 0
+
+    def best(self, one: list[int], two: list[int]) -> tuple[int, int, int, int] | None:
+        """(gain, pieces taken back, their length, bin): of all exchanges of one length of ``one`` for
+        none, one or two pieces, or of ``two`` for one, the largest gain; then the bin it fills best."""
+        gain, what = 0, None
+        far = np.maximum.accumulate(self.reach, axis=1)
+        for k, outs in ((0, one), (1, one), (2, one), (1, two)):
+            if len(outs):
+                # the least that can be taken back for each
+                t = np.searchsorted(far[k], outs)
+                gains = outs - t
+                i = int(gains.argmax())
+                if gains[i] > gain:
+                    gain, what = int(gains[i]), (k, int(t[i]))
+        if what is None:
+            return None
+        k, t = what
+        fits = self.rooms[k][t] >> gain
+        room = gain + (fits & -fits).bit_length() - 1
+        return gain, k, t, next(iter(self.bins[(k * self.width + t) * self.width + room]))
+
+
+def taken(pieces: list[int], sizes: list[int], k: int, total: int) -> list[int]:
+    """k of the pieces whose lengths add up to the total."""
+    if k < 2:
+        return next(([i] for i in pieces if sizes[i] == total), []) if k else []
+    seen: dict[int, int] = {}
     for i in pieces:
-        out.setdefault(sizes[i], []).append(i)
-    return out
-
-
-def step(bins: list[list[int]], room: list[int], sizes: list[int], frm: int, to: int) -> bool:
-    """One exchange that fills ``to`` further out of ``frm``: the largest gain of a move, a
-    swap of one for one, of one for two, or of two for one. ``frm`` is no fuller than ``to``,
-    so that any gain raises the sum of squared fills."""
-    free = room[to]
-    give, take = by_length(bins[frm], sizes), by_length(bins[to], sizes)
-    one_out, one_back = list(give), list(take)
-    two_out = [(a, b) for k, a in enumerate(one_out) for b in one_out[k:] if a != b or len(give[a]) > 1]
-    best, what = 0, None
-    for a in one_out:
-        if best < a <= free:
-            best, what = a, ((a,), ())
-        for b in one_back:
-            if best < a - b <= free:
-                best, what = a - b, ((a,), (b,))
-    if best < free:
-        for k, b in enumerate(one_back):
-            for c in one_back[k:]:
-                if b != c or len(take[b]) > 1:
-                    for a in one_out:
-                        if best < a - b - c <= free:
-                            best, what = a - b - c, ((a,), (b, c))
-            for a, d in two_out:
-                if best < a + d - b <= free:
-                    best, what = a + d - b, ((a, d), (b,))
-    if not what:
-        return False
-    out, back = ([by[n].pop() for n in lengths] for by, lengths in zip((give, take), what, strict=True))
-    bins[frm] = [x for x in bins[frm] if x not in out] + back
-    bins[to] = [x for x in bins[to] if x not in back] + out
-    room[frm] += best
-    room[to] -= best
-    return True
+        if total - sizes[i] in seen:
+            return [seen[total - sizes[i]], i]
+        seen[sizes[i]] = i
+    raise ValueError("no two pieces add up")
 
 
 def local_search(bins: list[list[int]], room: list[int], sizes: list[int], capacity: int) -> None:
-    """Empty bins, emptiest first, while there are more than the total length needs. Every fuller bin
-    with room is tried, and what the last try could not empty is left as it has become."""
-    least = -(-sum(capacity - r for r in room) // capacity)
-    used = len(bins)
+    """Empty bins, emptiest first, while there are more than ``least_bins``. The next step is the one of
+    the largest gain into any fuller bin, a move, a swap of one for one, of one for two, or of two for
+    one, so that each raises the sum of squared fills; what has no step left stays as it has become.
+    Steps are looked up, not tried bin by bin, and are fewer than the tokens that bins have room for."""
+    least = least_bins([sizes[i] for b in bins for i in b], capacity)
+    used = sum(map(bool, bins))
+    if used <= least:
+        return
     order = sorted((b for b in range(len(bins)) if room[b]), key=lambda b: -room[b])
-    for k, frm in enumerate(order):
+    index = Index(sizes, capacity)
+    for b in order:
+        index.put(b, bins[b], room[b])
+    for frm in order:
         if used <= least:
             break
-        # again while any step is left
-        moved = True
-        while moved and bins[frm]:
-            moved = False
-            for to in order[k + 1 :]:
-                while bins[frm] and 0 < room[to] <= room[frm] and step(bins, room, sizes, frm, to):
-                    moved = True
+        index.drop(frm, bins[frm], room[frm])
+        while bins[frm]:
+            n = [sizes[i] for i in bins[frm]]
+            one = sorted(set(n))
+            two = {a + b for k, a in enumerate(one) for b in one[k + 1 :]} | {2 * a for a in one if n.count(a) > 1}
+            found = index.best(np.array(one), np.array(sorted(two)))
+            if not found:
+                break
+            gain, k, t, to = found
+            index.drop(to, bins[to], room[to])
+            back = taken(bins[to], sizes, k, t)
+            out = taken(bins[frm], sizes, 1 if gain + t in one else 2, gain + t)
+            bins[frm] = [i for i in bins[frm] if i not in out] + back
+            bins[to] = [i for i in bins[to] if i not in back] + out
+            room[frm] += gain
+            room[to] -= gain
+            index.put(to, bins[to], room[to])
         used -= not bins[frm]
 
 
