@@ -739,6 +739,29 @@ def test_url_filter(spark):
     assert urlfilter.judge(df.limit(0)).count() == 0
 
 
+def test_url_query_keeps_the_slash_of_the_path(spark, tmp_path):
+    """Host, path and rule of the query as its contract says them, character by character."""
+
+    def said(u):
+        at = u.find("://") if u else -1
+        rest = u[at + 3 :] if at >= 0 else ""
+        n = next((i for i, c in enumerate(rest) if c in "/?#"), len(rest))
+        m = next((i for i, c in enumerate(rest) if i >= n and c in "?#"), len(rest))
+        return "".join(c.lower() if c.isascii() else c for c in rest[:n]), rest[n:m]
+
+    r = random.Random(12)
+    bits = ["http", "://", ":", "/", "//", "?", "#", "example.com", "COM", "net", "Example.NET", "org", "/en/", "/de/8", "/es/", "7", "\n", "\r", "\x85", "é", "İ", "😀", ".", " "]
+    urls = [None, "", "http://a.com", "http://a.com/", "http://a.com?/x", "http://a.com//x", "http://a.com/en/7/?q#a"]
+    urls += ["".join(r.choice(bits) for _ in range(r.randint(0, 12))) for _ in range(2000)]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = by_id(entry.op9_url_filter(spark, str(tmp_path)), "page_id")
+    assert len(got) == len(urls)
+    for i, u in enumerate(urls):
+        host, path = said(u)
+        fit = [(len(h) + len(p), f"{h}/{p}") for h, p, _ in urlfilter.RULES if (host == h or host.endswith("." + h)) and path.startswith("/" + p)]
+        assert (got[i]["host"], got[i]["path"], got[i]["rule"]) == (host, path, max(fit)[1] if fit else None), u
+
+
 def _features(u):
     """The url features, by hand."""
     host, path, *_ = _rule(u)
