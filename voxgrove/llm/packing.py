@@ -2,10 +2,10 @@
 
 Documents are encoded where they are read and packed among those of the same task: no text or
 id is shuffled. In a group of pieces, best fit in descending length gives a first packing. While
-it has more bins than the total length needs, documents move from the emptiest bin to others:
-moved, exchanged one for one, or one exchanged for two, the largest gain first; each step raises the sum of squared
-fills, until the bin is empty or no step is left; then the next bin's turn comes. Pieces of bins that stay emptier than ``OPEN``
-are packed once more across tasks; those are few rows, dealt evenly.
+it has more bins than a lower bound, documents move from the emptiest bin to others: moved,
+exchanged one for one, one for two, or two for one, the largest gain first. Each step raises the sum
+of squared fills, until the bin is empty or no step is left; then the next bin's turn comes. Pieces of
+bins that stay emptier than ``OPEN`` are packed once more across tasks: in one task up to twice ``GROUP``.
 
 Null or empty texts are one end id. Null doc_ids and repeated rows are packed as any other.
 Other columns are ignored. An empty table gives none.
