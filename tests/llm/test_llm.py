@@ -6,10 +6,13 @@ import math
 import random
 import re
 import time
+import tracemalloc
+import types
 import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -525,6 +528,53 @@ def test_katz_one_hot_pair_and_passage(spark, monkeypatch):
     _same_scores(katz.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect(), _katz(rows))
 
 
+def _katz_worker(texts, monkeypatch):
+    """(rows of a map task, plan) in this process, and a function that gives a bucket's task the rows."""
+    monkeypatch.setattr(katz.TaskContext, "get", lambda: types.SimpleNamespace(partitionId=lambda: 0))
+    counts = collections.Counter(w for t in texts for w in [*t.encode().split(), katz.END])
+    of = sorted((katz.key_of(w), n) for w, n in counts.items())
+    h, n = np.array([k for k, _ in of], np.uint64), np.array([n for _, n in of], np.int64)
+    total = int(n.sum())
+    plan = katz.Plan(types.SimpleNamespace(value=(h.tobytes(), n.tobytes())), katz.Unigrams(total, collections.Counter(n.tolist())), len(n), len(texts), 3, max(1, -(-total // katz.BUCKET)), katz.BUCKET)
+    table = pa.table({"doc_id": range(len(texts)), "text": texts, "held_out": [i % 5 == 1 for i in range(len(texts))]})
+    sent = lambda: (r for b in katz.dispatch(table.to_batches(100), plan, True) for r in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
+    return sent, plan
+
+
+def test_katz_workers_stay_small(monkeypatch):
+    """A map task and a bucket of full size, in memory that leaves an executor's two workers room."""
+    r = np.random.default_rng(3)
+    words = (200_000 * r.random(1_300_000) ** 3).astype(int)
+    texts = [" ".join(f"w{x}" for x in words[i : i + 500]) for i in range(0, len(words), 500)]
+    sent, plan = _katz_worker(texts, monkeypatch)
+    most = []
+    tracemalloc.start()
+    try:
+        rows = [x for x in sent() if x[0] == katz.MODEL and x[1] == 0]
+        most.append(tracemalloc.get_traced_memory()[1] >> 20)
+        batches = [katz.rows_of([x]) for x in rows]
+        del rows
+        tracemalloc.reset_peak()
+        for _ in katz.count_buckets(iter(batches), plan):
+            pass
+        most.append(tracemalloc.get_traced_memory()[1] >> 20)
+    finally:
+        tracemalloc.stop()
+    assert most[0] < 180 and most[1] < 200, most
+
+
+def test_katz_bigrams_of_split_words_travel_packed(monkeypatch):
+    """What a split word's buckets send does not have a row for each of its bigrams."""
+    monkeypatch.setattr(katz, "BUCKET", 2000)
+    sent, plan = _katz_worker([" ".join(f"u{i % 7} hot x{i * 40 + j}" for j in range(40)) for i in range(150)], monkeypatch)
+    by = collections.defaultdict(list)
+    for kind, key, payload in sent():
+        if kind == katz.MODEL:
+            by[key].append((kind, key, payload))
+    n = collections.Counter(k for b in sorted(by) for x in katz.count_buckets(iter([katz.rows_of(by[b])]), plan) for k in x.column(0).to_pylist())
+    assert len(by) > 5 and sum(n.values()) < 1500, n  # of 6,000 bigrams of hot
+
+
 @pytest.mark.parametrize("n", [{}, {1: 1}, {3: 7}, {1: 9, 2: 9}, {1: 5, 2: 8, 3: 9, 4: 20, 5: 40, 6: 90}, {r: 10**6 // r**2 for r in range(1, 90)}, {1: 20000, 2: 7000, 3: 3600, 4: 2407, 5: 2203, 6: 1500}])
 def test_good_turing_is_always_valid(n):
     d = katz.discounts(n)

@@ -153,6 +153,13 @@ def trim() -> None:
         give(0)
 
 
+def lean() -> None:
+    """Have arrays of over a megabyte given back as soon as they are freed, whatever the heap's state."""
+    option = getattr(ctypes.CDLL(None), "mallopt", None)
+    if option:
+        option(-3, 1 << 20)  # M_MMAP_THRESHOLD
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is evaluated once per row, whatever the optimizer inlines."""
     return F.transform(F.array(value), body)[0]

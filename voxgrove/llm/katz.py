@@ -10,7 +10,7 @@ Higher orders. Every text is start marks, its words, an end. What a flush of tex
 n-gram travels once, with its training count and the documents it stands in, to the bucket of
 the word before its last. So all contexts that end in that word are in one bucket, and with
 them what they back off to. A word with more than half a bucket's tokens is split by the word before
-it; its bigram counts alone are then partial, and are added up and given back by joins. A bucket
+it; its bigram counts alone are then partial, and travel packed to tasks that add them up and reply. A bucket
 adds up its n-grams, then goes through its flushes again, one at a time, and writes tables,
 partitioned by kind: the n-gram counts; sums for each document; and what waits: contexts
 whose backoff weight is asked for, and words and bigrams whose counts are. When all are written,
@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, pack, release, saved, scratch_dir, spread, trim, unpack, words_of
+from .common import lean, map_batches, pack, release, saved, scratch_dir, spread, trim, unpack, words_of
 
 ORDER = 3
 #: Counts that are discounted; counts of counts that the discounts are fitted to.
@@ -52,15 +52,16 @@ K, FIT = 5, 40
 #: Words that are broadcast at most, 16 bytes each; the steps of an octave that counts are cut into.
 TOP, STEPS = 1 << 20, 16
 #: Tokens that are handled at once in a map task, tokens of a bucket, and buckets of one task.
-FLUSH, BUCKET, TOGETHER = 1_200_000, 800_000, 5
+FLUSH, BUCKET, TOGETHER = 700_000, 800_000, 2
+#: Parts of one in which sums of probabilities travel, so that they add up the same in any order.
+FIXED = 1 << 60
 #: Distinct n-grams that a bucket holds before it adds up equal ones.
 MERGE = 600_000
 END = b"\n"  # no word has it
 #: Ids: the start mark, the first of the broadcast words; hashes lie above.
 START, FIRST, HASHED = 1, 2, 1 << 32
-DOCS, PART, WAIT, MODEL, ITEM, DONE = range(6)
-WORD, PAIR = 0, 1  # what an item asks the count of
-ROWS = "kind int, key long, payload binary, what int, idx int, v long, w long, n long, own long"
+DOCS, PART, WAIT, MODEL, WORD, PAIR, SUM, FAR, REPLY, DONE = range(10)
+ROWS = "kind int, key long, payload binary, what int, idx int, v long, w long, n long"
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -125,30 +126,33 @@ def documents(docs: DataFrame) -> DataFrame:
 
 def count_words(docs: DataFrame) -> DataFrame:
     """(h, n): training counts by the word's XXH64."""
+    return map_batches(docs.where(~F.col("held_out")).select("text"), word_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
-    def run(batches):
-        counts: dict[bytes, int] = {}
-        seen = 0
 
-        def flush():
-            h = np.fromiter(map(key_of, counts), np.uint64, len(counts)).view(np.int64)
-            n = np.fromiter(counts.values(), np.int64, len(counts))
-            for i in range(0, len(h), 1 << 17):
-                yield pa.RecordBatch.from_arrays([pa.array(h[i : i + (1 << 17)]), pa.array(n[i : i + (1 << 17)])], ["h", "n"])
+def word_counts(batches):
+    """Counts of some texts at a time."""
+    lean()
+    counts: dict[bytes, int] = {}
+    seen = 0
 
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                w = words_of(t)
-                w.append(END)
-                for x in w:
-                    counts[x] = counts.get(x, 0) + 1
-                seen += len(w)
-            if seen > 2 * FLUSH:
-                yield from flush()
-                counts, seen = {}, 0
-        yield from flush()
+    def flush():
+        h = np.fromiter(map(key_of, counts), np.uint64, len(counts)).view(np.int64)
+        n = np.fromiter(counts.values(), np.int64, len(counts))
+        counts.clear()
+        for i in range(0, len(h), 1 << 17):
+            yield pa.RecordBatch.from_arrays([pa.array(h[i : i + (1 << 17)]), pa.array(n[i : i + (1 << 17)])], ["h", "n"])
 
-    return map_batches(docs.where(~F.col("held_out")).select("text"), run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    for b in batches:
+        for t in b.column(0).to_pylist():
+            w = words_of(t)
+            w.append(END)
+            for x in w:
+                counts[x] = counts.get(x, 0) + 1
+            seen += len(w)
+        if seen > 2 * FLUSH:
+            yield from flush()
+            seen = 0
+    yield from flush()
 
 
 class Words:
@@ -171,12 +175,6 @@ class Words:
         out[own] = self.n[(ids[own] - np.uint64(FIRST)).astype(np.int64)]
         return out
 
-    def hashes(self, ids: np.ndarray) -> np.ndarray:
-        own = (ids >= FIRST) & (ids < HASHED)
-        out = ids.copy()
-        out[own] = self.h[(ids[own] - np.uint64(FIRST)).astype(np.int64)]
-        return out
-
 
 class Plan:
     """What every task knows: the words, the unigrams, the order, the buckets."""
@@ -192,6 +190,11 @@ class Plan:
         """Into how many buckets a word is split."""
         return np.maximum(1, -(-2 * counts // self.bucket))
 
+    def pair_slots(self, v: np.ndarray, w: np.ndarray, words: Words) -> np.ndarray:
+        """Where the bigrams of split words are added up: 16 places for the square root of a word's buckets."""
+        slots = self.slots(np.where(v == START, self.starts, words.counts(v)))
+        return mix(v, spread(w) % (16 * np.ceil(np.sqrt(slots))).astype(np.uint64)).view(np.int64)
+
 
 def mix(a: np.ndarray, b) -> np.ndarray:
     """One hash of two numbers."""
@@ -237,15 +240,24 @@ def rows_of(rows: list[tuple]) -> pa.RecordBatch:
     """Rows (kind, key, payload)."""
     kinds, keys, payloads = zip(*rows, strict=True) if rows else ((), (), ())
     n = len(rows)
-    return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(keys, pa.int64()), pa.array(payloads, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.int64())] * 4], [c.split()[0] for c in ROWS.split(", ")])
+    return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(keys, pa.int64()), pa.array(payloads, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.int64())] * 3], [c.split()[0] for c in ROWS.split(", ")])
+
+
+def table_of(kind: int, k: int, **columns: np.ndarray) -> pa.RecordBatch:
+    """k rows without payload."""
+    empty = {"payload": pa.binary(), "what": pa.int32(), "idx": pa.int32()}
+    columns = {"kind": np.full(k, kind, np.int32)} | columns
+    names = [c.split()[0] for c in ROWS.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(columns[c]) if c in columns else pa.nulls(k, empty.get(c, pa.int64())) for c in names], names)
+
 
+def asks_of(bucket: int, idx: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
+    """Rows that ask for the counts of words that are not broadcast."""
+    return table_of(WORD, len(idx), key=np.full(len(idx), bucket), idx=idx.astype(np.int32), w=w.view(np.int64))
 
-def items_of(bucket: int, what: int, idx: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
-    """Rows that ask for a count, idx >= 0, or add to one, n > 0; ``own`` is the count of the word w, -1
-    where that is not broadcast."""
-    k = len(idx)
-    whole = lambda x, kind: pa.array(np.full(k, x, kind))
-    return pa.RecordBatch.from_arrays([whole(ITEM, np.int32), whole(bucket, np.int64), pa.nulls(k, pa.binary()), whole(what, np.int32), pa.array(idx.astype(np.int32)), pa.array(v.view(np.int64)), pa.array(w.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(own.astype(np.int64))], [c.split()[0] for c in ROWS.split(", ")])
+
+def counts_of(kind: int, what: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return table_of(kind, len(n), what=what.astype(np.int32), v=v, w=w, n=n)
 
 
 def gaps(a: np.ndarray) -> np.ndarray:
@@ -254,6 +266,7 @@ def gaps(a: np.ndarray) -> np.ndarray:
 
 def dispatch(batches, plan: Plan, learn: bool):
     """Rows of a flush's documents, and of its n-grams by bucket."""
+    lean()
     words, uid = plan.words(), TaskContext.get().partitionId() << 20
     one = np.uint64(1)
     for doc_ids, out, sizes, tokens, ids in flushes(batches, words):
@@ -276,14 +289,16 @@ def dispatch(batches, plan: Plan, learn: bool):
             h[place < j] = start
             columns.append(h)
         columns.insert(1, tokens)
+        del h, place, often, tokens
         v = columns[0]
         slots = plan.slots(counts)
-        bucket = (spread(ids) % np.uint64(plan.buckets)).astype(np.int64)[v]
+        bucket = (spread(ids) % np.uint64(plan.buckets)).astype(np.int32)[v]
         hot = np.flatnonzero(slots[v] > 1)
         by = ids[columns[2 if plan.order > 2 else 1][hot]]
         salt = spread(by) % slots[v[hot]].astype(np.uint64) + one
         with np.errstate(over="ignore"):
-            bucket[hot] = (spread(ids[v[hot]] * np.uint64(31) + salt) % np.uint64(plan.buckets)).astype(np.int64)
+            bucket[hot] = (spread(ids[v[hot]] * np.uint64(31) + salt) % np.uint64(plan.buckets)).astype(np.int32)
+        del v, hot, by, salt
         # equal n-grams together, their documents in order; then by bucket
         key = columns[0].astype(np.int64)
         for c in columns[1:]:
@@ -298,8 +313,9 @@ def dispatch(batches, plan: Plan, learn: bool):
         entry = np.flatnonzero(new | np.r_[True, np.diff(doc) != 0])
         times = np.diff(np.r_[entry, len(key)])
         gram = np.flatnonzero(new)
-        of = np.cumsum(new)[entry] - 1  # the n-gram of an entry
-        columns = [c[order][gram] for c in columns]
+        of = (np.cumsum(new, dtype=np.int32) - 1)[entry]  # the n-gram of an entry
+        key = order = order[gram]
+        columns = [c[order] for c in columns]
         doc, trains = doc[entry], times * (~out[doc[entry]] & learn)
         count = np.bincount(of, trains, len(gram)).astype(np.int64)
         home = bucket[gram]
@@ -317,6 +333,7 @@ def dispatch(batches, plan: Plan, learn: bool):
                 yield rows_of(rows)
                 rows = []
         yield rows_of(rows)
+        rows = []
         uid += 1
 
 
@@ -330,7 +347,7 @@ class Grams:
             ids = np.cumsum(ids.view(np.uint64), dtype=np.uint64)
         self.columns = [ids[np.cumsum(first)], *(ids[c] for c in rest[: order - 1])]
         self.count, of, self.doc, self.times = rest[order - 1 :]
-        self.of, self.times = np.cumsum(of), self.times + 1
+        self.of, self.doc, self.times = np.cumsum(of), self.doc.astype(np.int32), (self.times + 1).astype(np.int32)
 
     def keys(self) -> list[np.ndarray]:
         """Hashes of the n-grams of 2, 3, ... words."""
@@ -369,7 +386,7 @@ def find(keys: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 def classes(group: np.ndarray, r: np.ndarray, n: int) -> list[np.ndarray]:
     """For each of n groups how many members have r = 1..K, and the sum of those above."""
-    return [*(np.bincount(group[r == k], minlength=n) for k in range(1, K + 1)), np.bincount(group[r > K], r[r > K], n).astype(np.int64)]
+    return [*(np.bincount(group[r == k], minlength=n).astype(np.int32) for k in range(1, K + 1)), np.bincount(group[r > K], r[r > K], n).astype(np.int64)]
 
 
 class Level:
@@ -395,10 +412,11 @@ def levels_of(cols: list[np.ndarray], count: np.ndarray, order: int) -> tuple[di
     out, rep, r_of, total_of = {}, {}, None, None
     for n in range(2, order + 1):
         own, first, group = np.unique(keys[n - 2], return_index=True, return_inverse=True)
+        keys[n - 2] = None
         r = np.bincount(group, count, len(own)).astype(np.int64)
         lower, below = (r_of[first], total_of[first]) if n > 2 else (None, None)
         level = out[n] = Level(own, contexts[n - 2][first], r, lower, below)
-        rep[n] = first
+        rep[n], contexts[n - 2] = first, None
         r_of = r[group]
         total_of = level.total[level.group][group]
     return out, rep
@@ -454,17 +472,18 @@ def count_bucket(bucket: int, got: list[bytes], plan: Plan, words: Words, add):
             asks[n][todo] = find(own.context, contexts[n - 2][todo])
         of, doc, times = g.of, g.doc, g.times
         add(g.uid, doc, s[of] * times, which[of], times)
-        put = lambda held, e, ref, src=src, doc=doc, times=times: held.append((ref, np.full(len(e), src), doc[e], times[e]))
+        put = lambda held, e, ref, src=src, doc=doc, times=times: held.append((ref.astype(np.int32), np.full(len(e), src, np.int32), doc[e], times[e]))
         for n in range(2, order + 1):
             if (asks[n] >= 0).any():
                 e = np.flatnonzero(asks[n][of] >= 0)
                 put(waits[n], e, asks[n][of[e]])
         if (c1 < 0).any():
             e = np.flatnonzero((c1 < 0)[of])
-            rare.append((g.columns[1][of[e]], np.full(len(e), src), doc[e], times[e], (level == 1)[of[e]]))
+            rare.append((g.columns[1][of[e]], np.full(len(e), src, np.int32), doc[e], times[e], (level == 1)[of[e]]))
         if (level == 0).any():
             e = np.flatnonzero((level == 0)[of])
-            pending.append((g.columns[0][of[e]], g.columns[1][of[e]], np.full(len(e), src), doc[e], times[e]))
+            pending.append((g.columns[0][of[e]], g.columns[1][of[e]], np.full(len(e), src, np.int32), doc[e], times[e]))
+    got.clear()
     # what resolving needs of each order's contexts
     parts = [np.array(uids, np.int64)]
     lists: list[np.ndarray] = []
@@ -475,6 +494,7 @@ def count_bucket(bucket: int, got: list[bytes], plan: Plan, words: Words, add):
     for n in range(2, order + 1):
         own = levels[n]
         ref, src, doc, times = (np.concatenate(c) for c in zip(*waits[n], strict=True)) if waits[n] else [none] * 4
+        del waits[n]
         used, ref = np.unique(ref, return_inverse=True)
         parts += [ref, src, doc, times, own.total[used], *(x[used] for x in own.stats)]
         back = np.full(len(own.context), -1)
@@ -502,9 +522,9 @@ def count_bucket(bucket: int, got: list[bytes], plan: Plan, words: Words, add):
     ask_v, ask_w = np.concatenate([hot_pairs[1], pending[0]]), np.concatenate([hot_pairs[2], pending[1]])
     every_v, every_w = np.concatenate([*pair_v, ask_v]), np.concatenate([*pair_w, ask_w])
     n_of = np.concatenate([*pair_n, np.zeros(len(ask_v), np.int64)])
-    pair_key = mix(every_v, every_w)
-    pair, first, group = np.unique(pair_key, return_index=True, return_inverse=True)
+    pair, first, group = np.unique(mix(every_v, every_w), return_index=True, return_inverse=True)
     partial = np.bincount(group, n_of, len(pair)).astype(np.int64)
+    every_v, every_w = every_v[first], every_w[first]
     ask = np.unique(group[len(group) - len(ask_v) :])
     number = np.full(len(pair), -1)
     number[ask] = np.arange(len(ask))
@@ -514,21 +534,80 @@ def count_bucket(bucket: int, got: list[bytes], plan: Plan, words: Words, add):
     lists += [np.searchsorted(asked, rare[0]), rare[1], rare[2], rare[3], rare[4].astype(np.int64)]
     lists += [pending[0].view(np.int64), to[len(hot_pairs[0]) :], c1, np.where(c1 < 0, np.searchsorted(asked, pending[1]), 0), pending[2], pending[3], pending[4]]
     tally = [np.bincount(np.minimum(levels[n].r[~hot_of[rep[n]]] if n == 2 else levels[n].r, FIT + 1), minlength=FIT + 2)[: FIT + 1] for n in range(2, order + 1)]
-    yield rows_of([(WAIT, bucket, bundle(np.concatenate(tally), *parts, *lists))])
+    payload = bundle(np.concatenate(tally), *parts, *lists)
+    del parts, lists, levels, own, two, rep, rare, pending, rare_pairs, hot_pairs, ref, src, doc, times, member, inner, pair_v, pair_w, pair_n, group, n_of, to, ask_v, ask_w
+    yield rows_of([(WAIT, bucket, payload)])
+    del payload
     used, at = np.unique(np.concatenate(cols), return_inverse=True) if len(count) else (np.zeros(0, np.uint64), none)
-    at = at.reshape(order, -1)
+    del cols
+    at = at.astype(np.int32).reshape(order, -1)
     by = np.lexsort(at[::-1])
     yield rows_of([(MODEL, bucket, bundle(np.array([-1]), gaps(used).view(np.int64), gaps(at[0][by]), *(a[by] for a in at[1:]), count[by], none, none, none))])
+    del used, at, by, count
     for i in range(0, len(asked), 1 << 16):
         some = asked[i : i + (1 << 16)]
-        yield items_of(bucket, WORD, np.arange(i, i + len(some)), np.zeros(len(some), np.uint64), some, np.zeros(len(some)), np.full(len(some), -1))
-    for i in range(0, len(pair), 1 << 16):
-        j = slice(i, i + (1 << 16))
-        yield items_of(bucket, PAIR, number[j], every_v[first][j], words.hashes(every_w[first][j]), partial[j], words.counts(every_w[first][j]))
+        yield asks_of(bucket, np.arange(i, i + len(some)), some)
+    place = plan.pair_slots(every_v, every_w, words)
+    by = np.argsort(place, kind="stable")
+    cuts = np.flatnonzero(np.r_[True, np.diff(place[by]) != 0, True]) if len(by) else [0]
+    rows = []
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        e = by[i:j]
+        rows.append((PAIR, int(place[e[0]]), bundle(np.array([bucket]), every_v[e].view(np.int64), every_w[e].view(np.int64), partial[e], number[e])))
+    if rows:
+        yield rows_of(rows)
+
+
+def add_pairs(batches, plan: Plan):
+    """Counts of split words' bigrams, which come packed and sorted by place: (SUM, what, v, n), how many
+    bigrams of v were counted what = 1..FIT times, the sum of higher counts at FIT + 1, and at 0 the unigram
+    probabilities of the words after v, in ``FIXED`` parts, as far as broadcast; (FAR, v, w, n), the
+    bigrams whose w is not; (REPLY, bucket, numbers and counts)."""
+    lean()
+    words = plan.words()
+
+    def flush(got):
+        v, w, n = (np.concatenate([p[k] for p in got]) for k in (1, 2, 3))
+        _, first, group = np.unique(mix(v.view(np.uint64), w.view(np.uint64)), return_index=True, return_inverse=True)
+        c = np.bincount(group, n, len(first)).astype(np.int64)
+        rows, at = [], 0
+        for p in got:
+            number, own = p[4], c[group[at : at + len(p[4])]]
+            at += len(number)
+            asked = number >= 0
+            if asked.any():
+                rows.append((REPLY, int(p[0][0]), bundle(number[asked], own[asked])))
+        if rows:
+            yield rows_of(rows)
+        v, w = v[first][c > 0], w[first][c > 0]
+        c = c[c > 0]
+        n1 = words.counts(w.view(np.uint64))
+        far = n1 < 0
+        if far.any():
+            yield counts_of(FAR, np.zeros(int(far.sum()), np.int64), v[far], w[far], c[far])
+        own, of = np.unique(v, return_inverse=True)
+        cell = of * (FIT + 2) + np.minimum(c, FIT + 1)
+        size = len(own) * (FIT + 2)
+        table = np.bincount(cell, np.where(c > FIT, c, 1), size).astype(np.int64)
+        table[:: FIT + 2] = np.rint(np.bincount(of[~far], plan.uni.p(n1[~far]), len(own)) * FIXED).astype(np.int64)
+        some = np.flatnonzero(table)
+        yield counts_of(SUM, some % (FIT + 2), own[some // (FIT + 2)], np.zeros(len(some), np.int64), table[some])
+
+    now, got = None, []
+    for b in batches:
+        for key, payload in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            if key != now and got:
+                yield from flush(got)
+                got = []
+            now = key
+            got.append(unbundle(payload))
+    if got:
+        yield from flush(got)
 
 
 def count_buckets(batches, plan: Plan):
     """Rows come sorted by kind and bucket."""
+    lean()
     words = plan.words()
     wide = (plan.order - 1) * K + 1
     sums: dict[int, np.ndarray] = {}
@@ -590,26 +669,30 @@ def seen(c: np.ndarray, d: np.ndarray) -> np.ndarray:
 def resolve(batches, plan: Plan, d: dict[int, np.ndarray], hot: dict[int, tuple[float, float]]):
     """Scores of what waits: rows (DONE, uid, documents, score, base, known). The counts of a bucket come
     before its payload. ``hot``: total and backoff weight of the split words."""
-    order = plan.order
-    word_n: dict[int, np.ndarray] = {}
-    replies: list[tuple] = []
+    lean()
+    asked: list[tuple] = []
+    pairs: list[tuple] = []
+
+    def array(replies):
+        idx, n = (np.concatenate(c) for c in zip(*replies, strict=True)) if replies else [np.zeros(0, np.int64)] * 2
+        out = np.zeros(int(idx.max()) + 1 if len(idx) else 0, np.int64)
+        out[idx] = n
+        replies.clear()
+        return out
+
     for b in batches:
-        whole = b.column(2).is_null().to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero(np.diff(whole)) + 1).tolist(), b.num_rows] if b.num_rows else [0]
+        kinds = b.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(kinds)) + 1).tolist(), b.num_rows] if b.num_rows else [0]
         for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-            if i == j:
-                continue
-            if whole[i]:
-                replies.append(tuple(b.column(k).slice(i, j - i).to_numpy() for k in (3, 4, 7)))
+            if kinds[i] == WORD:
+                asked.append(tuple(b.column(k).slice(i, j - i).to_numpy() for k in (4, 7)))
                 continue
             for k in range(i, j):
-                what, idx, n = (np.concatenate(c) for c in zip(*replies, strict=True)) if replies else [np.zeros(0, np.int64)] * 3
-                replies = []
-                for kind in (WORD, PAIR):
-                    mine = what == kind
-                    word_n[kind] = np.zeros(int(idx[mine].max()) + 1 if mine.any() else 0, np.int64)
-                    word_n[kind][idx[mine]] = n[mine]
-                yield from settled(b.column(2)[k].as_py(), plan, d, hot, word_n[WORD], word_n[PAIR])
+                payload = b.column(2)[k].as_py()
+                if kinds[i] == REPLY:
+                    pairs.append(tuple(unbundle(payload)))
+                else:
+                    yield from settled(payload, plan, d, hot, array(asked), array(pairs))
 
 
 def settled(payload: bytes, plan: Plan, d, hot, word_n: np.ndarray, pair_n: np.ndarray):
@@ -724,6 +807,10 @@ def _plan(unigrams: DataFrame, order: int) -> Plan:
     return Plan(words, Unigrams(total, low), types, end[0] if end else 0, order, max(1, -(-total // BUCKET)), BUCKET)
 
 
+def _tasks(plan: Plan) -> int:
+    return max(1, -(-plan.buckets // TOGETHER))
+
+
 def _counted(rows: DataFrame, plan: Plan, learn: bool, model: DataFrame | None = None) -> DataFrame:
     """The tables of kinds, of documents that are learned from or of a model's n-grams."""
     sent = map_batches(rows, lambda b: dispatch(b, plan, learn), ROWS)
@@ -737,7 +824,7 @@ def _counted(rows: DataFrame, plan: Plan, learn: bool, model: DataFrame | None =
 
 
 def _discounts(tables: DataFrame, plan: Plan, unigrams: DataFrame) -> tuple[dict[int, np.ndarray], dict[int, tuple[float, float]], DataFrame]:
-    """(discounts by order, total and backoff weight of the split words, counts of their bigrams)."""
+    """(discounts by order, total and backoff weight of the split words, sums of their bigrams)."""
 
     def tally(batches):
         for b in batches:
@@ -746,39 +833,43 @@ def _discounts(tables: DataFrame, plan: Plan, unigrams: DataFrame) -> tuple[dict
                 order, r = np.nonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array(order + 2), pa.array(r), pa.array(n[order, r])], ["level", "r", "n"])
 
-    pairs = tables.where((F.col("kind") == ITEM) & (F.col("what") == PAIR))
-    totals = saved(pairs.where("n > 0").groupBy("v", "w").agg(F.sum("n").alias("c"), F.max("own").alias("own")), "katz-pairs")
+    sent = tables.where(F.col("kind") == PAIR).select([c.split()[0] for c in ROWS.split(", ")]).repartition(_tasks(plan), "key").sortWithinPartitions("key")
+    pairs = saved(sent.mapInArrow(lambda b: add_pairs(b, plan), ROWS), "katz-pairs", by="kind")
+    sums = pairs.where(F.col("kind") == SUM).groupBy("v", "what").agg(F.sum("n").alias("n")).collect()
     few = tables.where(F.col("kind") == WAIT).select("payload").mapInArrow(tally, "level long, r long, n long")
-    few = few.unionByName(totals.where(F.col("c") <= FIT).groupBy(F.col("c").alias("r")).agg(F.count("*").alias("n")).select(F.lit(2).cast("long").alias("level"), "r", "n"))
     of: dict[int, dict[int, int]] = {n: {} for n in range(2, plan.order + 1)}
     for r in few.where("r > 0").groupBy("level", "r").agg(F.sum("n").alias("n")).collect():
         of[r["level"]][r["r"]] = r["n"]
+    for r in sums:
+        if 1 <= r["what"] <= FIT:
+            of[2][r["what"]] = of[2].get(r["what"], 0) + r["n"]
     d = {n: discounts(x) for n, x in of.items()}
     # the split words: two for each bucket at most
     p = F.when(F.col("n") <= K, F.col("n") * F.element_at(F.array(*[F.lit(float(x)) for x in plan.uni.d[1:]]), F.least("n", F.lit(K)).cast("int"))).otherwise(F.col("n")) / plan.uni.whole
     # the counts of broadcast words have come along; only the others are joined
-    far = totals.where("own < 0").join(unigrams.withColumnRenamed("h", "w"), "w").select("v", "c", "n")
-    by = totals.where("own >= 0").select("v", "c", F.col("own").alias("n")).unionByName(far).withColumn("p", p)
-    held = by.groupBy("v").agg(*(F.sum((F.col("c") == k).cast("long")).alias(f"x{k}") for k in range(1, K + 1)), F.sum(F.when(F.col("c") > K, F.col("c")).otherwise(0)).alias("big"), F.sum("c").alias("total"), F.sum("p").alias("mass"))
+    far = pairs.where(F.col("kind") == FAR).select("v", "w").join(unigrams.withColumnRenamed("h", "w"), "w")
+    mass = {r["v"]: r["mass"] for r in far.groupBy("v").agg(F.sum(p).alias("mass")).collect()}
+    by: dict[int, dict[int, int]] = {}
+    for r in sums:
+        by.setdefault(r["v"], {})[r["what"]] = r["n"]
     hot = {}
-    for r in held.collect():
-        stats = [r[f"x{k}"] for k in range(1, K + 1)]
-        whole = r["total"] + (sum(stats) == 0)
-        kept = sum(x * k * d[2][k] for k, x in enumerate(stats, 1)) + r["big"]
-        hot[r["v"]] = whole, (1 - kept / whole) / (1 - r["mass"])
-    return d, hot, totals
+    for v, n in by.items():
+        stats = [n.get(k, 0) for k in range(1, K + 1)]
+        big = sum(k * n.get(k, 0) for k in range(K + 1, FIT + 1)) + n.get(FIT + 1, 0)
+        whole = sum(x * k for k, x in enumerate(stats, 1)) + big + (sum(stats) == 0)
+        kept = sum(x * k * d[2][k] for k, x in enumerate(stats, 1)) + big
+        hot[v] = whole, (1 - kept / whole) / (1 - n.get(0, 0) / FIXED - mass.get(v, 0.0))
+    return d, hot, pairs
 
 
 def _scored(tables: DataFrame, plan: Plan, unigrams: DataFrame) -> DataFrame:
-    d, hot, totals = _discounts(tables, plan, unigrams)
-    tasks = max(1, -(-plan.buckets // TOGETHER))
+    d, hot, pairs = _discounts(tables, plan, unigrams)
+    tasks = _tasks(plan)
     names = [c.split()[0] for c in ROWS.split(", ")]
-    items = tables.where((F.col("kind") == ITEM) & (F.col("idx") >= 0)).drop("n")
-    words = items.where(F.col("what") == WORD).join(unigrams.withColumnRenamed("h", "w"), "w", "left")
-    pairs = items.where(F.col("what") == PAIR).join(totals.select("v", "w", F.col("c").alias("n")), ["v", "w"], "left")
-    replies = words.select(names).unionByName(pairs.select(names)).withColumn("n", F.coalesce("n", F.lit(0)))
+    asks = tables.where(F.col("kind") == WORD).drop("n").join(unigrams.withColumnRenamed("h", "w"), "w", "left")
+    replies = asks.withColumn("n", F.coalesce("n", F.lit(0))).select(names).unionByName(pairs.where(F.col("kind") == REPLY).select(names))
     asked = replies.unionByName(tables.where(F.col("kind") == WAIT).select(names))
-    dealt = asked.repartition(tasks, F.floor(F.col("key") / TOGETHER)).sortWithinPartitions("key", F.col("payload").isNotNull())
+    dealt = asked.repartition(tasks, F.floor(F.col("key") / TOGETHER)).sortWithinPartitions("key", F.col("kind") == WAIT, "kind")
     done = dealt.mapInArrow(lambda b: resolve(b, plan, d, hot), ROWS)
     every = tables.where(F.col("kind").isin(DOCS, PART)).select(names).unionByName(done).select("kind", "key", "payload")
     return every.repartition(tasks, "key").sortWithinPartitions("key", "kind").mapInArrow(lambda b: total_up(b, plan, d), OUT)
@@ -818,5 +909,5 @@ def score_with(path: str, docs: DataFrame) -> DataFrame:
     plan.bucket, plan.buckets = bucket, max(1, -(-plan.uni.total // bucket))
     grams = spark.read.schema("bucket long, payload binary").parquet(f"{path}/ngrams")
     null = lambda c, kind: F.lit(None).cast(kind).alias(c)
-    model = grams.select(F.lit(MODEL).alias("kind"), F.col("bucket").alias("key"), "payload", null("what", "int"), null("idx", "int"), null("v", "long"), null("w", "long"), null("n", "long"), null("own", "long"))
+    model = grams.select(F.lit(MODEL).alias("kind"), F.col("bucket").alias("key"), "payload", null("what", "int"), null("idx", "int"), null("v", "long"), null("w", "long"), null("n", "long"))
     return _scored(_counted(documents(docs), plan, False, model), plan, unigrams)
